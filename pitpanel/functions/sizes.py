@@ -9,11 +9,20 @@ ONE_TASK_BYTES = 256 << 20
 BROADCAST_BYTES = 32 << 20
 
 
+LEAF_GROWTH = 16  # allowance for decompression and row growth over the scanned bytes
+
+
 def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of a plan (an over-estimate for joins)."""
+    """Catalyst's size estimate of a plan (a gross over-estimate for joins)."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+def scanned_bytes(df: DataFrame) -> int:
+    """Bytes of all scanned inputs of a plan."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+
+
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     """Broadcast hint only when the estimate is below ``limit``; otherwise Spark (AQE) chooses."""
     return F.broadcast(df) if estimated_bytes(df) <= limit else df
@@ -21,4 +30,4 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame
 
 def fits_one_task(df: DataFrame, limit: int = ONE_TASK_BYTES) -> bool:
     """True when the whole frame is small, so that even its hottest group fits one task."""
-    return estimated_bytes(df) <= limit
+    return min(estimated_bytes(df), LEAF_GROWTH * scanned_bytes(df)) <= limit

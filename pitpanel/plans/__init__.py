@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ["q_history", "q_labels"]
+FAMILIES = ["q_history", "q_labels", "q_contest"]
 
 
 def _modules():

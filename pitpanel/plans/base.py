@@ -74,3 +74,20 @@ def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem")
     orders = table(spark, sf_dir, "orders")
     return lines.join(orders, lines.l_orderkey == orders.o_orderkey).selectExpr(*PANEL_COLUMNS)
+
+
+BETS = SCORED + """, bets AS (SELECT *, (1.0e0/odds) / sum(1.0e0/odds) OVER (PARTITION BY contest_id) AS p_market, p_model*odds AS ev,
+ CASE WHEN year <= 1998 THEN 'train' WHEN year = 1999 THEN 'validation' WHEN year = 2000 THEN 'test' ELSE 'latest_holdout' END AS split FROM scored)"""
+
+
+def bets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scored entries with market probability, expected value and split."""
+    from pitpanel.operators.contest import normalise
+    d = normalise(scored(spark, sf_dir), ["contest_id"], 1.0 / F.col("odds"), "p_market")
+    split = (F.when(F.col("year") <= 1998, "train").when(F.col("year") == 1999, "validation")
+             .when(F.col("year") == 2000, "test").otherwise("latest_holdout"))
+    return d.withColumns({"ev": F.col("p_model") * F.col("odds"), "split": split})
+
+
+def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
+    return df.withColumns({c: r6(c, digits) for c in columns})
