@@ -129,9 +129,11 @@ def spearman_by_group(df: DataFrame, contest: Sequence[str], a: str, b: str) ->
 
 
 def pearson(a: str, b: str) -> Column:
-    """Correlation that is null (not NaN) when a side is constant."""
-    c = F.corr(a, b)
-    return F.when((F.min(a) == F.max(a)) | (F.min(b) == F.max(b)) | F.isnan(c), None).otherwise(c)
+    """Correlation over complete pairs; null (not an error) when a side is constant."""
+    x = F.when(F.col(b).isNotNull(), F.col(a).cast("double"))
+    y = F.when(F.col(a).isNotNull(), F.col(b).cast("double"))
+    constant = (F.min(x) == F.max(x)) | (F.min(y) == F.max(y))
+    return F.when(~constant, F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)))
 
 
 def mean_contest_spearman(df: DataFrame, group: Sequence[str], contest: str, a: str, b: str) -> DataFrame:
