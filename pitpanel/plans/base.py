@@ -91,3 +91,57 @@ def bets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
     return df.withColumns({c: r6(c, digits) for c in columns})
+
+
+_TENTHS = "cast(cast(10 + floor(l_extendedprice / 2500) as int) as string)"
+AUDIT_COLUMNS = [
+    "l_orderkey AS contest_id",
+    "concat_ws('-', cast(l_orderkey as string), cast(l_linenumber as string), cast(l_partkey as string), cast(l_suppkey as string)) AS entry_id",
+    "l_linenumber AS entry_no",
+    "cast(l_shipdate as date) AS event_date",
+    "cast(year(l_shipdate) as int) AS year",
+    "cast(month(l_shipdate) as int) AS month",
+    "l_returnflag AS venue",
+    "case when l_tax > 0.075 then null when l_tax > 0.065 then '1' else '0' end AS status",
+    "l_linestatus AS record_kind",
+    "(10 + floor(l_extendedprice / 2500) + case when l_quantity > 45 then 1 else 0 end) / 10.0e0 AS entry_odds",
+    "cast(ceil(l_quantity / 5) as int) AS entry_popularity",
+    "l_tax < 0.065 AS has_quote",
+    f"case when l_discount < 0.005 then null when l_discount < 0.015 then '' when l_discount < 0.025 then '0' when l_discount < 0.035 then '9999' else {_TENTHS} end AS win_q",
+    f"case when l_discount < 0.005 then null when l_quantity < 3 then ' ' when l_quantity > 48 then '-1' else {_TENTHS} end AS low_q",
+    f"case when l_discount < 0.015 then null else {_TENTHS} end AS high_q",
+    "cast(ceil(l_quantity / 5) as int) + case when l_quantity > 40 then 1 else 0 end AS quote_popularity",
+    "case when l_discount > 0.085 then null else cast(cast(floor(l_discount * 100 / 4) as int) as string) end AS flag_a",
+    "case when l_quantity > 25 then '7' else '1' end AS flag_b",
+]
+
+
+def audit_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries with their quote as two sources would hold them: text quotes in tenths, sentinels, blanks."""
+    made = ("case when l_discount > 0.095 then '' else date_format(date_add(cast(l_shipdate as date), "
+            "cast(l_linenumber * l_linenumber - 4 as int)), 'yyyyMMdd') end AS make_date")
+    return table(spark, sf_dir, "lineitem").selectExpr(*AUDIT_COLUMNS, made)
+
+
+AUDIT = ("audit AS (SELECT " + ", ".join(AUDIT_COLUMNS) + ", case when l_discount > 0.095 then '' else strftime(cast(l_shipdate as date) "
+         "+ cast(l_linenumber * l_linenumber - 4 as int), '%Y%m%d') end AS make_date FROM lineitem)")
+QUOTE_COLUMNS = ["record_kind", "win_q", "low_q", "high_q", "quote_popularity", "flag_a", "flag_b", "make_date"]
+ENTRY_COLUMNS = ["contest_id", "entry_id", "entry_no", "event_date", "year", "month", "venue", "status", "entry_odds", "entry_popularity"]
+
+
+def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_rows(spark, sf_dir).select(*ENTRY_COLUMNS)
+
+
+def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_rows(spark, sf_dir).filter("has_quote").select("contest_id", "entry_id", "entry_no", *QUOTE_COLUMNS)
+
+
+JOINED = AUDIT + ", j AS (SELECT " + ", ".join(ENTRY_COLUMNS) + ", has_quote AS found, " + ", ".join(
+    f"CASE WHEN has_quote THEN {c} END AS {c}" for c in QUOTE_COLUMNS) + " FROM audit)"
+
+
+def joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries left-joined to quotes with a found flag."""
+    from pitpanel.operators.integrate import left_found
+    return left_found(entries(spark, sf_dir), quotes(spark, sf_dir).drop("entry_no"), ["contest_id", "entry_id"], "found")
