@@ -14,6 +14,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window as W
 
 from pitpanel.functions.sizes import fits_one_task
@@ -36,7 +37,6 @@ def slice_edges(df: DataFrame, group: Sequence[str], order: Sequence[Column], n:
     rows = (
         key.orderBy(F.xxhash64("k")).limit(n * SAMPLE_PER_SLICE).orderBy("k").collect()
     )
-    types = [f.dataType for f in key.schema["k"].dataType.fields]
     edges, seen = [], None
     for i in range(1, n):
         if not rows:
@@ -44,11 +44,17 @@ def slice_edges(df: DataFrame, group: Sequence[str], order: Sequence[Column], n:
         row = rows[min(len(rows) - 1, i * len(rows) // n)]["k"]
         if row != seen:
             seen = row
-            edges.append(F.struct(*[F.lit(v).cast(t).alias(row.__fields__[j])
-                                    for j, (v, t) in enumerate(zip(row, types))]))
+            edges.append(_literal(row, key.schema["k"].dataType))
     return edges
 
 
+def _literal(value, dtype) -> Column:
+    """Literal of a possibly nested struct value."""
+    if isinstance(dtype, StructType) and value is not None:
+        return F.struct(*[_literal(v, f.dataType).alias(f.name) for v, f in zip(value, dtype.fields)])
+    return F.lit(value).cast(dtype)
+
+
 def slice_number(key: Column, edges: list[Column], lo: int = 0) -> Column:
     """Number of edges at or below ``key`` as a balanced CASE tree."""
     if not edges:

@@ -1,0 +1,125 @@
+"""Calibrators: identity, Platt on p or logit, isotonic, temperature; walk-forward and nested choice.
+
+Every fit runs on a score histogram (scores rounded to 1e-6, so at most a million weighted rows
+whatever the data size), never on raw rows.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+from dataclasses import dataclass
+
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.regression import GeneralizedLinearRegression, IsotonicRegression
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from pitpanel.functions import expr as X
+from pitpanel.operators import metrics as M
+from pitpanel.operators.search import choose
+
+METHODS = ("identity", "platt_p", "platt_logit", "isotonic", "temperature")
+
+
+def histogram(df: DataFrame, by: Sequence[str], y: str, p: str) -> DataFrame:
+    """(by..., score, label, n) with scores rounded to six digits."""
+    return df.groupBy(*by, F.round(p, 6).alias("p"), F.col(y).cast("double").alias("y")).agg(F.count(F.lit(1)).cast("double").alias("n"))
+
+
+def fit_logistic_line(hist: DataFrame, x: Column) -> tuple[float, float]:
+    """(slope, intercept) of an unpenalised one-feature logistic regression on weighted rows."""
+    d = VectorAssembler(inputCols=["x"], outputCol="features").transform(hist.select(x.alias("x"), "y", "n"))
+    m = GeneralizedLinearRegression(family="binomial", link="logit", labelCol="y", weightCol="n", maxIter=50, tol=1e-10).fit(d)
+    return float(m.coefficients[0]), float(m.intercept)
+
+
+def fit_temperature(hist: DataFrame, rounds: int = 3, points: int = 21) -> float:
+    """Temperature that minimises log-loss: each round is one aggregate over a grid, refined around the best."""
+    lo, hi = 0.25, 4.0
+    best = 1.0
+    for _ in range(rounds):
+        grid = [lo + (hi - lo) * i / (points - 1) for i in range(points)]
+        z = X.logit(F.col("p"))
+        row = hist.agg(*[F.sum(F.col("n") * M.log_loss(F.col("y"), X.sigmoid(z / t), 1e-12)).alias(f"l{i}") for i, t in enumerate(grid)]).first()
+        i = min(range(points), key=lambda k: row[k])
+        best = grid[i]
+        lo, hi = grid[max(0, i - 1)], grid[min(points - 1, i + 1)]
+    return best
+
+
+@dataclass
+class Calibrator:
+    """Fitted calibrator; ``apply`` adds the calibrated column."""
+
+    method: str
+    params: dict
+    model: object = None
+    eps: float = 1e-6
+
+    def apply(self, df: DataFrame, p: str, out: str) -> DataFrame:
+        q = X.clip(F.col(p), self.eps)
+        if self.method == "identity":
+            return df.withColumn(out, q)
+        if self.method == "platt_p":
+            return df.withColumn(out, X.clip(X.sigmoid(self.params["slope"] * q + self.params["intercept"]), self.eps))
+        if self.method == "platt_logit":
+            return df.withColumn(out, X.platt(F.col(p), self.params["slope"], self.params["intercept"], self.eps))
+        if self.method == "temperature":
+            return df.withColumn(out, X.clip(X.sigmoid(X.logit(F.col(p), self.eps) / self.params["temperature"]), self.eps))
+        d = self.model.setFeaturesCol("_f").setPredictionCol("_iso").transform(df.withColumn("_f", F.col(p).cast("double")))
+        return d.withColumn(out, X.clip(F.col("_iso"), self.eps)).drop("_f", "_iso")
+
+
+def fit(method: str, hist: DataFrame, eps: float = 1e-6) -> Calibrator:
+    if method == "identity":
+        return Calibrator(method, {}, eps=eps)
+    if method == "temperature":
+        return Calibrator(method, {"temperature": fit_temperature(hist)}, eps=eps)
+    if method in ("platt_p", "platt_logit"):
+        x = X.clip(F.col("p"), eps) if method == "platt_p" else X.logit(F.col("p"), eps)
+        slope, intercept = fit_logistic_line(hist, x)
+        return Calibrator(method, {"slope": slope, "intercept": intercept}, eps=eps)
+    if method == "isotonic":
+        m = IsotonicRegression(featuresCol="p", labelCol="y", weightCol="n", isotonic=True).fit(hist)
+        return Calibrator(method, {"steps": len(m.boundaries)}, m, eps)
+    raise ValueError(f"unknown calibrator {method}")
+
+
+def walk_forward(df: DataFrame, year: str, y: str, p: str, years: Sequence[int], methods: Sequence[str] = METHODS, start: int | None = None) -> DataFrame:
+    """Fit on years before, apply to the year: one row per (row, method).  The fits share one histogram."""
+    hist = histogram(df, [year], y, p).persist()
+    out = None
+    for yr in years:
+        past = hist.filter(F.col(year) < yr) if start is None else hist.filter((F.col(year) < yr) & (F.col(year) >= start))
+        past = past.groupBy("p", "y").agg(F.sum("n").alias("n"))
+        now = df.filter(F.col(year) == yr)
+        for m in methods:
+            part = fit(m, past).apply(now, p, "calibrated").withColumn("calibration_method", F.lit(m))
+            out = part if out is None else out.unionByName(part)
+    hist.unpersist()
+    return out
+
+
+def selection_table(calibrated: DataFrame, y: str, by: Sequence[str] = ("calibration_method",)) -> DataFrame:
+    """Pooled log-loss, Brier and ECE per method."""
+    a = M.probability_metrics(calibrated, by, y, "calibrated", 1e-15).select(*by, "rows", "logloss", "brier")
+    return a.join(M.ece_mce(calibrated, by, y, "calibrated"), list(by))
+
+
+def select_method(table: DataFrame, until: Column | None = None) -> DataFrame:
+    """Pooled log-loss first, then Brier, ECE and name."""
+    return choose(table if until is None else table.filter(until), [], [F.col("logloss"), F.col("brier"), F.col("ece"), F.col("calibration_method")])
+
+
+def calibration_slope(df: DataFrame, by: Sequence[str], y: str, p: str) -> dict[tuple, tuple[float, float]]:
+    """Logistic calibration slope and intercept per (small) group."""
+    hist = histogram(df, by, y, p).persist()
+    groups = hist.select(*by).distinct().collect()  # report groups: years or splits
+    out = {}
+    for g in groups:
+        cond = F.lit(True)
+        for b in by:
+            cond = cond & F.col(b).eqNullSafe(F.lit(g[b]))
+        out[tuple(g)] = fit_logistic_line(hist.filter(cond), X.logit(F.col("p")))
+    hist.unpersist()
+    return out
