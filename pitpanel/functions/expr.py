@@ -139,7 +139,7 @@ def tier(ev: Column) -> Column:
 
 
 def clip(p: Column, eps: float = 1e-6) -> Column:
-    return F.greatest(F.lit(eps), F.least(F.lit(1.0 - eps), p))
+    return F.when(p.isNotNull(), F.greatest(F.lit(eps), F.least(F.lit(1.0 - eps), p)))
 
 
 def logit(p: Column, eps: float = 1e-6) -> Column:
@@ -152,7 +152,7 @@ def sigmoid(z: Column) -> Column:
 
 
 def log_clip1(c: Column) -> Column:
-    return F.log(F.greatest(c, F.lit(1.0)))
+    return F.when(c.isNotNull(), F.log(F.greatest(c, F.lit(1.0))))
 
 
 def blend(p: Column, q: Column, alpha: float) -> Column:
@@ -161,7 +161,8 @@ def blend(p: Column, q: Column, alpha: float) -> Column:
 
 def heuristic_prior(odds: Column, slots: Column, field: Column, eps: float = 1e-6) -> Column:
     """0.5/odds + 0.5*slots/field, clipped."""
-    return clip(0.5 / F.greatest(odds, F.lit(1.0)) + 0.5 * slots / F.greatest(field, F.lit(1)), eps)
+    p = 0.5 / F.greatest(odds, F.lit(1.0)) + 0.5 * slots / F.greatest(field, F.lit(1))
+    return clip(F.when(odds.isNotNull() & field.isNotNull(), p), eps)
 
 
 def finite(c: Column) -> Column:

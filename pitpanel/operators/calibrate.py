@@ -86,7 +86,10 @@ def fit(method: str, hist: DataFrame, eps: float = 1e-6) -> Calibrator:
 
 
 def walk_forward(df: DataFrame, year: str, y: str, p: str, years: Sequence[int], methods: Sequence[str] = METHODS, start: int | None = None) -> DataFrame:
-    """Fit on years before, apply to the year: one row per (row, method).  The fits share one histogram."""
+    """Fit on years before, apply to the year: one row per (row, method).
+
+    The fits share one histogram and every year is scanned once for all methods.
+    """
     hist = histogram(df, [year], y, p).persist()
     out = None
     for yr in years:
@@ -94,8 +97,10 @@ def walk_forward(df: DataFrame, year: str, y: str, p: str, years: Sequence[int],
         past = past.groupBy("p", "y").agg(F.sum("n").alias("n"))
         now = df.filter(F.col(year) == yr)
         for m in methods:
-            part = fit(m, past).apply(now, p, "calibrated").withColumn("calibration_method", F.lit(m))
-            out = part if out is None else out.unionByName(part)
+            now = fit(m, past).apply(now, p, f"_c_{m}")
+        tall = F.inline(F.array(*[F.struct(F.lit(m).alias("calibration_method"), F.col(f"_c_{m}").alias("calibrated")) for m in methods]))
+        part = now.select(*df.columns, tall)
+        out = part if out is None else out.unionByName(part)
     hist.unpersist()
     return out
 

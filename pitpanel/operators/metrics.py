@@ -14,7 +14,7 @@ from pitpanel.functions.ordered import average_ranks, quantiles, running, with_g
 
 def log_loss(y: Column, p: Column, eps: float) -> Column:
     q = X.clip(p, eps)
-    return F.when(y == 1, -F.log(q)).otherwise(-F.log(1.0 - q))
+    return F.when(y == 1, -F.log(q)).when(y.isNotNull(), -F.log(1.0 - q))
 
 
 def probability_metrics(df: DataFrame, group: Sequence[str], y: str, p: str, eps: float = 1e-6) -> DataFrame:

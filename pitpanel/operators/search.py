@@ -17,6 +17,7 @@ from pyspark.sql.window import Window as W
 
 from pitpanel.functions.ordered import row_numbers
 from pitpanel.operators import backtest as K
+from pitpanel.sources.workdir import materialise
 
 STAKE = 100
 
@@ -125,8 +126,12 @@ def finalists(grid: DataFrame, group: Sequence[str], k: int) -> DataFrame:
 
 
 def best_rules(df: DataFrame, group: Sequence[str], dims: Sequence[Dim], order: Sequence[Column], pay: str, min_bets: int, k: int) -> DataFrame:
-    """Exact top ``k`` rules per group by the full score including maximum drawdown."""
-    fin = finalists(rule_grid(df, group, dims, pay, min_bets), group, k)
+    """Exact top ``k`` rules per group by the full score including maximum drawdown.
+
+    The input is read several times (grid, cells, finalist bets), so it is written to the shared folder once.
+    """
+    df = materialise(df, "rule-rows")
+    fin = finalists(materialise(rule_grid(df, group, dims, pay, min_bets), "rule-grid"), group, k)
     tagged = rule_bets(df, dims, fin, group)
     risk = K.ordered_risk(tagged, [*group, "rule_id"], order, pay)
     out = fin.join(risk, [*group, "rule_id"]).withColumn("score", F.col("score_upper") - F.col("max_drawdown") * 0.01)

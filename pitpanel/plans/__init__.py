@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ["q_history", "q_labels", "q_contest", "q_metrics", "q_backtest", "q_quality", "q_integrate", "q_columns", "q_search"]
+FAMILIES = ["q_history", "q_labels", "q_contest", "q_metrics", "q_backtest", "q_quality", "q_integrate", "q_columns", "q_search", "q_models", "q_ledger"]
 
 
 def _modules():

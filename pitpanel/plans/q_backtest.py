@@ -24,7 +24,7 @@ def picks(spark, sf):
 
 def bt1(spark, sf):
     d = K.bet_summary(picks(spark, sf), ["segment", "split"], "contest_id", "pay", "odds")
-    return rounded(d, "roi", "hit_rate", "mean_odds", "median_odds", "mean_payout")
+    return rounded(d, "roi", "hit_rate", "median_odds", "mean_payout").withColumn("mean_odds", r6("mean_odds", 9))
 
 
 def bt2(spark, sf):
@@ -105,7 +105,7 @@ def strategies():
 def bt15(spark, sf):
     d = K.strategy_bets(bets(spark, sf), strategies())
     out = K.bet_summary(d, ["strategy", "split"], "contest_id", "pay", "odds", median=False)
-    return rounded(out, "roi", "hit_rate", "mean_odds", "mean_payout")
+    return rounded(out, "roi", "hit_rate", "mean_payout").withColumn("mean_odds", r6("mean_odds", 9))
 
 
 def bt16(spark, sf):
@@ -139,7 +139,7 @@ def bt18(spark, sf):
 
 def bt19(spark, sf):
     d = bets(spark, sf).withColumn("odds_band", X.bucketize(F.col("odds"), [1, 1.3, 1.6, 2.0, 2.5], right=False)).filter("odds < 2.5")
-    return rounded(K.bet_summary(d, ["odds_band", "year"], "contest_id", "pay", "odds", median=False), "roi", "hit_rate", "mean_odds", "mean_payout")
+    return rounded(K.bet_summary(d, ["odds_band", "year"], "contest_id", "pay", "odds", median=False), "roi", "hit_rate", "mean_payout").withColumn("mean_odds", r6("mean_odds", 9))
 
 
 QUERIES = {
@@ -165,7 +165,7 @@ ORD = "ORDER BY event_date, contest_id, entry_id"
 
 def summary(by, median=True):
     return (f"SELECT {by}, count(*) AS bets, count(DISTINCT contest_id) AS contests, 100*count(*) AS stake, cast(sum(pay) AS bigint) AS return, cast(sum(pay)-100*count(*) AS bigint) AS profit, "
-            f"round(100.0*sum(pay)/(100*count(*)),6) AS roi, count(*) FILTER (pay>0) AS hits, round(avg(cast(pay>0 AS int)),6) AS hit_rate, round(avg(odds),6) AS mean_odds, max(odds) AS max_odds, "
+            f"round(100.0*sum(pay)/(100*count(*)),6) AS roi, count(*) FILTER (pay>0) AS hits, round(avg(cast(pay>0 AS int)),6) AS hit_rate, round(avg(odds),9) AS mean_odds, max(odds) AS max_odds, "
             f"round(avg(pay),6) AS mean_payout, max(pay) AS max_payout" + (", round(median(odds),6) AS median_odds" if median else ""))
 
 

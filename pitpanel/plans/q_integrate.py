@@ -39,7 +39,7 @@ PAYOUTS = SCORED + ", payouts AS (SELECT contest_id, " + ", ".join(_P) + " FROM
 
 
 def sc1(spark, sf):
-    d = R.read_table(spark, f"{sf}/lineitem.parquet", where="l_shipdate >= timestamp'1998-01-01' and l_shipdate < timestamp'1999-01-01'")
+    d = R.read_table(spark, f"{sf}/lineitem.parquet", where="l_shipdate >= timestamp_ntz'1998-01-01' and l_shipdate < timestamp_ntz'1999-01-01'")
     return d.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.col("l_quantity").cast("long")).alias("quantity"))
 
 
@@ -65,7 +65,7 @@ def sc3(spark, sf):
 
 
 def sc4(spark, sf):
-    d = R.read_table(spark, f"{sf}/orders.parquet", ["o_orderkey", "o_custkey"], "o_orderdate >= timestamp'2000-01-01' and o_orderpriority = '1-URGENT'")
+    d = R.read_table(spark, f"{sf}/orders.parquet", ["o_orderkey", "o_custkey"], "o_orderdate >= timestamp_ntz'2000-01-01' and o_orderpriority = '1-URGENT'")
     return d.agg(F.count(F.lit(1)).alias("rows"), F.sum("o_custkey").alias("key_sum"))
 
 

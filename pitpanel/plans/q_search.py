@@ -56,7 +56,7 @@ def rg4(spark, sf):
     rules = best(spark, sf).select("status", "rule_id", *[f"{d.name}_i" for d in dims()])
     d = ranked(spark, sf).filter("split <> 'train'")
     tagged = S.rule_bets(d, dims(), rules, ["status"])
-    return rounded(K.bet_summary(tagged, ["status", "rule_id", "split"], "contest_id", "pay", "odds", median=False), "roi", "hit_rate", "mean_odds", "mean_payout")
+    return rounded(K.bet_summary(tagged, ["status", "rule_id", "split"], "contest_id", "pay", "odds", median=False), "roi", "hit_rate", "mean_payout").withColumn("mean_odds", r6("mean_odds", 9))
 
 
 def classified(spark, sf):
@@ -234,7 +234,7 @@ SQL = {
                      + MATCH.replace("model_rank", "ranked.model_rank") .replace("AND ev>", "AND ranked.ev>").replace("AND margin>", "AND ranked.margin>") + " GROUP BY split, rule_id, v1, v2, v3, v4, v5, v6 HAVING count(*)>=100",
     "rg2_best_rules": BEST + " SELECT status, rule_id, bets, cast(ret AS bigint) AS return, hits, round(roi,4) AS roi, cast(dd AS bigint) AS max_drawdown, ls AS max_losing_streak, round(score,4) AS score, selected_order FROM top WHERE selected_order<=3",
     "rg3_odds_ev_surface": Bq + ", l AS (SELECT unnest([1.0,1.5,2.0,3.0])::double AS low), h AS (SELECT unnest([1.5,2.0,3.0,5.0,99.0])::double AS high), e AS (SELECT unnest([0.0,0.9,1.0,1.1,1.3])::double AS e) SELECT low, high, e.e AS ev, count(*) AS bets, cast(sum(pay) AS bigint) AS return, count(*) FILTER (pay>0) AS hits, round(100.0*sum(pay)/(100*count(*)),6) AS roi FROM bets b JOIN l ON odds>=low JOIN h ON odds<high AND high>low JOIN e ON b.ev>=e.e GROUP BY 1,2,3",
-    "rg4_rules_applied": BEST + f", tp AS (SELECT status AS st, rules.* FROM top JOIN rules USING (rule_id) WHERE selected_order<=3) SELECT status, rule_id, split, count(*) AS bets, count(DISTINCT contest_id) AS contests, 100*count(*) AS stake, cast(sum(pay) AS bigint) AS return, cast(sum(pay)-100*count(*) AS bigint) AS profit, round(100.0*sum(pay)/(100*count(*)),6) AS roi, count(*) FILTER (pay>0) AS hits, round(avg(cast(pay>0 AS int)),6) AS hit_rate, round(avg(odds),6) AS mean_odds, max(odds) AS max_odds, round(avg(pay),6) AS mean_payout, max(pay) AS max_payout FROM ranked JOIN tp ON status=st AND {MATCH} WHERE split<>'train' GROUP BY 1,2,3",
+    "rg4_rules_applied": BEST + f", tp AS (SELECT status AS st, rules.* FROM top JOIN rules USING (rule_id) WHERE selected_order<=3) SELECT status, rule_id, split, count(*) AS bets, count(DISTINCT contest_id) AS contests, 100*count(*) AS stake, cast(sum(pay) AS bigint) AS return, cast(sum(pay)-100*count(*) AS bigint) AS profit, round(100.0*sum(pay)/(100*count(*)),6) AS roi, count(*) FILTER (pay>0) AS hits, round(avg(cast(pay>0 AS int)),6) AS hit_rate, round(avg(odds),9) AS mean_odds, max(odds) AS max_odds, round(avg(pay),6) AS mean_payout, max(pay) AS max_payout FROM ranked JOIN tp ON status=st AND {MATCH} WHERE split<>'train' GROUP BY 1,2,3",
     "rg5_candidate_classes": f"WITH {CLS}, r AS (SELECT *, row_number() OVER (PARTITION BY strategy_type ORDER BY ev DESC, entry_id) AS rn FROM cl) SELECT strategy_type, count(*) AS bets, cast(sum(pay) AS bigint) AS return, cast(sum(label) AS bigint) AS hits FROM r WHERE strategy_type<>'longshot' OR rn<=greatest(1,floor((SELECT count(*) FROM ranked)*0.01)) GROUP BY 1",
     "rg6_alpha_selection": Bq + ", a AS (SELECT unnest([0.0,0.25,0.5,0.75,1.0])::double AS alpha), s AS (SELECT alpha, count(*) AS bets, cast(sum(pay) AS bigint) AS return, 100.0*sum(pay)/(100*count(*)) AS roi FROM bets JOIN a ON (alpha*p_model+(1.0-alpha)*p_market)*odds>=1 GROUP BY 1), f AS (SELECT alpha, coalesce(bets,0) AS bets, coalesce(return,0) AS return, roi FROM a LEFT JOIN s USING (alpha)) SELECT alpha, bets, return, round(roi,6) AS roi, row_number() OVER (ORDER BY roi DESC NULLS LAST, bets DESC, alpha)=1 AS selected FROM f",
     "rg7_rule_jaccard": BIG + " SELECT a.rule_id, b.rule_id AS other_id, count(*) AS common, max(a.n)+max(b.n)-count(*) AS together, round(count(*)/(max(a.n)+max(b.n)-count(*)),6) AS jaccard FROM mb a JOIN mb b ON a.entry_id=b.entry_id AND a.rule_id<b.rule_id GROUP BY 1,2",
