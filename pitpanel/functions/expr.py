@@ -46,7 +46,7 @@ def quote_class(c: Column, found: Column | None = None) -> Column:
 
 def is_valid_id(c: Column) -> Column:
     """At least one character that is not '0' after trimming; null is invalid."""
-    return F.coalesce(text(c).rlike("[^0]"), F.lit(False))
+    return F.coalesce(F.translate(text(c), "0", "") != "", F.lit(False))
 
 
 def is_positive(c: Column) -> Column:

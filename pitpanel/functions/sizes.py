@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,9 +20,14 @@ def estimated_bytes(df: DataFrame) -> int:
 
 
 def scanned_bytes(df: DataFrame) -> int:
-    """Bytes of all scanned inputs of a plan."""
+    """Bytes of the distinct inputs of a plan (a table that is scanned twice counts once)."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    sizes = {}
+    for i in range(leaves.size()):
+        leaf = leaves.apply(i)
+        name = re.sub(r"#\d+L?", "", leaf.simpleString(1000)).split("[")[0] + str(leaf.stats().sizeInBytes())
+        sizes[name] = int(str(leaf.stats().sizeInBytes()))
+    return sum(sizes.values())
 
 
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:

@@ -94,11 +94,12 @@ def walk_forward(df: DataFrame, year: str, y: str, p: str, years: Sequence[int],
     out = None
     for yr in years:
         past = hist.filter(F.col(year) < yr) if start is None else hist.filter((F.col(year) < yr) & (F.col(year) >= start))
-        past = past.groupBy("p", "y").agg(F.sum("n").alias("n"))
+        past = past.groupBy("p", "y").agg(F.sum("n").alias("n")).persist()  # a bounded table, re-read by every fit iteration
         now = df.filter(F.col(year) == yr)
         for m in methods:
             now = fit(m, past).apply(now, p, f"_c_{m}")
         tall = F.inline(F.array(*[F.struct(F.lit(m).alias("calibration_method"), F.col(f"_c_{m}").alias("calibrated")) for m in methods]))
+        past.unpersist()
         part = now.select(*df.columns, tall)
         out = part if out is None else out.unionByName(part)
     hist.unpersist()

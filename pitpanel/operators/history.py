@@ -44,8 +44,8 @@ def store_key(*parts: tuple[Column, str]) -> Column:
 
 
 def long_stores(panel: DataFrame, stores: dict[str, Column], keep: Sequence[str]) -> DataFrame:
-    """(store, key) rows of every entry; stores whose key is null give no row."""
-    pairs = F.array(*[F.struct(F.lit(n).alias("store"), k.alias("key")) for n, k in stores.items()])
+    """(store number, key) rows of every entry; stores whose key is null give no row."""
+    pairs = F.array(*[F.struct(F.lit(i).alias("store"), k.alias("key")) for i, k in enumerate(stores.values())])
     return (
         panel.select(*keep, F.explode(pairs).alias("_s"))
         .select(*keep, "_s.store", "_s.key")
@@ -53,6 +53,11 @@ def long_stores(panel: DataFrame, stores: dict[str, Column], keep: Sequence[str]
     )
 
 
+def name_stores(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Store numbers (cheap to shuffle, sort and compare) back to names."""
+    return df.withColumn("store", F.element_at(F.array(*[F.lit(n) for n in names]), F.col("store") + 1))
+
+
 def key_days(long: DataFrame, day: str, ok: str, flags: Sequence[str], **extra: Column) -> DataFrame:
     """One row per (store, key, day): admitted starts and flag sums; rows not admitted count zero."""
     return long.groupBy("store", "key", day).agg(
@@ -68,24 +73,32 @@ def prior_totals(days: DataFrame, day: str, sums: Sequence[str]) -> DataFrame:
     return days.select("store", "key", day, *[F.coalesce(F.sum(c).over(w), F.lit(0)).alias(c) for c in sums])
 
 
-def prior_features(panel: DataFrame, stores: dict[str, Column], entry: str, day: str, ok: Column,
-                   flags: dict[str, Column]) -> DataFrame:
-    """Long result: one row per (entry, store) with totals and rates before the day."""
+def prior_rows(panel: DataFrame, stores: dict[str, Column], entry: str, day: str, ok: Column,
+               flags: dict[str, Column]) -> DataFrame:
+    """One row per (entry, store number) with totals strictly before the day."""
     base = panel.select(entry, day, ok.alias("_ok"), *[c.cast("long").alias(n) for n, c in flags.items()],
                         *[k.alias(f"_key_{n}") for n, k in stores.items()])
     keys = {n: F.col(f"_key_{n}") for n in stores}
     totals = prior_totals(key_days(long_stores(base, keys, [day, "_ok", *flags]), day, "_ok", list(flags)),
                           day, ["starts", *flags])
-    rows = long_stores(base, keys, [entry, day])
-    out = rows.join(totals, ["store", "key", day], "left")
+    return long_stores(base, keys, [entry, day]).join(totals, ["store", "key", day], "left").select(entry, "store", "starts", *flags)
+
+
+def prior_features(panel: DataFrame, stores: dict[str, Column], entry: str, day: str, ok: Column,
+                   flags: dict[str, Column]) -> DataFrame:
+    """Long result: totals and rates before the day per (entry, store name)."""
+    out = name_stores(prior_rows(panel, stores, entry, day, ok, flags), list(stores))
     return out.select(entry, "store", "starts", *flags,
                       *[F.try_divide(F.col(f), F.col("starts")).alias(f"{f}_rate") for f in flags])
 
 
-def wide_features(long: DataFrame, entry: str, stores: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """One row per entry; one conditional max per (store, column)."""
-    return long.groupBy(entry).agg(*[
-        F.max(F.when(F.col("store") == s, F.col(c))).alias(f"{s}_{c}") for s in stores for c in columns])
+def wide_features(panel: DataFrame, stores: dict[str, Column], entry: str, day: str, ok: Column, flags: dict[str, Column]) -> DataFrame:
+    """One row per entry: starts and rates of every store; counts are pivoted, rates are taken afterwards."""
+    rows = prior_rows(panel, stores, entry, day, ok, flags)
+    wide = rows.groupBy(entry).agg(*[F.max(F.when(F.col("store") == i, F.col(c))).alias(f"{s}_{c}")
+                                     for i, s in enumerate(stores) for c in ["starts", *flags]])
+    return wide.select(entry, *[F.col(f"{s}_starts") for s in stores],
+                       *[F.try_divide(F.col(f"{s}_{f}"), F.col(f"{s}_starts")).alias(f"{s}_{f}_rate") for s in stores for f in flags])
 
 
 def last_records(panel: DataFrame, entity: Column, day: str, ok: Column, order: Sequence[Column],
@@ -173,10 +186,10 @@ def asof_sources(panel: DataFrame, stores: dict[str, Column], entry: str, contes
                                  F.col(contest).alias("contest")).alias("_src"),
                         *[k.alias(f"_key_{n}") for n, k in stores.items()])
     keys = {n: F.col(f"_key_{n}") for n in stores}
-    pairs = F.array(*[F.struct(F.lit(n).alias("store"), k.alias("key")) for n, k in keys.items()])
+    pairs = F.array(*[F.struct(F.lit(i).alias("store"), k.alias("key")) for i, k in enumerate(keys.values())])
     src = source_before(long_stores(base, keys, [day, "_ok", "_src"]), day, "_ok", F.col("_src"))
     rows = base.select(entry, contest, day, F.inline(pairs))
-    return rows.join(src, ["store", "key", day], "left").select(
+    return name_stores(rows.join(src, ["store", "key", day], "left"), list(stores)).select(
         entry, contest, day, "store", F.col("source.contest").alias("source_contest"),
         F.col("source.day").alias("source_day"))
 

@@ -75,8 +75,9 @@ def hs1(spark, sf):
 def hs2(spark, sf):
     df = labeled(spark, sf)
     long = H.long_stores(df.select(*[k.alias(f"_{n}") for n, k in stores().items()]), {n: F.col(f"_{n}") for n in stores()}, [])
-    return (long.groupBy("store", "key").agg(F.count(F.lit(1)).alias("n"))
-            .groupBy("store").agg(F.sum("n").alias("entries"), F.count(F.lit(1)).alias("keys"), F.max("n").alias("hottest")))
+    out = (long.groupBy("store", "key").agg(F.count(F.lit(1)).alias("n"))
+           .groupBy("store").agg(F.sum("n").alias("entries"), F.count(F.lit(1)).alias("keys"), F.max("n").alias("hottest")))
+    return H.name_stores(out, list(stores()))
 
 
 def prior(spark, sf):
@@ -89,10 +90,10 @@ def hs3(spark, sf):
 
 
 def hs3_wide(spark, sf):
-    cols = ["starts", "wins_rate", "top3_rate", "paid_rate"]
-    wide = H.wide_features(prior(spark, sf), "entry_id", list(stores()), cols)
-    return wide.select("entry_id", *[F.col(f"{s}_starts") for s in stores()],
-                       *[r6(f"{s}_{c}").alias(f"{s}_{c}") for s in stores() for c in cols[1:]])
+    """The headline: starts and win / top-3 / paid rates of all ten stores, one row per entry."""
+    wanted = {n: c for n, c in flags().items() if n != "top2"}
+    wide = H.wide_features(labeled(spark, sf), stores(), "entry_id", "event_date", admitted(), wanted)
+    return wide.select("entry_id", *[F.col(f"{s}_starts") for s in stores()], *[r6(f"{s}_{f}_rate").alias(f"{s}_{f}_rate") for s in stores() for f in wanted])
 
 
 def hs4(spark, sf):
@@ -144,7 +145,7 @@ def hs8_injected(spark, sf):
     at = H.source_before(long, "event_date", "ok", F.col("src"), inclusive=True)
     rows = long.join(at, ["store", "key", "event_date"]).select(
         "contest_id", "event_date", "store", F.col("source.contest").alias("source_contest"), F.col("source.day").alias("source_day"))
-    return H.leakage_audit(rows, "contest_id", "event_date")
+    return H.leakage_audit(H.name_stores(rows, ["rider"]), "contest_id", "event_date")
 
 
 def hs9(spark, sf):
@@ -164,7 +165,7 @@ def hs10(spark, sf):
     long = H.long_stores(df, {n: F.col(f"_{n}") for n in stores()}, ["event_date", "year", "ok", *FLAGS])
     state = H.snapshot(long.filter("year <= 1999"), "event_date", "ok", FLAGS)
     out = H.extend_from_snapshot(state, long.filter("year > 1999"), "event_date", "ok", FLAGS)
-    return out.groupBy("store", F.col("event_date").cast("string").alias("event_date")).agg(
+    return H.name_stores(out, list(stores())).groupBy("store", F.col("event_date").cast("string").alias("event_date")).agg(
         F.count(F.lit(1)).alias("keys"), *[F.sum(c).alias(c) for c in ["starts", *FLAGS]])
 
 
