@@ -220,7 +220,6 @@ def keep_last(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> Da
 
 def incremental_history(old: DataFrame, new: DataFrame, day: str, entry: str, build) -> DataFrame:
     """Old rows before the first new day plus new rows, rebuilt; only new entries are returned."""
-    first = new.agg(F.min(day).alias("_first"))
-    past = old.join(F.broadcast(first), F.col(day) < F.col("_first"), "inner").drop("_first")
+    past = old.filter(F.col(day) < new.agg(F.min(day)).scalar())
     features = build(past.unionByName(new, allowMissingColumns=True))
     return features.join(broadcast_if_small(new.select(entry).distinct()), entry, "left_semi")
