@@ -120,18 +120,53 @@ def row_numbers(df: DataFrame, group: Sequence[str], order: Sequence[Column], na
     return running(df, group, order, {name: F.lit(1).cast("long")}, slices)
 
 
-def with_group(df: DataFrame, group: Sequence[str], **aggs: Column) -> DataFrame:
-    """Attach group aggregates: partial aggregation plus an equi-join instead of a window.
+def attach_row(df: DataFrame, one: DataFrame) -> DataFrame:
+    """Attach a one-row frame to every row as a scalar subquery: no join, no shuffle of ``df``."""
+    packed = one.select(F.struct(*one.columns)).scalar()
+    return df.withColumn("_row", packed).select(*df.columns, *[F.col(f"_row.{c}").alias(c) for c in one.columns])
 
-    A hot group costs one row after map-side combining, and the join can be split by AQE.
-    """
-    stats = df.groupBy(*group).agg(*[c.alias(n) for n, c in aggs.items()])
-    keys = [F.col(g).alias(f"_k{i}") for i, g in enumerate(group)]
-    stats = stats.select(*keys, *aggs)
+
+def null_safe(group: Sequence[str]) -> Column:
     cond = F.lit(True)
     for i, g in enumerate(group):
         cond = cond & F.col(g).eqNullSafe(F.col(f"_k{i}"))
-    return df.join(stats, cond, "left").select(*df.columns, *aggs)
+    return cond
+
+
+HOT_KEYS = 2000  # at most this many keys can hold more than 1/HOT_KEYS of the rows
+HOT_ROWS = 1_000_000
+SALTS = 4096
+
+
+def join_stats(df: DataFrame, stats: DataFrame, keys: Sequence[str], columns: Sequence[str], rows: str,
+               split: bool | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Left join of rows to per-key statistics that stays balanced whatever share one key holds.
+
+    ``stats`` has one row per key with its row count in ``rows``.  Keys above 1/HOT_KEYS of all rows
+    (at most HOT_KEYS of them, so the list is broadcast with a proven bound) are joined map-side and
+    spread by a salt over the shuffle that joins the ordinary keys.
+    """
+    if split is None:
+        split = not fits_one_task(df)
+    right = stats.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *columns, F.col(rows).alias("_rows"))
+    if not split:
+        return df.join(right.drop("_rows"), null_safe(keys), "left").select(*df.columns, *columns)
+    limit = stats.agg(F.greatest(F.lit(hot_rows).cast("double"), F.sum(rows) / HOT_KEYS)).scalar()
+    hot = right.filter(F.col("_rows") > limit).select(*[F.col(f"_k{i}") for i in range(len(keys))],
+                                                      *[F.col(c).alias(f"_hot_{c}") for c in columns], F.lit(True).alias("_hot"))
+    d = df.join(F.broadcast(hot), null_safe(keys), "left").drop(*[f"_k{i}" for i in range(len(keys))])
+    salt = F.when(F.col("_hot").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)))
+    d = d.withColumn("_salt", salt)
+    j = d.join(right.drop("_rows").withColumn("_s", F.lit(0).cast("long")), null_safe(keys) & (F.col("_salt") == F.col("_s")), "left")
+    return j.select(*df.columns, *[F.when(F.col("_hot").isNull(), F.col(c)).otherwise(F.col(f"_hot_{c}")).alias(c) for c in columns])
+
+
+def with_group(df: DataFrame, group: Sequence[str], split: bool | None = None, hot_rows: int = HOT_ROWS, **aggs: Column) -> DataFrame:
+    """Attach group aggregates: partial aggregation plus a balanced join instead of a window."""
+    if not group:
+        return attach_row(df, df.agg(*[c.alias(n) for n, c in aggs.items()]))
+    stats = df.groupBy(*group).agg(*[c.alias(n) for n, c in aggs.items()], F.count(F.lit(1)).alias("_cnt"))
+    return join_stats(df, stats, group, list(aggs), "_cnt", split, hot_rows)
 
 
 def average_ranks(df: DataFrame, group: Sequence[str], value: str, name: str,
@@ -139,12 +174,8 @@ def average_ranks(df: DataFrame, group: Sequence[str], value: str, name: str,
     """Average rank (ties share the mean rank) of ``value`` per group, via the value histogram."""
     hist = df.filter(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("_n"))
     hist = running(hist, group, [F.col(value)], {"_cum": F.col("_n")}, slices)
-    hist = hist.select(*[F.col(g).alias(f"_k{i}") for i, g in enumerate(group)], F.col(value).alias("_v"),
-                       (F.col("_cum") - (F.col("_n") - 1) / 2.0).alias(name))
-    cond = F.col(value) == F.col("_v")
-    for i, g in enumerate(group):
-        cond = cond & F.col(g).eqNullSafe(F.col(f"_k{i}"))
-    return df.join(hist, cond, "left").select(*df.columns, name)
+    hist = hist.select(*group, value, (F.col("_cum") - (F.col("_n") - 1) / 2.0).alias(name), "_n")
+    return join_stats(df, hist, [*group, value], [name], "_n", split=None if slices is None else True)
 
 
 def quantiles(df: DataFrame, group: Sequence[str], value: str, qs: Sequence[float], slices: int | None = None) -> DataFrame:
@@ -152,8 +183,8 @@ def quantiles(df: DataFrame, group: Sequence[str], value: str, qs: Sequence[floa
 
     Works for groups of any size: no task ever holds the values of a group.
     """
-    base = df.select(*group, F.col(value).cast("double").alias("_v"), F.lit(0).alias("_all")).filter("_v is not null")
-    keys = [*group] or ["_all"]
+    base = df.select(*group, F.col(value).cast("double").alias("_v")).filter("_v is not null")
+    keys = [*group]
     hist = base.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n"))
     cum = running(hist, keys, [F.col("_v")], {"_cum": F.col("_n")}, slices)
     cum = with_group(cum, keys, _total=F.sum("_n"))
@@ -166,4 +197,4 @@ def quantiles(df: DataFrame, group: Sequence[str], value: str, qs: Sequence[floa
         h = (F.col("_total") - 1) * F.lit(float(q))
         lo = at(F.floor(h))
         out.append((lo + (at(F.ceil(h)) - lo) * F.max(h - F.floor(h))).alias(f"q{i}"))
-    return cum.groupBy(*keys).agg(*out).drop("_all")
+    return cum.groupBy(*keys).agg(*out)

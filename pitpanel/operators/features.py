@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pitpanel.functions import expr as X
-from pitpanel.functions.ordered import quantiles
+from pitpanel.functions.ordered import attach_row, quantiles
 
 
 def market_features(df: DataFrame, low: str, high: str) -> DataFrame:
@@ -19,16 +19,10 @@ def market_features(df: DataFrame, low: str, high: str) -> DataFrame:
                            "inv_low": F.try_divide(F.lit(1.0), a), "inv_high": F.try_divide(F.lit(1.0), b), "inv_mid": F.try_divide(F.lit(1.0), mid)})
 
 
-def with_one_row(df: DataFrame, one: DataFrame) -> DataFrame:
-    """Attach a one-row statistics frame to every row (a scalar subquery, no join)."""
-    packed = one.select(F.struct(*one.columns)).scalar()
-    return df.withColumn("_one", packed).select(*df.columns, *[F.col(f"_one.{c}").alias(c) for c in one.columns])
-
-
 def winsorise(df: DataFrame, value: str, is_train: Column, q: float = 0.99) -> DataFrame:
     """Clip at the training quantile, log1p, and both."""
     cap = quantiles(df.filter(is_train), [], value, [q]).select(F.col("q0").alias("_cap"))
-    d = with_one_row(df, cap)
+    d = attach_row(df, cap)
     clipped = F.least(F.col(value).cast("double"), F.col("_cap"))
     return d.withColumns({f"{value}_clip": clipped, f"{value}_log1p": F.log1p(F.col(value).cast("double")), f"{value}_clip_log1p": F.log1p(clipped)}).drop("_cap")
 
@@ -41,7 +35,7 @@ def smooth_rate(df: DataFrame, rate: str, count: str, is_train: Column, strength
     n = F.coalesce(F.col(count).cast("double"), F.lit(0.0))
     k = F.bround(F.coalesce(F.col(rate), F.lit(0.0)) * n)
     prior = df.filter(is_train).agg(F.try_divide(F.sum(k), F.sum(n)).alias("_prior"))
-    d = with_one_row(df, prior)
+    d = attach_row(df, prior)
     s = F.lit(float(strength))
     return d.withColumn(name, F.when(n <= 0, F.col("_prior")).otherwise((k + s * F.col("_prior")) / (n + s))).drop("_prior")
 
@@ -56,7 +50,7 @@ def count_reconstruction_error(df: DataFrame, pairs: Sequence[tuple[str, str]])
 def decay_weights(df: DataFrame, age: Column, half_life: float, name: str = "weight") -> DataFrame:
     """2^(-age/half-life), scaled to mean 1 over the frame."""
     raw = df.withColumn("_raw", F.pow(F.lit(2.0), -age / half_life))
-    d = with_one_row(raw, raw.agg(F.avg("_raw").alias("_mean")))
+    d = attach_row(raw, raw.agg(F.avg("_raw").alias("_mean")))
     return d.withColumn(name, F.col("_raw") / F.col("_mean")).drop("_raw", "_mean")
 
 

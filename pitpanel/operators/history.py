@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from pitpanel.functions import expr as X
+from pitpanel.functions.ordered import join_stats
 from pitpanel.functions.sizes import broadcast_if_small
 
 MAX_LAST = 5
@@ -63,14 +64,15 @@ def key_days(long: DataFrame, day: str, ok: str, flags: Sequence[str], **extra:
     return long.groupBy("store", "key", day).agg(
         F.sum(F.when(F.col(ok), 1).otherwise(0)).cast("long").alias("starts"),
         *[F.sum(F.when(F.col(ok), F.coalesce(F.col(f), F.lit(0))).otherwise(0)).cast("long").alias(f) for f in flags],
+        F.count(F.lit(1)).alias("rows"),
         *[c.alias(n) for n, c in extra.items()],
     )
 
 
-def prior_totals(days: DataFrame, day: str, sums: Sequence[str]) -> DataFrame:
+def prior_totals(days: DataFrame, day: str, sums: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
     """Totals strictly before each day (ROWS equals RANGE here: one row per day)."""
     w = W.partitionBy("store", "key").orderBy(day).rowsBetween(W.unboundedPreceding, -1)
-    return days.select("store", "key", day, *[F.coalesce(F.sum(c).over(w), F.lit(0)).alias(c) for c in sums])
+    return days.select("store", "key", day, *keep, *[F.coalesce(F.sum(c).over(w), F.lit(0)).alias(c) for c in sums])
 
 
 def prior_rows(panel: DataFrame, stores: dict[str, Column], entry: str, day: str, ok: Column,
@@ -80,8 +82,9 @@ def prior_rows(panel: DataFrame, stores: dict[str, Column], entry: str, day: str
                         *[k.alias(f"_key_{n}") for n, k in stores.items()])
     keys = {n: F.col(f"_key_{n}") for n in stores}
     totals = prior_totals(key_days(long_stores(base, keys, [day, "_ok", *flags]), day, "_ok", list(flags)),
-                          day, ["starts", *flags])
-    return long_stores(base, keys, [entry, day]).join(totals, ["store", "key", day], "left").select(entry, "store", "starts", *flags)
+                          day, ["starts", *flags], ["rows"])
+    rows = long_stores(base, keys, [entry, day])
+    return join_stats(rows, totals, ["store", "key", day], ["starts", *flags], "rows").select(entry, "store", "starts", *flags)
 
 
 def prior_features(panel: DataFrame, stores: dict[str, Column], entry: str, day: str, ok: Column,

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from pitpanel.functions import expr as X
-from pitpanel.functions.ordered import average_ranks, quantiles, running, with_group
+from pitpanel.functions.ordered import attach_row, average_ranks, quantiles, running, with_group
 
 
 def log_loss(y: Column, p: Column, eps: float) -> Column:
@@ -107,7 +107,7 @@ def precision_at_limit(df: DataFrame, group: Sequence[str], contest: str, entry:
 def join_groups(a: DataFrame, b: DataFrame, group: Sequence[str]) -> DataFrame:
     """Join two per-group results null-safely (both have one row per group)."""
     if not group:
-        return a.withColumn("_one", F.lit(1)).join(b.withColumn("_one", F.lit(1)), "_one").drop("_one")
+        return attach_row(a, b)
     right = b.select(*[F.col(g).alias(f"_k{i}") for i, g in enumerate(group)], *[c for c in b.columns if c not in group])
     cond = F.lit(True)
     for i, g in enumerate(group):

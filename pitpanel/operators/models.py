@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pitpanel.functions import expr as X
-from pitpanel.functions.ordered import quantiles
+from pitpanel.functions.ordered import attach_row, quantiles
 from pitpanel.operators import metrics as M
 from pitpanel.operators.folds import Fold
 
@@ -141,13 +141,13 @@ def parity_gate(a: DataFrame, b: DataFrame, keys: Sequence[str], y: str, p: str,
     x = a.select(*keys, F.col(y).alias("_ya"), F.col(p).alias("_pa"))
     z = b.select(*keys, F.col(y).alias("_yb"), F.col(p).alias("_pb"))
     dup = F.count(F.lit(1)) > 1
-    da, db = (f.groupBy(*keys).agg(dup.alias("d")).agg(F.count_if("d").alias(n), F.lit(1).alias("_one")) for f, n in ((a, "duplicates_a"), (b, "duplicates_b")))
+    da, db = (f.groupBy(*keys).agg(dup.alias("d")).agg(F.count_if("d").alias(n)) for f, n in ((a, "duplicates_a"), (b, "duplicates_b")))
     j = x.join(z, list(keys), "full")
     d = F.abs(F.col("_pa") - F.col("_pb"))
     one = j.agg(F.count_if(F.col("_pb").isNull()).alias("only_a"), F.count_if(F.col("_pa").isNull()).alias("only_b"), F.count(d).alias("common"),
                 F.count_if(F.col("_ya") != F.col("_yb")).alias("target_conflicts"), F.max(d).alias("max_diff"), F.avg(d).alias("mean_diff"),
-                F.abs(F.avg(M.log_loss(F.col("_ya"), F.col("_pa"), 1e-15)) - F.avg(M.log_loss(F.col("_yb"), F.col("_pb"), 1e-15))).alias("logloss_diff"), F.lit(1).alias("_one"))
-    r = one.join(da, "_one").join(db, "_one").drop("_one")
+                F.abs(F.avg(M.log_loss(F.col("_ya"), F.col("_pa"), 1e-15)) - F.avg(M.log_loss(F.col("_yb"), F.col("_pb"), 1e-15))).alias("logloss_diff"))
+    r = attach_row(attach_row(one, da), db)
     ok = ((F.col("only_a") == 0) & (F.col("only_b") == 0) & (F.col("target_conflicts") == 0) & (F.col("duplicates_a") == 0) & (F.col("duplicates_b") == 0)
           & (F.col("max_diff") <= tolerance) & (F.col("logloss_diff") <= tolerance))
     return r.withColumn("passed", F.coalesce(ok, F.lit(False)))

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from pitpanel.functions.ordered import row_numbers
+from pitpanel.functions.ordered import attach_row, row_numbers
 from pitpanel.operators import backtest as K
 from pitpanel.sources.workdir import materialise
 
@@ -104,10 +104,10 @@ def cell_rules(df: DataFrame, dims: Sequence[Dim], rules: DataFrame, keys: Seque
 
 
 def rule_bets(df: DataFrame, dims: Sequence[Dim], rules: DataFrame, group: Sequence[str]) -> DataFrame:
-    """Rows tagged with every given rule they satisfy, by an equi-join on the cell."""
+    """Rows tagged with every given rule they satisfy, by an equi-join on the cell (AQE broadcasts the pairs when small)."""
     coded = with_codes(df, dims)
     pairs = cell_rules(df, dims, rules, [*group, "rule_id"])
-    return coded.join(F.broadcast(pairs), [*codes(dims), *group])
+    return coded.join(pairs, [*codes(dims), *group])
 
 
 def base_score(bets: Column, roi: Column, goal: float = 90.0) -> Column:
@@ -121,7 +121,7 @@ def finalists(grid: DataFrame, group: Sequence[str], k: int) -> DataFrame:
     g = grid.withColumns({"score_upper": upper, "score_lower": upper - (F.col("bets") - F.col("hits")) * STAKE * 0.01})
     w = W.partitionBy(*(group or [F.lit(0)])).orderBy(F.col("score_lower").desc(), "rule_id")
     kth = g.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= k).groupBy(*group).agg(F.min("score_lower").alias("_kth"))
-    j = g.join(F.broadcast(kth), list(group)) if group else g.withColumn("_one", F.lit(1)).join(kth.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    j = g.join(F.broadcast(kth), list(group)) if group else attach_row(g, kth)
     return j.filter(F.col("score_upper") >= F.col("_kth")).drop("_kth", "score_lower")
 
 

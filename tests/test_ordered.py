@@ -101,3 +101,15 @@ def test_concentration_matches_sort(rows):
             n = len(gains) if base == "all" else sum(x > 0 for x in gains)
             if sum(gains):
                 assert got[g] == pytest.approx(sum(gains[: max(1, int(np.ceil(n * 0.05 - 1e-12)))]) / sum(gains))
+
+
+@pytest.mark.parametrize("split", [False, True])
+def test_balanced_group_join(rows, split):
+    df, data = rows
+    out = O.with_group(df, ["g"], split, 50, total=F.sum("pay"), top=F.max("v"))
+    want = {g: (sum(r[3] for r in p), max(r[2] for r in p if r[2] is not None)) for g, p in groups(data).items()}
+    got = out.collect()
+    assert len(got) == len(data) and all((r.total, r.top) == want[r.g] for r in got)
+    if split:
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
