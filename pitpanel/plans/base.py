@@ -23,7 +23,7 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 # The same expressions are valid in Spark SQL and DuckDB.
 SCORED_COLUMNS = [
     "l_orderkey AS contest_id",
-    "concat_ws('-', cast(l_orderkey as string), cast(l_linenumber as string), cast(l_partkey as string), cast(l_suppkey as string)) AS entry_id",
+    "concat_ws('-', cast(l_orderkey as string), cast(l_linenumber as string), cast(l_partkey as string), cast(l_suppkey as string), cast(cast(l_quantity as int) as string)) AS entry_id",
     "l_linenumber AS entry_no",
     "cast(l_shipdate as date) AS event_date",
     "cast(year(l_shipdate) as int) AS year",
@@ -41,7 +41,7 @@ SCORED = "scored AS (SELECT " + ", ".join(SCORED_COLUMNS) + " FROM lineitem)"
 
 PANEL_COLUMNS = [
     "l_orderkey AS contest_id",
-    "concat_ws('-', cast(l_orderkey as string), cast(l_linenumber as string), cast(l_partkey as string), cast(l_suppkey as string)) AS entry_id",
+    "concat_ws('-', cast(l_orderkey as string), cast(l_linenumber as string), cast(l_partkey as string), cast(l_suppkey as string), cast(cast(l_quantity as int) as string)) AS entry_id",
     "l_linenumber AS entry_no",
     "cast(o_orderdate as date) AS event_date",
     "cast(year(o_orderdate) as int) AS year",
@@ -96,7 +96,7 @@ def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
 _TENTHS = "cast(cast(10 + floor(l_extendedprice / 2500) as int) as string)"
 AUDIT_COLUMNS = [
     "l_orderkey AS contest_id",
-    "concat_ws('-', cast(l_orderkey as string), cast(l_linenumber as string), cast(l_partkey as string), cast(l_suppkey as string)) AS entry_id",
+    "concat_ws('-', cast(l_orderkey as string), cast(l_linenumber as string), cast(l_partkey as string), cast(l_suppkey as string), cast(cast(l_quantity as int) as string)) AS entry_id",
     "l_linenumber AS entry_no",
     "cast(l_shipdate as date) AS event_date",
     "cast(year(l_shipdate) as int) AS year",
