@@ -6,11 +6,12 @@ whatever the data size), never on raw rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GeneralizedLinearRegression, IsotonicRegression
+import numpy as np
+from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,24 +27,70 @@ def histogram(df: DataFrame, by: Sequence[str], y: str, p: str) -> DataFrame:
     return df.groupBy(*by, F.round(p, 6).alias("p"), F.col(y).cast("double").alias("y")).agg(F.count(F.lit(1)).cast("double").alias("n"))
 
 
+def newton_logistic(df: DataFrame, features: Sequence[Column], y: Column, offset: Column | None = None, weight: Column | None = None,
+                    reg: float = 0.0, iterations: int = 60, tol: float = 1e-9) -> list[float]:
+    """[intercept, coefficients...] of a weighted logistic regression on top of a fixed offset.
+
+    Every iteration is one aggregate of loss, gradient and Hessian sums (a handful of numbers), so the
+    data never leaves the executors; steps that raise the loss are halved, which plain reweighted least
+    squares does not do and then diverges on extreme offsets.
+    """
+    k = len(features) + 1
+    names = [f"x{i}" for i in range(k)]
+    d = df.select(F.lit(1.0).alias("x0"), *[f.cast("double").alias(n) for f, n in zip(features, names[1:])], y.cast("double").alias("y"),
+                  (F.lit(0.0) if offset is None else offset).cast("double").alias("o"), (F.lit(1.0) if weight is None else weight).cast("double").alias("w")).persist()
+
+    def evaluate(beta):
+        eta = F.col("o")
+        for b, n in zip(beta, names):
+            eta = eta + F.lit(float(b)) * F.col(n)
+        e = d.withColumn("eta", eta).withColumn("mu", X.sigmoid(F.col("eta")))
+        e = e.withColumns({"g": F.col("w") * (F.col("y") - F.col("mu")), "h": F.col("w") * F.col("mu") * (1.0 - F.col("mu")),
+                           "l": F.col("w") * (F.greatest("eta", F.lit(0.0)) + F.log1p(F.exp(-F.abs("eta"))) - F.col("y") * F.col("eta"))})
+        r = e.agg(F.sum("w").alias("n"), F.sum("l").alias("l"), *[F.sum(F.col("g") * F.col(n)).alias(f"g_{n}") for n in names],
+                  *[F.sum(F.col("h") * F.col(names[i]) * F.col(names[j])).alias(f"h_{i}_{j}") for i in range(k) for j in range(i, k)]).first()
+        ridge = np.array([0.0] + [reg] * (k - 1))
+        grad = np.array([r[f"g_{n}"] for n in names]) / r["n"] - ridge * beta
+        hess = np.array([[r[f"h_{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)]) / r["n"] + np.diag(ridge)
+        return r["l"] / r["n"] + 0.5 * float(np.sum(ridge * beta * beta)), grad, hess
+
+    beta = np.zeros(k)
+    loss, grad, hess = evaluate(beta)
+    for _ in range(iterations):
+        step = np.linalg.lstsq(hess, grad, rcond=None)[0]
+        scale = 1.0
+        new = evaluate(beta + step)
+        while new[0] > loss + 1e-15 and scale > 1e-6:
+            scale /= 4.0
+            new = evaluate(beta + scale * step)
+        if new[0] > loss:
+            break
+        beta, done = beta + scale * step, scale == 1.0 and float(np.max(np.abs(step))) < tol
+        loss, grad, hess = new
+        if done:
+            break
+    d.unpersist()
+    return [float(b) for b in beta]
+
+
 def fit_logistic_line(hist: DataFrame, x: Column) -> tuple[float, float]:
     """(slope, intercept) of an unpenalised one-feature logistic regression on weighted rows."""
-    d = VectorAssembler(inputCols=["x"], outputCol="features").transform(hist.select(x.alias("x"), "y", "n"))
-    m = GeneralizedLinearRegression(family="binomial", link="logit", labelCol="y", weightCol="n", maxIter=50, tol=1e-10).fit(d)
-    return float(m.coefficients[0]), float(m.intercept)
+    intercept, slope = newton_logistic(hist, [x], F.col("y"), weight=F.col("n"))
+    return slope, intercept
 
 
-def fit_temperature(hist: DataFrame, rounds: int = 3, points: int = 21) -> float:
+def fit_temperature(hist: DataFrame, low: float = 0.05, high: float = 20.0, rounds: int = 7, points: int = 9) -> float:
     """Temperature that minimises log-loss: each round is one aggregate over a grid, refined around the best."""
-    lo, hi = 0.25, 4.0
-    best = 1.0
+    d = hist.select(X.logit(F.col("p")).alias("z"), "y", "n")
+    lo, hi, best = math.log(low), math.log(high), 1.0
     for _ in range(rounds):
-        grid = [lo + (hi - lo) * i / (points - 1) for i in range(points)]
-        z = X.logit(F.col("p"))
-        row = hist.agg(*[F.sum(F.col("n") * M.log_loss(F.col("y"), X.sigmoid(z / t), 1e-12)).alias(f"l{i}") for i, t in enumerate(grid)]).first()
+        grid = [math.exp(lo + (hi - lo) * i / (points - 1)) for i in range(points)]
+        e = d.withColumns({f"e{i}": F.col("z") / t for i, t in enumerate(grid)})
+        row = e.agg(*[F.sum(F.col("n") * (F.greatest(F.col(f"e{i}"), F.lit(0.0)) + F.log1p(F.exp(-F.abs(F.col(f"e{i}")))) - F.col("y") * F.col(f"e{i}"))).alias(f"l{i}")
+                      for i in range(points)]).first()
         i = min(range(points), key=lambda k: row[k])
         best = grid[i]
-        lo, hi = grid[max(0, i - 1)], grid[min(points - 1, i + 1)]
+        lo, hi = math.log(grid[max(0, i - 1)]), math.log(grid[min(points - 1, i + 1)])
     return best
 
 

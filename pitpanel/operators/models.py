@@ -9,13 +9,13 @@ from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import Imputer, OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pitpanel.functions import expr as X
 from pitpanel.functions.ordered import attach_row, quantiles
 from pitpanel.operators import metrics as M
+from pitpanel.operators.calibrate import newton_logistic
 from pitpanel.operators.folds import Fold
 
 
@@ -90,11 +90,9 @@ class OffsetModel:
 
 
 def fit_offset(train: DataFrame, columns: Sequence[str], y: str, offset: str, weight: str | None = None, reg: float = 1e-6) -> OffsetModel:
-    d = train.select(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in columns], F.col(y).cast("double").alias("_y"),
-                     F.col(offset).alias("_o"), (F.col(weight) if weight else F.lit(1.0)).alias("_w"))
-    d = VectorAssembler(inputCols=list(columns), outputCol="features").transform(d)
-    m = GeneralizedLinearRegression(family="binomial", link="logit", labelCol="_y", offsetCol="_o", weightCol="_w", regParam=reg, maxIter=50).fit(d)
-    return OffsetModel(list(columns), dict(zip(columns, [float(x) for x in m.coefficients])), float(m.intercept))
+    b = newton_logistic(train, [F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns], F.col(y), F.col(offset),
+                        F.col(weight) if weight else None, reg)
+    return OffsetModel(list(columns), dict(zip(columns, b[1:])), b[0])
 
 
 def apply_offset(df: DataFrame, model: OffsetModel, offset: str) -> DataFrame:

@@ -173,3 +173,16 @@ def test_parity_gate_fails_on_any_difference(spark):
     assert MO.parity_gate(a, a, ["c", "e"], "y", "p", 1e-9).first().passed
     assert not MO.parity_gate(a, a.filter("e = '1'"), ["c", "e"], "y", "p", 1e-9).first().passed
     assert not MO.parity_gate(a, a.unionAll(a.filter("e = '1'")), ["c", "e"], "y", "p", 1e-9).first().passed
+
+
+def test_fit_survives_extreme_scores(spark):
+    """Scores of 0 and 1 make plain reweighted least squares diverge; the damped fit must not."""
+    rng = np.random.default_rng(2)
+    p = np.where(rng.uniform(size=800) < 0.3, 1.0, rng.uniform(0.01, 0.99, 800).round(2))
+    y = (rng.uniform(size=800) < 0.3).astype(int)
+    df = spark.createDataFrame([(float(a), int(b)) for a, b in zip(p, y)], "p double, y int")
+    c = CAL.fit("platt_logit", CAL.histogram(df, [], "y", "p"))
+    z = np.clip(p, 1e-6, 1 - 1e-6)
+    z = np.log(z / (1 - z))
+    m = 1 / (1 + np.exp(-(c.params["intercept"] + c.params["slope"] * z)))
+    assert abs(np.sum(y - m)) < 1e-4 and abs(np.sum((y - m) * z)) < 1e-3
