@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pitpanel.llm import bpe, exact, mixing, simhash, toxicity
+from pitpanel.llm import bpe, exact, fertility, mixing, pii, simhash, toxicity, warc
 from pitpanel.llm.common import documents
 
 
@@ -16,6 +16,18 @@ def op2_bpe(spark, sf_dir):
     return bpe.encoded(documents(spark, sf_dir))
 
 
+def op4_pii(spark, sf_dir):
+    return pii.found(documents(spark, sf_dir))
+
+
+def op5_warc(spark, sf_dir):
+    return warc.round_trip(spark, spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op6_fertility(spark, sf_dir):
+    return fertility.judged(documents(spark, sf_dir))
+
+
 def op7_simhash(spark, sf_dir):
     groups = simhash.near_groups(documents(spark, sf_dir))
     return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -29,9 +41,14 @@ def op9_exact_dedup(spark, sf_dir):
     return exact.exact_groups(documents(spark, sf_dir)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_bpe, op7_simhash, op8_mixing, op9_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_bpe, op4_pii, op5_warc, op6_fertility, op7_simhash, op8_mixing, op9_exact_dedup)}
 
 SQL = {
+    "op5_warc": """
+SELECT page_id, octet_length(encode(p)) AS payload_bytes, sha1(p) AS payload_digest,
+       CASE WHEN octet_length(encode(p)) >= 1000 AND page_id <> max(page_id) OVER g THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN octet_length(encode(p)) >= 1000 AND page_id <> max(page_id) OVER g THEN max(page_id) OVER g END AS refers_to
+FROM (SELECT page_id, coalesce(html, '') AS p FROM pages) WINDOW g AS (PARTITION BY p)""",
     "op9_exact_dedup": """
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id IS NOT DISTINCT FROM max(doc_id) OVER g AS kept,
        sha256(coalesce(text, '')) AS text_sha256
