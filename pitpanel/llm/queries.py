@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pitpanel.llm import bpe, exact, fertility, mixing, pii, simhash, toxicity, warc
+from pitpanel.llm import bpe, exact, fertility, licenses, lm, mixing, pii, simhash, toxicity, warc
 from pitpanel.llm.common import documents
 
 
@@ -16,6 +16,10 @@ def op2_bpe(spark, sf_dir):
     return bpe.encoded(documents(spark, sf_dir))
 
 
+def op3_licenses(spark, sf_dir):
+    return licenses.scanned(documents(spark, sf_dir))
+
+
 def op4_pii(spark, sf_dir):
     return pii.found(documents(spark, sf_dir))
 
@@ -41,7 +45,11 @@ def op9_exact_dedup(spark, sf_dir):
     return exact.exact_groups(documents(spark, sf_dir)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_bpe, op4_pii, op5_warc, op6_fertility, op7_simhash, op8_mixing, op9_exact_dedup)}
+def op10_perplexity(spark, sf_dir):
+    return lm.judged(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_bpe, op3_licenses, op4_pii, op5_warc, op6_fertility, op7_simhash, op8_mixing, op9_exact_dedup, op10_perplexity)}
 
 SQL = {
     "op5_warc": """
