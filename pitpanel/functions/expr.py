@@ -19,9 +19,16 @@ def text(c: Column) -> Column:
     return F.trim(c.cast("string"))
 
 
+def is_finite(c: Column) -> Column:
+    """Neither null nor NaN nor infinite; Spark orders NaN above every number, so thresholds must ask this first."""
+    v = c.cast("double")
+    return F.coalesce(~F.isnan(v) & (F.abs(v) != float("inf")), F.lit(False))
+
+
 def number(c: Column) -> Column:
-    """Lenient numeric reading: text that is not a number counts as 0, null stays null."""
-    return F.when(c.isNull(), None).otherwise(F.coalesce(c.cast("string").try_cast("double"), F.lit(0.0)))
+    """Lenient numeric reading: text that is not a finite number counts as 0, null stays null."""
+    v = c.cast("string").try_cast("double")
+    return F.when(c.isNull(), None).otherwise(F.when(is_finite(v), v).otherwise(F.lit(0.0)))
 
 
 def is_blank(c: Column) -> Column:
@@ -51,7 +58,7 @@ def is_valid_id(c: Column) -> Column:
 
 def is_positive(c: Column) -> Column:
     """Null for null, else whether the number is above zero."""
-    return F.when(c.isNull(), None).otherwise(F.coalesce(c.cast("string").try_cast("double") > 0, F.lit(False)))
+    return F.when(c.isNull(), None).otherwise((number(c) > 0))
 
 
 def contest_key(date: Column, venue: Column, *numbers: Column) -> Column:
@@ -132,14 +139,15 @@ def coalesce_columns(df: DataFrame, names: Sequence[str], default=None) -> Colum
 
 
 def tier(ev: Column) -> Column:
-    out = F.when(ev.isNull(), "NONE")
+    out = F.when(~is_finite(ev), "NONE")
     for name, threshold in reversed(TIERS):
         out = out.when(ev >= threshold, name)
     return out.otherwise("NONE")
 
 
 def clip(p: Column, eps: float = 1e-6) -> Column:
-    return F.when(p.isNotNull(), F.greatest(F.lit(eps), F.least(F.lit(1.0 - eps), p)))
+    """Null and NaN stay as they are."""
+    return F.when(F.isnan(p.cast("double")), p).when(p.isNotNull(), F.greatest(F.lit(eps), F.least(F.lit(1.0 - eps), p)))
 
 
 def logit(p: Column, eps: float = 1e-6) -> Column:
@@ -194,7 +202,7 @@ def platt(p: Column, slope: float, intercept: float, eps: float = 1e-6) -> Colum
 
 
 def pick_mask(p: Column, odds: Column, ev_min: float, lo: float | None = None, hi: float | None = None) -> Column:
-    cond = (p * odds) >= ev_min
+    cond = is_finite(p * odds) & ((p * odds) >= ev_min)
     if lo is not None:
         cond = cond & (odds >= lo)
     if hi is not None:
@@ -234,7 +242,7 @@ def rule_mask(rule: dict) -> Column:
         cond = cond & F.expr(STRATEGY_MACROS[rule["strategy_type"]])
     for name, (column, op) in RULE_CONDITIONS.items():
         if rule.get(name) is not None:
-            cond = cond & _OPS[op](F.col(column), F.lit(float(rule[name])))
+            cond = cond & ~F.isnan(F.col(column).cast("double")) & _OPS[op](F.col(column), F.lit(float(rule[name])))
     if rule.get("dynamic_low_odds_edge"):
         floor = F.when(F.col("odds") < 1.3, 0.05).when(F.col("odds") < 1.8, 0.03).otherwise(0.02)
         cond = cond & (F.col("place_edge_low") >= floor)
@@ -250,7 +258,7 @@ def iso_day(c: Column) -> Column:
 
 
 def paid_flag(df: DataFrame, labels: Sequence[str], pays: Sequence[str]) -> Column:
-    """Label when present, else payout > 0, else false."""
+    """A label column that the frame has decides (null is false); only without one the payout does."""
     lab = [F.col(c) == 1 for c in labels if c in df.columns]
     pay = [F.col(c) > 0 for c in pays if c in df.columns]
-    return F.coalesce(*lab, *pay, F.lit(False))
+    return F.coalesce(*(lab or pay), F.lit(False))

@@ -1,7 +1,6 @@
 """Calibrators: identity, Platt on p or logit, isotonic, temperature; walk-forward and nested choice.
 
-Every fit runs on a score histogram (scores rounded to 1e-6, so at most a million weighted rows
-whatever the data size), never on raw rows.
+Every fit runs on a histogram of the exact scores: only equal scores are merged, so nothing is lost.
 """
 
 from __future__ import annotations
@@ -23,8 +22,8 @@ METHODS = ("identity", "platt_p", "platt_logit", "isotonic", "temperature")
 
 
 def histogram(df: DataFrame, by: Sequence[str], y: str, p: str) -> DataFrame:
-    """(by..., score, label, n) with scores rounded to six digits."""
-    return df.groupBy(*by, F.round(p, 6).alias("p"), F.col(y).cast("double").alias("y")).agg(F.count(F.lit(1)).cast("double").alias("n"))
+    """(by..., score, label, n) of the exact scores."""
+    return df.groupBy(*by, F.col(p).alias("p"), F.col(y).cast("double").alias("y")).agg(F.count(F.lit(1)).cast("double").alias("n"))
 
 
 def newton_logistic(df: DataFrame, features: Sequence[Column], y: Column, offset: Column | None = None, weight: Column | None = None,

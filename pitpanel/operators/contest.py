@@ -134,8 +134,8 @@ def rank_bins(df: DataFrame, value: str, tie: str, bins: int, slices: int | None
 
 
 def value_bins(df: DataFrame, value: str, bins: int, slices: int | None = None) -> DataFrame:
-    """Bins over the distinct values, larger parts first; equal values share a bin."""
-    distinct = df.select(value).distinct().withColumn("_g", F.lit(0))
+    """Bins over the distinct values, larger parts first; equal values share a bin, null has none."""
+    distinct = df.select(value).filter(F.col(value).isNotNull()).distinct().withColumn("_g", F.lit(0))
     m = distinct.agg(F.count(F.lit(1)).alias("m")).scalar()
     out = row_numbers(distinct, ["_g"], [F.col(value)], "_rn", slices)
     small, extra = F.floor(m / bins), m % bins
@@ -143,7 +143,7 @@ def value_bins(df: DataFrame, value: str, bins: int, slices: int | None = None)
     i = F.col("_rn") - 1
     b = F.when(i < cut, F.floor(i / (small + 1))).otherwise(extra + F.floor((i - cut) / F.greatest(small, F.lit(1))))
     lookup = out.select(F.col(value).alias("_v"), b.cast("int").alias("bin"))
-    return df.join(lookup, F.col(value) == F.col("_v")).drop("_v")
+    return df.join(lookup, F.col(value) == F.col("_v"), "left").drop("_v")
 
 
 def quantile_bins(df: DataFrame, value: str, bins: int, slices: int | None = None) -> DataFrame:

@@ -16,9 +16,6 @@ from pitpanel.functions import expr as X
 from pitpanel.functions.ordered import join_stats
 from pitpanel.functions.sizes import broadcast_if_small
 
-MAX_LAST = 5
-
-
 def admission_reason(has_result: Column, status: Column, entity: Column, rank: Column) -> Column:
     """First reason that keeps a row out of history; null when admitted."""
     return (
@@ -105,7 +102,7 @@ def wide_features(panel: DataFrame, stores: dict[str, Column], entry: str, day:
 
 
 def last_records(panel: DataFrame, entity: Column, day: str, ok: Column, order: Sequence[Column],
-                 fields: dict[str, Column], n: int = MAX_LAST) -> DataFrame:
+                 fields: dict[str, Column], n: int) -> DataFrame:
     """Per (entity, day): array of the last ``n`` admitted records strictly before the day, newest first.
 
     Only the newest ``n`` records of an entity's day can matter, so a ranked filter (partially
@@ -137,7 +134,8 @@ def last_features(panel: DataFrame, entry: str, entity: Column, day: str, ok: Co
                   means: dict[str, tuple[Column, Sequence[int]]], diffs: dict[str, Column]) -> DataFrame:
     """Last-N means, days since last and differences to the last record, strictly before the day."""
     fields = {k: c for k, (c, _) in means.items()} | {f"d_{k}": c for k, c in diffs.items()}
-    recent = last_records(panel, entity, day, ok, order, fields)
+    longest = max([1, *[n for _, spans in means.values() for n in spans]])
+    recent = last_records(panel, entity, day, ok, order, fields, longest)
     rows = panel.select(F.col(entry), entity.alias("key"), F.col(day).alias("day"),
                         *[c.alias(f"_now_{k}") for k, c in diffs.items()])
     last = F.try_element_at("recent", F.lit(1))

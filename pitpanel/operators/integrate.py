@@ -21,7 +21,7 @@ def slot_unpivot(df: DataFrame, keys: Sequence[str], slots: Sequence[tuple[str,
 
 
 def combine_slots(long: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """One row per (contest, number): duplicate slots are summed up and counted, so a join cannot fan out."""
+    """One row per (contest, number): of duplicate slots the largest payout counts and their number is kept, so a join cannot fan out."""
     return long.groupBy(*keys, "number").agg(F.max("pay").alias("pay"), F.min("popularity").alias("pay_popularity"),
                                              F.count(F.lit(1)).alias("slot_count"))
 

@@ -119,3 +119,13 @@ def yearly_summary(df: DataFrame, s: PanelSpec = PanelSpec(), cutoff: str = "cut
         (F.count(F.lit(1)) - F.count_if("fin")).alias("unfinalized"), (F.sum("n") - F.sum("entries")).alias("entry_duplicates"),
         F.sum("bad").alias("cutoff_violations"),
         *[F.sum(k).alias(f"{k}_training_rows") for k in ("win", "place", "ranking")])
+
+
+def feature_inventory(df: DataFrame, sets: dict[str, Sequence[str]]) -> DataFrame:
+    """Every feature of every set: whether the frame has it, its type, rows, nulls and null rate, in one pass over the frame."""
+    wanted = sorted({f for fs in sets.values() for f in fs})
+    kinds = dict(df.dtypes)
+    nulls = df.agg(F.count(F.lit(1)).alias("rows"), *[F.count_if(F.col(f).isNull()).alias(f) for f in wanted if f in kinds])
+    items = [F.struct(F.lit(s).alias("feature_set"), F.lit(f).alias("feature"), F.lit(f in kinds).alias("present"), F.lit(kinds.get(f)).cast("string").alias("dtype"),
+                      (F.col(f) if f in kinds else F.lit(None).cast("long")).alias("nulls")) for s, fs in sets.items() for f in fs]
+    return nulls.select("rows", F.inline(F.array(*items))).select("feature_set", "feature", "present", "dtype", "rows", "nulls", F.try_divide("nulls", "rows").alias("null_rate"))

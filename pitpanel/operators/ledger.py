@@ -19,7 +19,9 @@ def score_frozen(df: DataFrame, offset: Column, residual: Column, slope: float,
     out = df.withColumn("probability_raw", raw).withColumn("probability_calibrated", X.platt(F.col("probability_raw"), slope, intercept))
     out = out.withColumn("expected_value", F.col("probability_calibrated") * F.col(odds))
     c = F.col("probability_calibrated")
-    return out.withColumn("valid", F.coalesce(~F.isnan(c) & (c > 0) & (c < 1) & (F.col(odds) > 0), F.lit(False)))
+    # asked of the inputs too: the sigmoid turns an infinite sum into a probability
+    sound = X.is_finite(offset) & X.is_finite(residual) & X.is_finite(F.col("probability_raw")) & X.is_finite(F.col("expected_value"))
+    return out.withColumn("valid", F.coalesce(sound & (c > 0) & (c < 1) & (F.col(odds) > 0), F.lit(False)))
 
 
 def run_id(df: DataFrame, by: Sequence[str], keys: Sequence[str]) -> DataFrame:
@@ -31,7 +33,7 @@ def run_id(df: DataFrame, by: Sequence[str], keys: Sequence[str]) -> DataFrame:
 
 def tier_rows(df: DataFrame, keys: Sequence[str], ev: str, tiers=X.TIERS, stake: int = STAKE) -> DataFrame:
     """Entry x nested tier with flag and stake (a fixed four-way map-side expansion)."""
-    items = [F.struct(F.lit(n).alias("tier"), F.lit(float(t)).alias("threshold"), F.coalesce(F.col(ev) >= t, F.lit(False)).alias("selected"))
+    items = [F.struct(F.lit(n).alias("tier"), F.lit(float(t)).alias("threshold"), (X.is_finite(F.col(ev)) & (F.col(ev) >= t)).alias("selected"))
              for n, t in tiers]
     out = df.select(*keys, ev, F.inline(F.array(*items)))
     return out.withColumn("stake", F.when(F.col("selected"), stake).otherwise(0))
@@ -134,7 +136,7 @@ def normalise_predictions(df: DataFrame, source_path: Column, source_type: Colum
                        "retrospective_only": F.coalesce("retrospective_only", F.col("source_type").isin("RETROSPECTIVE_VALIDATION", "BACKTEST")),
                        "ev_probability_source": F.when(F.col("probability_calibrated").isNotNull(), "probability_calibrated").otherwise("probability_raw"),
                        "expected_value": F.coalesce(F.col("_ev"), F.coalesce("probability_calibrated", "probability_raw") * F.col("odds_low"))}).drop("_ev")
-    d = d.withColumns({"tier": X.tier(F.col("expected_value")), "selected_for_bet": F.coalesce(F.col("expected_value") >= X.TIERS[0][1], F.lit(False))})
+    d = d.withColumns({"tier": X.tier(F.col("expected_value")), "selected_for_bet": X.is_finite(F.col("expected_value")) & (F.col("expected_value") >= X.TIERS[0][1])})
     d = d.withColumns({"stake": F.when(F.col("selected_for_bet"), stake).otherwise(0),
                        "payout": F.when(F.col("selected_for_bet") & (F.col("target_place_paid") == 1), F.col("pay")).otherwise(0.0)})
     d = d.withColumns({"profit": F.col("payout") - F.col("stake"), "validation_year": F.year("race_date")})

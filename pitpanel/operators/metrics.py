@@ -86,15 +86,13 @@ def top1_metrics(df: DataFrame, group: Sequence[str], contest: str, entry: str,
         F.count_if(F.col("p1") == F.col("p2")).alias("tied_contests"), F.avg("hit3").alias("top3_hit_rate"))
 
 
-def precision_at_limit(df: DataFrame, group: Sequence[str], contest: str, entry: str, y: str, p: str, limit: Column,
-                       max_limit: int = 3) -> DataFrame:
-    """Precision and recall at k with k from the contest's slot limit; contests with k = 0 are left out.
-
-    ``max_limit`` is the largest slot limit of the rule (3), so it bounds the ranked rows without losing any."""
+def precision_at_limit(df: DataFrame, group: Sequence[str], contest: str, entry: str, y: str, p: str, limit: Column) -> DataFrame:
+    """Precision and recall at k with k from the contest's slot limit; contests with k = 0 are left out."""
     keys = [*group, contest]
     base = df.select(*keys, entry, y, p, limit.alias("_k"))
     w = W.partitionBy(*keys).orderBy(F.col(p).desc(), F.col(entry))
-    tops = base.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= max_limit).select(*keys, "_rn", F.col(y).alias("_y"))
+    ranked = base.withColumns({"_rn": F.row_number().over(w), "_most": F.max("_k").over(W.partitionBy(*keys))})
+    tops = ranked.filter(F.col("_rn") <= F.col("_most")).select(*keys, "_rn", F.col(y).alias("_y"))
     facts = base.groupBy(*keys).agg(F.sum(y).alias("actual"), F.max("_k").alias("k")).filter("k > 0")
     hits = tops.join(facts, keys).groupBy(*keys).agg(
         F.sum(F.when(F.col("_rn") <= F.col("k"), F.col("_y")).otherwise(0)).alias("hits"), F.max("k").alias("k"), F.max("actual").alias("actual"))

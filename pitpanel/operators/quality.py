@@ -34,14 +34,16 @@ def coverage(joined: DataFrame, by: Sequence[Column], found: str, win: str, low:
         F.try_divide(F.count_if(f), n).alias("match_rate"), F.try_divide(valid_win, n).alias("win_rate"), F.try_divide(valid_place, n).alias("place_rate"))
 
 
-def dimension_missingness(joined: DataFrame, dimensions: dict[str, Column], found: str, valid: Column, top: int = 200) -> DataFrame:
-    """Missingness along all dimensions in one GROUPING SETS pass; the ``top`` most frequent values each."""
+def dimension_missingness(joined: DataFrame, dimensions: dict[str, Column], found: str, valid: Column, top: int | None = None) -> DataFrame:
+    """Missingness along all dimensions in one GROUPING SETS pass; every value, or only the ``top`` most frequent of each if asked."""
     names = list(dimensions)
     d = joined.select(*[F.coalesce(c.cast("string"), F.lit("(null)")).alias(n) for n, c in dimensions.items()],
                       F.col(found).alias("_f"), valid.alias("_v"))
     g = d.groupingSets([[n] for n in names], *names).agg(F.count(F.lit(1)).alias("rows"), count(~F.col("_f"), "missing"), count(F.col("_f") & F.col("_v"), "valid"))
     out = g.select(F.coalesce(*[F.when(F.col(n).isNotNull(), F.lit(n)) for n in names]).alias("dimension"), F.coalesce(*names).alias("value"),
                    "rows", "missing", "valid", F.try_divide("valid", "rows").alias("valid_rate"))
+    if top is None:
+        return out
     w = W.partitionBy("dimension").orderBy(F.col("rows").desc(), F.col("value"))
     return out.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= top).drop("_rn")
 

@@ -205,6 +205,27 @@ def pr30(spark, sf):
     return d.select("entry_id")
 
 
+def odd_bets(spark, sf):
+    """Bets of which some have a NaN or infinite expected value."""
+    ev = F.when(F.col("entry_no") == 2, float("nan")).when(F.col("entry_no") == 3, float("inf")).when(F.col("entry_no") == 4, float("-inf")).otherwise(F.col("ev"))
+    return bets(spark, sf).withColumn("ev", ev)
+
+
+def pr10_odd(spark, sf):
+    return odd_bets(spark, sf).groupBy("entry_no", X.tier(F.col("ev")).alias("tier")).agg(F.count(F.lit(1)).alias("entries"))
+
+
+def pr27_odd(spark, sf):
+    q = F.when(F.col("entry_no") == 2, "NaN").when(F.col("entry_no") == 3, "Infinity").otherwise(F.col("win_q"))
+    d = audit_rows(spark, sf).withColumn("q", q)
+    return d.groupBy("entry_no", X.quote_class(F.col("q")).alias("class")).agg(F.count(F.lit(1)).alias("entries"))
+
+
+def pr30_odd(spark, sf):
+    odd = odd_bets(spark, sf).withColumn("p_odd", F.col("ev") / F.col("odds"))
+    return odd.filter(X.pick_mask(F.col("p_odd"), F.col("odds"), 1.05, 2.0, 4.0)).select("entry_id")
+
+
 QUERIES = {
     "pr1_contest_key": pr1, "pr2_mmdd_date": pr2, "pr3_sort_key": pr3, "pr4_bands_surface_going": pr4, "pr5_range_buckets": pr5, "pr6_config_bands": pr6,
     "pr7_segments": pr7, "pr8_ordered_coalesce": pr8, "pr9_normalised_predictions": pr9, "pr10_ev_tier": pr10, "pr11_logit_sigmoid": pr11,
@@ -212,6 +233,7 @@ QUERIES = {
     "pr17_winsorise": pr17, "pr18_rate_smoothing": pr18, "pr19_count_reconstruction": pr19, "pr20_decay_weights": pr20, "pr21_frozen_logistic": pr21,
     "pr22_frozen_platt": pr22, "pr23_rule_mask": pr23, "pr24_dashboard_filter": pr24, "pr25_melt": pr25, "pr26_key_canonical": pr26, "pr27_quote_classes": pr27,
     "pr28_id_validity": pr28, "pr29_code_labels": pr29, "pr30_simple_picks": pr30,
+    "pr10_tier_of_odd_numbers": pr10_odd, "pr27_classes_of_odd_quotes": pr27_odd, "pr30_picks_of_odd_numbers": pr30_odd,
 }
 W, B, PN, A = f"WITH {SCORED} ", f"WITH {BETS} ", f"WITH {PANEL} ", f"WITH {AUDIT} "
 
@@ -274,6 +296,8 @@ SQL = {
     "pr26_key_canonical": PN + "SELECT count(*) AS agreeing, 0::bigint AS bad_accepted FROM panel",
     "pr27_quote_classes": None, "pr28_id_validity": PN + "SELECT regexp_matches(trim(runner),'[^0]') AS valid_runner, coalesce(cast(rank>0 AS int),-1) AS positive_rank, coalesce(cast(win_odds>0 AS int),-1) AS positive_odds, count(*) AS entries FROM panel GROUP BY 1,2,3",
     "pr29_code_labels": f"WITH {NORM} SELECT venue_name, target_place_paid, count(*) AS entries FROM norm GROUP BY 1,2",
+    "pr10_tier_of_odd_numbers": B + f"SELECT entry_no, CASE WHEN entry_no IN (2,3,4) THEN 'NONE' ELSE {TIER.format(e='ev')} END AS tier, count(*) AS entries FROM bets GROUP BY 1,2",
+    "pr30_picks_of_odd_numbers": B + "SELECT entry_id FROM bets WHERE p_model*odds/odds*odds>=1.05 AND odds>=2 AND odds<4 AND entry_no NOT IN (2,3,4)",
     "pr30_simple_picks": B + "SELECT entry_id FROM bets WHERE p_model*odds>=1.05 AND odds>=2 AND odds<4",
 }
 
@@ -289,6 +313,8 @@ def _late():
         head = f"WHEN NOT {found} THEN 'row_missing' " if found else ""
         return f"CASE {head}WHEN {blank(c)} THEN 'null_or_empty' WHEN {invalid(c)} THEN 'zero_or_sentinel' ELSE 'valid' END"
 
+    odd = A + ", o AS (SELECT entry_no, CASE entry_no WHEN 2 THEN '0' WHEN 3 THEN '0' ELSE win_q END AS q FROM audit) "  # what is no finite number counts as 0
+    SQL["pr27_classes_of_odd_quotes"] = odd + f"SELECT entry_no, CASE WHEN {blank('q')} THEN 'null_or_empty' WHEN {invalid('q')} THEN 'zero_or_sentinel' ELSE 'valid' END AS class, count(*) AS entries FROM o GROUP BY 1,2"
     SQL["pr27_quote_classes"] = A + f"SELECT {cls('win_q','has_quote')} AS win_class, {cls('low_q')} AS low_class, count(*) AS entries FROM audit GROUP BY 1,2"
 
 

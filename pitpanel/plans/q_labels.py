@@ -105,10 +105,18 @@ def lb12(spark, sf):
     return L.yearly_summary(with_cutoff(labeled(spark, sf), "event_date"), SPEC)
 
 
+FEATURE_SETS = {"context": ["distance", "field_size", "venue", "carried"], "market": ["win_odds", "popularity", "win_pay"], "entity": ["body", "runner", "final_time", "sire"]}
+
+
+def lb11(spark, sf):
+    d = L.feature_inventory(panel(spark, sf), FEATURE_SETS).drop("dtype")
+    return d.withColumn("null_rate", F.round("null_rate", 6))
+
+
 QUERIES = {
     "lb1_contest_flags": lb1, "lb2_place_limit": lb2, "lb3_targets": lb3, "lb4_availability": lb4,
     "lb5_exclusion_reasons": lb5, "lb6_year_split": lb6, "lb7_split_overlap": lb7, "lb8_class_balance": lb8,
-    "lb9_target_guard": lb9, "lb12_yearly_summary": lb12,
+    "lb9_target_guard": lb9, "lb11_feature_inventory": lb11, "lb12_yearly_summary": lb12,
 }
 SQL = {
     "lb1_contest_flags": WITH + "SELECT has_result, has_win_payout, has_place_payout, is_finalized, count(*) AS entries FROM labeled GROUP BY ALL",
@@ -135,3 +143,7 @@ SQL = {
  count(*) FILTER (place_exclusion='') AS place_training_rows, count(*) FILTER (ranking_exclusion='') AS ranking_training_rows
  FROM labeled JOIN c ON d = event_date GROUP BY year""",
 }
+SQL["lb11_feature_inventory"] = f"WITH {PANEL} " + " UNION ALL ".join(
+    f"SELECT '{s}' AS feature_set, '{c}' AS feature, {'false' if c == 'sire' else 'true'} AS present, count(*) AS rows, "
+    + ("cast(NULL AS bigint) AS nulls, cast(NULL AS double) AS null_rate" if c == "sire" else f"count(*) FILTER ({c} IS NULL) AS nulls, round(count(*) FILTER ({c} IS NULL)/count(*),6) AS null_rate") + " FROM panel"
+    for s, cs in FEATURE_SETS.items() for c in cs)

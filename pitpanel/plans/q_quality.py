@@ -82,7 +82,7 @@ def dq9(policy):
 
 def dq9_samples(spark, sf):
     p = Q.contest_patterns(joined(spark, sf), ["contest_id"], "found", "win_q", "low_q", "high_q")
-    return p.filter("win_pattern = 'partially_valid' or place_pattern = 'partially_valid'").orderBy("contest_id").limit(200).select(
+    return p.filter("win_pattern = 'partially_valid' or place_pattern = 'partially_valid'").select(
         "contest_id", "entries", "win_valid", "place_valid", "win_pattern", "place_pattern")
 
 
@@ -272,7 +272,7 @@ SQL = {
     "dq2_coverage_by_status": J + cov("coalesce(status,'') AS status") + " GROUP BY coalesce(status,'')",
     "dq3_dimension_missingness": J + f""", l AS (SELECT found, {VW} AS v, unnest({DIMS}) AS dimension, unnest([{','.join(f"coalesce(cast({d} AS varchar),'(null)')" for d in DIMS)}]) AS value FROM j),
  g AS (SELECT dimension, value, count(*) AS rows, count(*) FILTER (NOT found) AS missing, count(*) FILTER (found AND v) AS valid FROM l GROUP BY 1,2)
- SELECT dimension, value, rows, missing, valid, round(valid/rows,6) AS valid_rate FROM (SELECT *, row_number() OVER (PARTITION BY dimension ORDER BY rows DESC, value) AS rn FROM g) WHERE rn<=200""",
+ SELECT dimension, value, rows, missing, valid, round(valid/rows,6) AS valid_rate FROM g""",
     "dq4_value_encoding": QT + " UNION ALL ".join(enc(c) for c in ["win_q", "low_q", "high_q"]) + " UNION ALL " + enc("quote_popularity"),
     "dq5_missing_contest_samples": J + f""", m AS (SELECT contest_id, count(*) FILTER (NOT found OR NOT {VW}) AS missing_rows, count(*) AS entries FROM j GROUP BY 1 HAVING count(*) FILTER (NOT found OR NOT {VW})>0 ORDER BY contest_id LIMIT 50)
  SELECT contest_id, entry_id, missing_rows, entries, win_q, found FROM j JOIN m USING (contest_id)""",
@@ -283,7 +283,7 @@ SQL = {
     "dq8_flag_values": QT + f"SELECT flag, value, count(*) AS rows, count(*) FILTER (vw) AS valid_win, count(*) FILTER (vp) AS valid_place FROM (SELECT {VW} AS vw, {VP} AS vp, unnest(['record_kind','flag_a','flag_b']) AS flag, unnest([record_kind, coalesce(flag_a,''), flag_b]) AS value FROM q) GROUP BY 1,2",
     "dq9_patterns_any": pat("any") + " SELECT win_pattern, place_pattern, count(*) AS contests, cast(sum(entries) AS bigint) AS entries, count(*) FILTER (win_valid=place_valid AND win_null=place_null) AS same_contests FROM p GROUP BY 1,2",
     "dq9_patterns_all": pat("all") + " SELECT win_pattern, place_pattern, count(*) AS contests, cast(sum(entries) AS bigint) AS entries, count(*) FILTER (win_valid=place_valid AND win_null=place_null) AS same_contests FROM p GROUP BY 1,2",
-    "dq9_partial_samples": pat("any") + " SELECT contest_id, entries, win_valid, place_valid, win_pattern, place_pattern FROM p WHERE win_pattern='partially_valid' OR place_pattern='partially_valid' ORDER BY contest_id LIMIT 200",
+    "dq9_partial_samples": pat("any") + " SELECT contest_id, entries, win_valid, place_valid, win_pattern, place_pattern FROM p WHERE win_pattern='partially_valid' OR place_pattern='partially_valid'",
     "dq10_count_consistency": J + """, c AS (SELECT contest_id, count(DISTINCT entry_no) AS entry_rows, count(DISTINCT entry_no) FILTER (found) AS quote_rows FROM j GROUP BY 1)
  SELECT contest_id, entry_rows, quote_rows, 2+o_custkey%4 AS declared, (quote_rows<>entry_rows OR 2+o_custkey%4<>entry_rows) AS anomaly FROM c JOIN orders ON o_orderkey=contest_id""",
     "dq11_two_source_comparison": HYP + """ SELECT comparison, count(*) AS compared, count(*) FILTER (d=0) AS exact, count(*) FILTER (d<=1e-9) AS within_tolerance, round(avg(d),6) AS mean_diff, round(max(d),6) AS max_diff, round(median(d),6) AS median_diff,
