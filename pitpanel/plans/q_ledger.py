@@ -102,9 +102,13 @@ def st1(spark, sf):
 
 
 def st2(spark, sf):
-    p = events_stream(spark, sf).filter("event_type = 'view'").select("event_id", "user_id", F.col("ts").alias("predicted_at"))
-    s = events_stream(spark, sf).filter("event_type = 'purchase'").select("user_id", F.col("ts").alias("settled_at"), "value")
-    return ST.run_available(ST.join_settlements(p, s, "user_id", "predicted_at", "settled_at", "1 hour", "6 hours"), "settled")
+    e = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    views = lambda d: d.filter("event_type = 'view'").select("event_id", "user_id", F.col("ts").alias("predicted_at"))
+    buys = lambda d: d.filter("event_type = 'purchase'").select("user_id", F.col("ts").alias("settled_at"), "value")
+    live = events_stream(spark, sf)
+    joined = ST.run_available(ST.join_settlements(views(live), buys(live), "user_id", "predicted_at", "settled_at", "1 hour", "6 hours"), "settled")
+    out = ST.settled_once(joined, views(e), buys(e), "user_id", ["event_id", "user_id", "predicted_at"], "predicted_at", "settled_at", "6 hours")
+    return out.withColumns({c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in ("predicted_at", "settled_at")})
 
 
 def st3(spark, sf):
@@ -114,13 +118,15 @@ def st3(spark, sf):
 
 
 def st4(spark, sf):
-    """Per-day refresh over three arriving files; equals the batch history."""
+    """Per-day refresh over files that arrive one by one and cut through days; equals the batch history."""
     staged = fresh_path(spark, "arrivals")
     e = table(spark, sf, "events").select(F.lit("user").alias("store"), F.col("user_id").cast("string").alias("key"), F.to_date("ts").alias("day"),
-                                          F.lit(True).alias("ok"), (F.col("event_type") == "purchase").cast("int").alias("wins"))
-    for lo, hi in (("2024-01-01", "2024-01-11"), ("2024-01-11", "2024-01-21"), ("2024-01-21", "2025-01-01")):
-        e.filter((F.col("day") >= F.lit(lo).cast("date")) & (F.col("day") < F.lit(hi).cast("date"))).coalesce(1).write.mode("append").parquet(staged)
-    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(staged)
+                                          F.lit(True).alias("ok"), (F.col("event_type") == "purchase").cast("int").alias("wins"), F.col("ts").cast("timestamp").alias("at"))
+    span = e.agg(F.min("at").cast("long"), F.max("at").cast("long")).first()
+    part = F.least(F.floor((F.col("at").cast("long") - span[0]) * 3 / (span[1] - span[0] + 1)), F.lit(2))
+    for i in range(3):  # a third of the time span each
+        e.filter(part == i).drop("at").repartition(1).write.mode("append").parquet(staged)
+    stream = spark.readStream.schema(e.drop("at").schema).option("maxFilesPerTrigger", 1).parquet(staged)
     out = ST.HistoryRefresh(spark, "day", "ok", ["wins"]).run(stream)
     return out.select("key", F.col("day").cast("string").alias("day"), "starts", "wins")
 
@@ -152,5 +158,8 @@ SQL = {
     "sc7_ledger_read": B + f", {T}, y AS (SELECT year, count(*) AS n FROM bets GROUP BY 1) SELECT 'run-'||year AS run_id, tier, CASE WHEN status='F' THEN 'settled' ELSE 'pending' END AS status, count(*) AS rows, cast(sum(CASE WHEN status='F' THEN pay END) AS bigint) AS payout, max(n) AS run_rows FROM bets JOIN tt ON ev>=threshold JOIN y USING (year) GROUP BY 1,2,3",
     "st1_unique_events": "SELECT DISTINCT user_id, event_type, strftime(ts,'%Y-%m-%d %H') AS hour FROM events",
     "st3_daily_roi": "WITH m AS (SELECT max(ts) - INTERVAL 2 HOUR AS w FROM events) SELECT strftime(date_trunc('day',ts),'%Y-%m-%d') AS day, event_type AS tier, count(*) AS bets, 100*count(*) AS stake, cast(sum(round(value*100)) AS bigint) AS payout, round(100.0*sum(round(value*100))/(100*count(*)),6) AS roi FROM events WHERE date_trunc('day',ts) + INTERVAL 1 DAY <= (SELECT w FROM m) GROUP BY 1,2",
+    "st2_late_settlements": """WITH v AS (SELECT event_id, user_id, ts AS p FROM events WHERE event_type='view'), b AS (SELECT user_id, ts AS s, value FROM events WHERE event_type='purchase'),
+ j AS (SELECT v.event_id, v.user_id, p, s, value, row_number() OVER (PARTITION BY event_id, v.user_id, p ORDER BY s, value) AS rn FROM v LEFT JOIN b ON v.user_id=b.user_id AND s>p AND s<=p+INTERVAL 6 HOUR)
+ SELECT event_id, user_id, strftime(p,'%Y-%m-%d %H:%M:%S') AS predicted_at, strftime(s,'%Y-%m-%d %H:%M:%S') AS settled_at, value, CASE WHEN s IS NULL THEN 'pending' ELSE 'settled' END AS status FROM j WHERE rn=1""",
     "st4_history_refresh": "WITH d AS (SELECT cast(user_id AS varchar) AS key, cast(ts AS date) AS day, count(*) AS n, count(*) FILTER (event_type='purchase') AS w FROM events GROUP BY 1,2) SELECT key, cast(day AS varchar) AS day, cast(coalesce(sum(n) OVER x,0) AS bigint) AS starts, cast(coalesce(sum(w) OVER x,0) AS bigint) AS wins FROM d WINDOW x AS (PARTITION BY key ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)",
 }

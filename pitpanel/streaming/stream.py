@@ -41,27 +41,78 @@ def run_available(stream: DataFrame, name: str, mode: str = "append") -> DataFra
     return spark.read.schema(stream.schema).parquet(out)
 
 
+def settled_once(joined: DataFrame, predictions: DataFrame, settlements: DataFrame, key: str, ids: Sequence[str], predicted_at: str, settled_at: str, within: str) -> DataFrame:
+    """Closing report of the stream join: every prediction exactly once, with its first settlement or as pending.
+
+    Several settlements of a prediction leave the earliest; predictions that the open stream still holds back, or that
+    came later than the watermark, are looked up in the closed tables.
+    """
+    rest = [c for c in settlements.columns if c not in (key, settled_at)]
+    first = F.min(F.when(F.col(settled_at).isNotNull(), F.struct(settled_at, *rest))).alias("_s")
+    done = joined.groupBy(*ids).agg(first)
+    left = predictions.join(done.select(*ids), list(ids), "left_anti")
+    s = settlements.withColumnRenamed(key, "_key")
+    cond = (F.col(key) == F.col("_key")) & (F.col(settled_at) > F.col(predicted_at)) & (F.col(settled_at) <= F.col(predicted_at) + F.expr(f"interval {within}"))
+    out = done.unionByName(left.join(s, cond, "left").groupBy(*ids).agg(first))
+    return out.select(*ids, *[F.col(f"_s.{c}").alias(c) for c in (settled_at, *rest)], F.when(F.col("_s").isNull(), "pending").otherwise("settled").alias("status"))
+
+
 class HistoryRefresh:
     """Per closed day(s): join the snapshot, emit prior totals, merge the days into the next snapshot version.
 
-    Every batch writes its own folder and a new snapshot version, so a retried batch gives the same files.
+    The newest day seen is still open: its rows wait until a later day arrives or the stream ends, so a day that is
+    spread over several batches is counted as one and never sees itself.  Rows of days that are closed already are
+    kept apart; at the end they make the totals of all days anew from the written day facts.  Every batch writes its
+    own folders, so a retried batch gives the same files.
     """
 
     def __init__(self, spark: SparkSession, day: str, ok: str, flags: Sequence[str]):
         self.spark, self.day, self.ok, self.flags = spark, day, ok, list(flags)
-        self.features, self.state = fresh_path(spark, "features"), fresh_path(spark, "snapshot")
+        self.root = fresh_path(spark, "refresh")
+
+    def _put(self, df: DataFrame, name: str, version: int) -> None:
+        df.write.mode("overwrite").parquet(f"{self.root}/{name}/version={version}")
+
+    def _get(self, name: str, version: int) -> DataFrame:
+        return self.spark.read.parquet(f"{self.root}/{name}/version={version}")
+
+    def _advance(self, rows: DataFrame, version: int, keep_open: bool) -> None:
+        day = F.col(self.day)
+        if version:
+            state, closed = self._get("snapshot", version - 1), self._get("closed", version - 1).first()[0]
+            rows = rows.unionByName(self._get("open", version - 1))
+        else:
+            state, closed = self.spark.createDataFrame([], H.snapshot(rows, self.day, self.ok, self.flags).schema), None
+        newest = rows.agg(F.max(self.day)).first()[0] if keep_open else None
+        late = rows.filter(day <= F.lit(closed)) if closed is not None else rows.filter(F.lit(False))
+        live = rows.filter(day > F.lit(closed)) if closed is not None else rows
+        closing = live.filter(day < F.lit(newest)) if newest is not None else live
+        self._put(late, "late", version)
+        self._put(live.filter(day >= F.lit(newest)) if newest is not None else live.filter(F.lit(False)), "open", version)
+        self._put(H.key_days(closing, self.day, self.ok, self.flags), "facts", version)
+        self._put(H.extend_from_snapshot(state, closing, self.day, self.ok, self.flags), "features", version)
+        merged = state.unionByName(H.snapshot(closing, self.day, self.ok, self.flags)).groupBy("store", "key").agg(
+            *[F.sum(c).alias(c) for c in ["starts", *self.flags]], F.max("last_day").alias("last_day"))
+        self._put(merged, "snapshot", version)
+        last = closing.agg(F.max(self.day).alias("closed"))
+        self._put(last.select(F.greatest("closed", F.lit(closed)).alias("closed")) if closed is not None else last, "closed", version)
+        self.version = version
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        fresh = H.snapshot(batch, self.day, self.ok, self.flags)
-        old = spark.read.parquet(f"{self.state}/version={batch_id - 1}") if batch_id else spark.createDataFrame([], fresh.schema)
-        H.extend_from_snapshot(old, batch, self.day, self.ok, self.flags).write.mode("overwrite").parquet(f"{self.features}/batch={batch_id}")
-        merged = old.unionByName(fresh).groupBy("store", "key").agg(
-            *[F.sum(c).alias(c) for c in ["starts", *self.flags]], F.max("last_day").alias("last_day"))
-        merged.write.mode("overwrite").parquet(f"{self.state}/version={batch_id}")
+        self._advance(batch, batch_id, keep_open=True)
 
     def run(self, stream: DataFrame) -> DataFrame:
+        """Process everything available, close the last day and return the totals of all days."""
         ck = fresh_path(self.spark, "refresh-checkpoint")
+        self.version = -1
         q = stream.writeStream.foreachBatch(self).option("checkpointLocation", ck).trigger(availableNow=True).start()
         q.awaitTermination()
-        return self.spark.read.parquet(self.features)
+        empty = self.spark.createDataFrame([], stream.schema)
+        self._advance(empty, self.version + 1, keep_open=False)
+        out = self.spark.read.parquet(f"{self.root}/features").drop("version")
+        late = self.spark.read.parquet(f"{self.root}/late").drop("version")
+        if not late.head(1):
+            return out
+        days = self.spark.read.parquet(f"{self.root}/facts").drop("version").unionByName(H.key_days(late, self.day, self.ok, self.flags))
+        days = days.groupBy("store", "key", self.day).agg(*[F.sum(c).alias(c) for c in days.columns if c not in ("store", "key", self.day)])
+        return H.prior_totals(days, self.day, ["starts", *self.flags]).select(*out.columns)

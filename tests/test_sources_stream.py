@@ -83,3 +83,29 @@ def test_stream_drops_repeats(spark):
     spark.createDataFrame([("run1", "e1", ts(0)), ("run1", "e1", ts(2)), ("run1", "e2", ts(1))], "run string, e string, at timestamp").write.parquet(p)
     s = spark.readStream.schema(spark.read.parquet(p).schema).parquet(p)
     assert ST.run_available(ST.unique_events(s, ["run", "e"], "at", "1 hour"), "once").count() == 2
+
+
+def test_history_refresh_never_sees_its_own_day(spark):
+    """A day spread over two files is one day, and a row of a closed day is counted in later days."""
+    day = [dt.date(2024, 1, d) for d in range(1, 5)]
+    files = [[("s", "a", day[0], True, 1)], [("s", "a", day[0], True, 0), ("s", "a", day[1], True, 1)], [("s", "a", day[2], True, 0), ("s", "b", day[2], True, 1)],
+             [("s", "a", day[0], True, 1), ("s", "b", day[3], True, 0)]]
+    schema = "store string, key string, day date, ok boolean, wins int"
+
+    def refresh(limit):
+        part = fresh_path(spark, "part")
+        for rows in files[:limit]:
+            spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(part)
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(part)
+        return sorted((r["key"], r["day"].day, r["starts"], r["wins"]) for r in ST.HistoryRefresh(spark, "day", "ok", ["wins"]).run(stream).collect())
+
+    assert refresh(3) == [("a", 1, 0, 0), ("a", 2, 2, 1), ("a", 3, 3, 2), ("b", 3, 0, 0)]
+    assert refresh(4) == [("a", 1, 0, 0), ("a", 2, 3, 2), ("a", 3, 4, 3), ("b", 3, 0, 0), ("b", 4, 1, 1)]
+
+
+def test_settlements_are_reported_once(spark):
+    p = spark.createDataFrame([("a", ts(0)), ("b", ts(5)), ("late", ts(3000))], "k string, predicted_at timestamp")
+    s = spark.createDataFrame([("a", ts(30), 200), ("a", ts(20), 100), ("late", ts(3001), 7)], "k string, settled_at timestamp, pay int")
+    joined = ST.join_settlements(p, s, "k", "predicted_at", "settled_at", "1 minute", "2 hours").filter("k = 'a'")
+    got = {r.k: (r.status, r.pay) for r in ST.settled_once(joined, p, s, "k", ["k", "predicted_at"], "predicted_at", "settled_at", "2 hours").collect()}
+    assert got == {"a": ("settled", 100), "b": ("pending", None), "late": ("settled", 7)}
