@@ -16,6 +16,14 @@ def fingerprint(df: DataFrame, by: Sequence[str] = (), columns: Sequence[str] |
     return df.groupBy(*by).agg(F.count(F.lit(1)).alias("rows"), F.sum(h.cast("decimal(20,0)")).cast("string").alias("hash_sum"), F.bit_xor(h).alias("hash_xor"))
 
 
+def content_hash(df: DataFrame) -> DataFrame:
+    """Rows and one hash of all values as text, independent of row order: kept next to a written report."""
+    line = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns])
+    part = F.conv(F.substring(F.md5(line), 1, 12), 16, 10).cast("decimal(20,0)")
+    sums = df.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(part), F.lit(0)).cast("string").alias("s"))
+    return sums.select("rows", F.md5(F.concat_ws("|", "s", F.col("rows").cast("string"))).alias("content_hash"))
+
+
 def stale_partitions(current: DataFrame, manifest: DataFrame, by: str, carries_forward: bool = True) -> DataFrame:
     """Partitions to rebuild: changed, new or lost ones and, when state carries forward, all later ones."""
     m = manifest.select(by, F.struct("rows", "hash_sum", "hash_xor").alias("_m"))

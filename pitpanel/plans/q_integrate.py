@@ -59,6 +59,16 @@ def sc2_partitioned(spark, sf):
     return R.read_years(spark, path, [1996, 1997, 2000]).groupBy("year").agg(F.count(F.lit(1)).alias("rows"), F.sum("distance").alias("distance"))
 
 
+def sc2_disk(spark, sf):
+    """Year folders on disk: early ones hold INT and lack a column, later ones hold DOUBLE."""
+    path = fresh_path(spark, "drift")
+    d = panel(spark, sf)
+    S.overwrite_years(d.filter("year < 1998").select("entry_id", "year", F.col("distance").alias("measure")), path)
+    S.overwrite_years(d.filter("year >= 1998").select("entry_id", "year", (F.col("distance") / 2.0).alias("measure"), "track"), path)
+    u = R.read_years_relaxed(spark, path, [1996, 1997, 1998, 1999])
+    return u.groupBy("year").agg(F.count(F.lit(1)).alias("rows"), F.sum("measure").alias("measure"), F.count("track").alias("with_track"))
+
+
 def sc3(spark, sf):
     return R.read_table(spark, f"{sf}/lineitem.parquet", ["l_returnflag", "l_quantity"]).groupBy("l_returnflag").agg(
         F.sum(F.col("l_quantity").cast("long")).alias("quantity"))
@@ -111,6 +121,16 @@ def sk2(spark, sf):
     return spark.read.option("header", True).schema("segment string, year int, rows bigint, pay bigint").csv(path)
 
 
+def sk2_hash(spark, sf):
+    """Content hash of the report as it was written, next to that of its rows."""
+    from pitpanel.operators.manifest import content_hash
+    path = fresh_path(spark, "report")
+    report = scored(spark, sf).groupBy("segment", "year").agg(F.count(F.lit(1)).alias("rows"), F.sum("pay").alias("pay"))
+    S.write_report(report, path)
+    written = content_hash(spark.read.option("header", True).schema(report.schema).csv(path)).select(F.lit("written").alias("side"), "rows", "content_hash")
+    return written.unionByName(content_hash(report).select(F.lit("source").alias("side"), "rows", "content_hash"))
+
+
 def sk3(spark, sf):
     d = scored(spark, sf)
     old = d.filter("year <= 1999").select("contest_id", "entry_no", "supp_id", "pay", "entry_id")
@@ -253,8 +273,8 @@ def se3(spark, sf):
 
 
 QUERIES = {
-    "sc1_relational_scan": sc1, "sc2_schema_drift_union": sc2, "sc2_partitioned_years": sc2_partitioned, "sc3_pruned_scan": sc3, "sc4_filtered_scan": sc4,
-    "sc5_csv_contract": sc5, "sc6_discovery": sc6, "sc8_inventory": sc8, "sk1_partition_overwrite": sk1, "sk2_csv_report": sk2, "sk3_upsert": sk3,
+    "sc1_relational_scan": sc1, "sc2_schema_drift_union": sc2, "sc2_partitioned_years": sc2_partitioned, "sc2_drift_on_disk": sc2_disk, "sc3_pruned_scan": sc3, "sc4_filtered_scan": sc4,
+    "sc5_csv_contract": sc5, "sc6_discovery": sc6, "sc8_inventory": sc8, "sk1_partition_overwrite": sk1, "sk2_csv_report": sk2, "sk2_report_hash": sk2_hash, "sk3_upsert": sk3,
     "sk3_replace_years": sk3_years, "sk4_append_relaxed": sk4, "sk5_ledger_insert": sk5, "jn1_slot_unpivot": jn1, "jn2_left_integration": jn2,
     "jn3_validated_join": jn3, "jn3_key_check": jn3_check, "jn4_full_comparison": jn4, "jn5_anti_both_ways": jn5, "jn6_semi_restrict": jn6, "jn7_model_pivot": jn7,
     "jn8_settlement_join": jn8, "jn11_payout_match": jn11, "jn12_contest_sample": jn12, "so1_sort_key": so1, "so2_rounded_sort": so2, "so3_top_k_per_group": so3,
@@ -264,6 +284,7 @@ W, B, PN = f"WITH {SCORED} ", f"WITH {BETS} ", f"WITH {PANEL} "
 SQL = {
     "sc1_relational_scan": "SELECT l_returnflag, count(*) AS rows, cast(sum(l_quantity) AS bigint) AS quantity FROM lineitem WHERE year(l_shipdate)=1998 GROUP BY 1",
     "sc2_schema_drift_union": PN + "SELECT year, count(*) AS rows, sum(CASE WHEN year<1998 THEN cast(distance AS double) ELSE distance/2.0 END)::double AS measure, count(CASE WHEN year>=1998 THEN track END) AS with_track FROM panel GROUP BY 1",
+    "sc2_drift_on_disk": PN + "SELECT year, count(*) AS rows, sum(CASE WHEN year<1998 THEN cast(distance AS double) ELSE distance/2.0 END)::double AS measure, count(CASE WHEN year>=1998 THEN track END) AS with_track FROM panel WHERE year BETWEEN 1996 AND 1999 GROUP BY 1",
     "sc2_partitioned_years": PN + "SELECT year, count(*) AS rows, cast(sum(distance) AS bigint) AS distance FROM panel WHERE year IN (1996,1997,2000) GROUP BY 1",
     "sc3_pruned_scan": "SELECT l_returnflag, cast(sum(l_quantity) AS bigint) AS quantity FROM lineitem GROUP BY 1",
     "sc4_filtered_scan": "SELECT count(*) AS rows, cast(sum(o_custkey) AS bigint) AS key_sum FROM orders WHERE o_orderdate>='2000-01-01' AND o_orderpriority='1-URGENT'",
@@ -273,6 +294,7 @@ SQL = {
     "sc8_inventory": " UNION ALL ".join(f"SELECT '{n}' AS table_name, count(*) AS rows, {k} AS columns, {f'cast(cast(min({d}) AS date) AS varchar)' if d else 'NULL::varchar'} AS first_day, {f'cast(cast(max({d}) AS date) AS varchar)' if d else 'NULL::varchar'} AS last_day, {str(n == 'lineitem').lower()} AS has_l_quantity, {str(n == 'events').lower()} AS has_event_type FROM {n}"
                                           for n, k, d in [("region", 2, ""), ("nation", 3, ""), ("customer", 5, ""), ("supplier", 4, ""), ("part", 6, ""), ("orders", 6, "o_orderdate"), ("lineitem", 11, "l_shipdate"), ("events", 6, "ts")]),
     "sk1_partition_overwrite": W + "SELECT year, count(*) AS rows, cast(sum(pay + CASE WHEN year IN (1997,1999) THEN 1 ELSE 0 END) AS bigint) AS pay FROM scored GROUP BY 1",
+    "sk2_report_hash": W + ", r AS (SELECT segment, year, count(*) AS n, cast(sum(pay) AS bigint) AS pay FROM scored GROUP BY 1,2) SELECT unnest(['written','source']) AS side, count(*) AS rows, md5(cast(cast(sum(('0x'||substr(md5(segment||'|'||year||'|'||n||'|'||pay),1,12))::bigint) AS hugeint) AS varchar)||'|'||count(*)) AS content_hash FROM r",
     "sk2_csv_report": W + "SELECT segment, year, count(*) AS rows, cast(sum(pay) AS bigint) AS pay FROM scored GROUP BY 1,2",
     "sk3_upsert": W + ", u AS (SELECT contest_id, entry_no, supp_id, pay, entry_id, 0 AS b FROM scored WHERE year<=1999 UNION ALL SELECT contest_id, entry_no, supp_id, pay*2, entry_id, 1 FROM scored WHERE year>=1999) SELECT contest_id, entry_no, supp_id, pay FROM (SELECT *, row_number() OVER (PARTITION BY contest_id, entry_no ORDER BY b DESC, entry_id DESC) AS rn FROM u) WHERE rn=1",
     "sk3_replace_years": W + "SELECT year, count(*) AS rows, cast(sum(CASE WHEN year=2000 THEN 7 ELSE pay END) AS bigint) AS pay FROM scored GROUP BY 1",

@@ -107,6 +107,13 @@ def mt16(spark, sf):
     return rounded(M.drift_by_year(d, "year", ["odds", "p_alt", "ev"]), "mean", "std", "p01", "p50", "p99", "missing_rate")
 
 
+def mt16_year(spark, sf):
+    """Rank correlation of every feature with the year."""
+    items = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in ("odds", "p_alt", "p_market")])
+    long = bets(spark, sf).select("year", F.inline(items))
+    return rounded(M.correlations(long, ["feature"], "value", "year"), "pearson", "spearman")
+
+
 def mt16_unknown(spark, sf):
     return M.unknown_categories(scored(spark, sf).withColumn("pair", F.concat_ws("-", "part_id", "supp_id")), "year", "pair", 1998)
 
@@ -156,7 +163,7 @@ QUERIES = {
     "mt5_reliability_cut": mt5_cut, "mt6_calibration_line_ols": mt6_ols, "mt7_top1_accuracy": mt7, "mt8_precision_at_k": mt8, "mt9_probability_sums": mt9,
     "mt10_contest_spearman": mt10, "mt11_distribution": mt11, "mt11_residual_distribution": mt11_pop, "mt12_segment_metrics": mt12,
     "mt13_cross_year": mt13, "mt13_pooled_vs_year_mean": mt13_pooled, "mt14_win_loss_matrix": mt14, "mt15_psi_open": mt15("open"),
-    "mt15_psi_closed": mt15("closed"), "mt16_drift_by_year": mt16, "mt16_unknown_categories": mt16_unknown, "mt17_correlations": mt17,
+    "mt15_psi_closed": mt15("closed"), "mt16_drift_by_year": mt16, "mt16_unknown_categories": mt16_unknown, "mt16_year_correlation": mt16_year, "mt17_correlations": mt17,
     "mt17_top3_agreement": mt17_top3, "mt18_error_win_loss": mt18, "mt19_output_steps": mt19, "mt20_probability_guard": mt20,
     "mt21_odds_band_calibration": mt21, "mt22_same_sample_comparison": mt22, "mt23_recheck": mt23,
 }
@@ -235,6 +242,7 @@ SQL = {
  SELECT "column", year, count(*) AS rows, count(*)-count(v) AS missing, count(DISTINCT v) AS distinct_values, round(avg(v),6) AS mean, round(stddev_samp(v),6) AS std,
  round(quantile_cont(v,0.01),6) AS p01, round(quantile_cont(v,0.5),6) AS p50, round(quantile_cont(v,0.99),6) AS p99, round((count(*)-count(v))/count(*),6) AS missing_rate FROM l GROUP BY 1,2""",
     "mt16_unknown_categories": f"WITH {SCORED}, p AS (SELECT year, part_id||'-'||supp_id AS pair FROM scored) SELECT year, count(*) AS rows, count(*) FILTER (pair NOT IN (SELECT pair FROM p WHERE year<=1998)) AS unknown FROM p WHERE year>1998 GROUP BY 1",
+    "mt16_year_correlation": B + f", l AS (SELECT year, unnest(['odds','p_alt','p_market']) AS feature, unnest([odds, p_alt, p_market]) AS value FROM bets), r AS (SELECT feature, value, year, {avgrank('value','feature')} AS a, {avgrank('year','feature')} AS b FROM l) SELECT feature, count(*) AS rows, round(corr(value,year),6) AS pearson, round(corr(a,b),6) AS spearman FROM r GROUP BY 1",
     "mt17_correlations": B + f", r AS (SELECT year, p_model, p_market, {avgrank('p_model','year')} AS a, {avgrank('p_market','year')} AS b FROM bets) SELECT year, count(*) AS rows, round(corr(p_model,p_market),6) AS pearson, round(corr(a,b),6) AS spearman FROM r GROUP BY 1",
     "mt17_top3_agreement": B + f""", r AS (SELECT split, contest_id, entry_id, row_number() OVER (PARTITION BY split, contest_id ORDER BY p_model DESC, entry_id) AS a, row_number() OVER (PARTITION BY split, contest_id ORDER BY p_market DESC, entry_id) AS b FROM bets),
  c AS (SELECT split, contest_id, count(*) FILTER (a<=3 AND b<=3) AS o, count(*) FILTER (a=1 AND b=1) AS s FROM r GROUP BY 1,2) SELECT split, count(*) AS contests, round(avg(s),6) AS same_top1_rate, round(avg(o),6) AS mean_top3_overlap FROM c GROUP BY 1""",

@@ -35,6 +35,11 @@ def read_years(spark: SparkSession, path: str, years: Sequence[int], schema: T.S
     return df.filter(F.col(year).isin(*years))
 
 
+def read_years_relaxed(spark: SparkSession, path: str, years: Sequence[int], year: str = "year") -> DataFrame:
+    """Year folders that disagree on columns or types: each is read with its own schema, then missing columns are null and types widen."""
+    return union_relaxed([spark.read.parquet(f"{path}/{year}={y}").withColumn(year, F.lit(y)) for y in years])
+
+
 _WIDER = [T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType]
 
 
