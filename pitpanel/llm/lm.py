@@ -202,7 +202,8 @@ def judged(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     """One row per input row: doc_id, lang, n_chars, perplexity (per character), threshold, kept.
 
     Trusted are the documents whose label says quality 1.  Null and empty texts have no characters, perplexity null, and
-    are not kept.  A null language is "und"; a language with few texts has no threshold and keeps all.  Repeated rows get
+    are not kept.  A null language is "und"; a language with few texts has no threshold and keeps all.
+    Without trusted text every perplexity is 1 and nothing is rejected.  Repeated rows get
     the same answer; an empty table gives no rows; other columns are not read.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), text_of(text).alias("text"))

@@ -168,8 +168,8 @@ def parse(data: bytes) -> dict | None:
 def read_archives(manifest: DataFrame, split_bytes: int = SPLIT_BYTES, with_payload: bool = True) -> DataFrame:
     """Records of the files of a manifest (path, bytes), read by byte ranges; damaged members are passed over to the next valid one."""
     ranges = manifest.filter("bytes > 0").select("path", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(split_bytes).cast("long"))).alias("first"))
-    # one range a task: the ranges are few rows, so their number is that of the scan's tasks and not a count of records
-    tasks = max(1, ranges.count())
+    # about one range a task, several for very many ranges
+    tasks = max(1, min(ranges.count(), 4 * int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     names = RECORDS if with_payload else RECORDS.replace("payload binary, ", "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
