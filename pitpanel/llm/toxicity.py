@@ -21,15 +21,18 @@ from pitpanel.llm.common import arrow_map, text_of, texts
 from pitpanel.sources.workdir import materialise
 
 TOXIC_ROWS, CLEAN_ROWS = 6_000, 12_000  # most labelled rows that the lexicon and the regression are fitted on
-LEXICON_TERMS = 1_000
-LEAST_TOXIC_DOCS = 5
+LEXICON_TERMS = 150
+LEAST_TOXIC_DOCS = 3
+LEAST_ODDS, LEAST_G2 = 2.5, 20.0  # log-odds and likelihood ratio that a term must reach
+LEAST_SHARE = 0.04  # of the likelihood ratio of the best term; words of a few copied texts stay below it
 FUZZY_LENGTH = 5  # shorter terms must match exactly
 FUZZY_FACTOR = 0.7
+QUOTED, ADDRESSED = 0.2, 1.3
 WINDOW = 6
 CACHE_WORDS = 300_000
 WORD = re.compile(r"[^\W_](?:[\w@$!*']*\w)?")
 #: Fixed cue words of the four languages of the tables.
-REPORTING = frozenset("said says wrote writes called quote quoted quotes term word slur dit écrit appelé citation cite mot sagte schrieb nannte zitat zitiert wort dijo escribió llamó cita palabra".split())
+REPORTING = frozenset("said says wrote writes called quote quoted quotes slur écrit appelé citation sagte schrieb nannte zitat zitiert escribió llamó palabra".split())
 ADDRESS = frozenset("you your yourself u ur tu toi vous ton votre du dich dein ihr euch tú usted ustedes vosotros".split())
 QUOTES = "\"“”„«»‘"
 
@@ -38,27 +41,35 @@ class Trie:
     """Lexicon trie that is walked together with the Levenshtein automaton of a word (bit-parallel states of 0 and 1 errors)."""
 
     def __init__(self, terms: dict[str, float]):
-        self.root: dict = {}
         self.terms = terms
-        self.edges: set[str] = set()  # first and last two letters: one error leaves one of the two ends as it was
-        for term in terms:
-            node = self.root
-            for c in term:
-                node = node.setdefault(c, {})
-            node[""] = term
-            self.edges |= {"^" + term[:2], term[-2:] + "$"}
         self.longest = max(map(len, terms), default=0)
+        self.parts: dict[int, tuple[dict, set[str]]] = {}  # by length of the word: trie of the terms within one letter, their ends
+        for n in range(1, self.longest + 2):
+            root, ends = {}, set()
+            for term in terms:
+                if abs(len(term) - n) > (len(term) >= FUZZY_LENGTH):
+                    continue
+                node = root
+                for c in term:
+                    node = node.setdefault(c, {})
+                node[""] = term
+                k = 3 if len(term) > 5 else 2  # one error leaves the first or the last letters as they were
+                ends |= {"^" + term[:k], term[-k:] + "$"}
+            self.parts[n] = root, ends
 
     def match(self, word: str) -> tuple[str, int] | None:
         """Best (term, errors) with at most one error, heaviest term first among the nearest; None if there is none."""
+        if word in self.terms:
+            return word, 0
         n = len(word)
-        if n > self.longest + 1 or not ("^" + word[:2] in self.edges or word[-2:] + "$" in self.edges):
-            return (word, 0) if word in self.terms else None
+        root, ends = self.parts.get(n, ({}, ()))
+        if not ends or ends.isdisjoint(("^" + word[:3], word[-3:] + "$", "^" + word[:2], word[-2:] + "$")):
+            return None
         mask: dict[str, int] = {}
         for i, c in enumerate(word):
             mask[c] = mask.get(c, 0) | 1 << i
         full, best = (1 << n + 1) - 1, None
-        walk = [(self.root, 1, 3 & full)]
+        walk = [(root, 1, 3 & full)]
         while walk:
             node, none, one = walk.pop()
             for c, child in node.items():
@@ -88,8 +99,8 @@ class Scorer:
         found = self.cache[word] = self.trie.match(word)
         return found
 
-    def features(self, text: str) -> tuple[float, float, float, float]:
-        """log(1 + weighed hits), log(1 + distinct terms), log(1 + quoted hits), largest weighed hit."""
+    def features(self, text: str) -> tuple[float, float]:
+        """log(1 + weighed hits) and log(1 + distinct terms, each by its strongest context)."""
         lower = text.lower()
         words = WORD.findall(lower)
         cache, bad = self.cache, {}
@@ -98,23 +109,23 @@ class Scorer:
             if found:
                 bad[w] = found
         if not bad:
-            return 0.0, 0.0, 0.0, 0.0
+            return 0.0, 0.0
         spans = [(m.start(), m.end()) for m in WORD.finditer(lower)]
-        total = quoted = top = 0.0
+        total, strongest = 0.0, {}
         for i, w in enumerate(words):
             if w not in bad:
                 continue
             term, errors = bad[w]
             lo, hi = max(0, i - WINDOW), min(len(words), i + WINDOW + 1)
-            weight = self.trie.terms[term] * FUZZY_FACTOR ** errors
+            factor = FUZZY_FACTOR ** errors
             before, after = lower[spans[lo][0]:spans[i][0]], lower[spans[i][1]:spans[hi - 1][1] + 1]
-            if (any(q in before for q in QUOTES) and any(q in after for q in QUOTES)) or not REPORTING.isdisjoint(words[lo:i]):
-                quoted += weight
-                weight *= 0.3
+            if (any(q in before for q in QUOTES) and any(q in after for q in QUOTES)) or not REPORTING.isdisjoint(words[max(0, i - 3):i]):
+                factor *= QUOTED
             elif not ADDRESS.isdisjoint(words[lo:hi]):
-                weight *= 1.3
-            total, top = total + weight, max(top, weight)
-        return math.log1p(total), math.log1p(len({t for t, _ in bad.values()})), math.log1p(quoted), top
+                factor *= ADDRESSED
+            total += self.trie.terms[term] * factor
+            strongest[term] = max(strongest.get(term, 0.0), factor)
+        return math.log1p(total), math.log1p(sum(strongest.values()))
 
 
 def remainder(doc_id: Column) -> Column:
@@ -135,7 +146,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_RO
 
 
 def learn_lexicon(rows: DataFrame, terms: int = LEXICON_TERMS) -> dict[str, float]:
-    """The ``terms`` words with the largest log-odds of toxic documents that also pass a significance bound; words count once per text."""
+    """The ``terms`` words that tell toxic from other texts best by their likelihood ratio, with their log-odds; words count once per text."""
 
     def make():
         def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -151,10 +162,13 @@ def learn_lexicon(rows: DataFrame, terms: int = LEXICON_TERMS) -> dict[str, floa
     if not n.get(1) or not n.get(0):
         return {}
     counts = arrow_map(rows, make, "word string, bad long, good long").groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    total = F.col("bad") + F.col("good")
     odds = F.log((F.col("bad") + 0.5) / (n[1] + 1.0)) - F.log((F.col("good") + 0.5) / (n[0] + 1.0))
-    spread = F.sqrt(1 / (F.col("bad") + 0.5) + 1 / (F.col("good") + 0.5))
-    top = counts.filter(F.col("bad") >= LEAST_TOXIC_DOCS).withColumn("odds", odds).filter((odds > 1.5) & (odds - 2 * spread > 0))
-    return {r["word"]: float(r["odds"]) for r in top.orderBy(F.desc(F.col("odds") / spread), "word").limit(terms).collect()}
+    part = lambda c, k: F.when(F.col(c) > 0, F.col(c) * F.log(F.col(c) * (n[0] + n[1]) / (total * n[k]))).otherwise(0.0)
+    top = counts.filter(F.col("bad") >= LEAST_TOXIC_DOCS).withColumns({"odds": odds, "g2": 2 * (part("bad", 1) + part("good", 0))})
+    top = top.filter((F.col("odds") >= LEAST_ODDS) & (F.col("g2") >= LEAST_G2)).orderBy(F.desc("g2"), "word").limit(terms)
+    best = top.collect()
+    return {r["word"]: float(r["odds"]) for r in best if r["g2"] >= LEAST_SHARE * best[0]["g2"]}
 
 
 def fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, steps: int = 40) -> np.ndarray:
@@ -177,17 +191,17 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], list[fl
     sample = materialise(training_rows(docs, labels), "toxic")
     lexicon = learn_lexicon(sample)
     if not lexicon:
-        return {}, [-30.0, 0.0, 0.0, 0.0, 0.0]
+        return {}, [-30.0, 0.0, 0.0]
 
     def make():
         scorer = Scorer(lexicon)
 
         def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
-            f = np.array([scorer.features(t) for t in texts(batch)], float).reshape(-1, 4)
-            return pa.RecordBatch.from_arrays([batch.column("toxic"), *[pa.array(c) for c in f.T]], names=["toxic", "a", "b", "c", "d"])
+            f = np.array([scorer.features(t) for t in texts(batch)], float).reshape(-1, 2)
+            return pa.RecordBatch.from_arrays([batch.column("toxic"), *[pa.array(c) for c in f.T]], names=["toxic", "a", "b"])
         return apply
 
-    rows = arrow_map(sample, make, "toxic int, a double, b double, c double, d double").collect()  # bounded by the sample
+    rows = arrow_map(sample, make, "toxic int, a double, b double").collect()  # bounded by the sample
     data = np.array([tuple(r) for r in rows], float)
     return lexicon, fit(data[:, 1:], data[:, 0]).tolist()
 
@@ -197,7 +211,7 @@ def _scores(model):
     scorer = Scorer(lexicon)
 
     def scores(batch: pa.RecordBatch, column: str) -> np.ndarray:
-        f = np.array([scorer.features(t) for t in texts(batch, column)], float).reshape(-1, 4)
+        f = np.array([scorer.features(t) for t in texts(batch, column)], float).reshape(-1, 2)
         return 1 / (1 + np.exp(-np.clip(beta[0] + f @ np.array(beta[1:]), -30, 30)))
     return scores
 
