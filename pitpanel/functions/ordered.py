@@ -14,7 +14,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, StructField, StructType
 from pyspark.sql.window import Window as W
 
 from pitpanel.functions.sizes import fits_one_task
@@ -28,41 +28,34 @@ def key_column(df: DataFrame, group: Sequence[str], order: Sequence[Column]) ->
     return F.struct(*named)
 
 
-def slice_edges(df: DataFrame, group: Sequence[str], order: Sequence[Column], n: int) -> list[Column]:
-    """Edges that balance ``n`` slices, from a hash-ordered sample of bounded size.
+def slice_edges(df: DataFrame, group: Sequence[str], order: Sequence[Column], n: int) -> DataFrame | None:
+    """One sorted array ``edges`` that balances ``n`` slices, from a hash-ordered sample of bounded size.
 
-    The sample only balances the work; results do not depend on it.
+    The sample only balances the work; results do not depend on it.  The edges are fixed here, once, so that every
+    branch of a plan and every recomputed task cuts alike.
     """
     key = df.select(key_column(df, group, order).alias("k"))
-    rows = (
-        key.orderBy(F.xxhash64("k")).limit(n * SAMPLE_PER_SLICE).orderBy("k").collect()
-    )
-    edges, seen = [], None
+    rows = key.orderBy(F.xxhash64("k")).limit(n * SAMPLE_PER_SLICE).orderBy("k").collect()
+    edges = []
     for i in range(1, n):
-        if not rows:
-            break
-        row = rows[min(len(rows) - 1, i * len(rows) // n)]["k"]
-        if row != seen:
-            seen = row
-            edges.append(_literal(row, key.schema["k"].dataType))
-    return edges
+        if rows:
+            row = rows[min(len(rows) - 1, i * len(rows) // n)]["k"]
+            if not edges or row != edges[-1]:
+                edges.append(row)
+    if not edges:
+        return None
+    kind = StructType([StructField("edges", ArrayType(key.schema["k"].dataType))])
+    return df.sparkSession.createDataFrame([(edges,)], kind)
 
 
-def _literal(value, dtype) -> Column:
-    """Literal of a possibly nested struct value."""
-    if isinstance(dtype, StructType) and value is not None:
-        return F.struct(*[_literal(v, f.dataType).alias(f.name) for v, f in zip(value, dtype.fields)])
-    return F.lit(value).cast(dtype)
+def slice_number(key: Column, edges: Column, n: int) -> Column:
+    """Number of the at most ``n`` sorted edges at or below ``key``: binary search by halving steps."""
+    steps = F.array(*[F.lit(1 << b) for b in reversed(range(max(1, n).bit_length()))])
 
+    def move(at: Column, step: Column) -> Column:
+        return F.when(F.get(edges, at + step - 1) <= key, at + step).otherwise(at)
 
-def slice_number(key: Column, edges: list[Column], lo: int = 0) -> Column:
-    """Number of edges at or below ``key`` as a balanced CASE tree."""
-    if not edges:
-        return F.lit(lo)
-    mid = len(edges) // 2
-    return F.when(key < edges[mid], slice_number(key, edges[:mid], lo)).otherwise(
-        slice_number(key, edges[mid + 1:], lo + mid + 1)
-    )
+    return F.aggregate(steps, F.lit(0), move)
 
 
 def with_slices(df: DataFrame, group: Sequence[str], order: Sequence[Column],
@@ -73,7 +66,10 @@ def with_slices(df: DataFrame, group: Sequence[str], order: Sequence[Column],
             return df.withColumn(name, F.lit(0))
         slices = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     edges = slice_edges(df, group, order, slices)
-    return df.withColumn(name, slice_number(key_column(df, group, order), edges))
+    if edges is None:
+        return df.withColumn(name, F.lit(0))
+    keyed = df.withColumns({"_edges": edges.scalar(), "_key": key_column(df, group, order)})
+    return keyed.select(*df.columns, slice_number(F.col("_key"), F.col("_edges"), slices).alias(name))
 
 
 def is_sliced(df: DataFrame, slices: int | None) -> bool:
@@ -139,12 +135,13 @@ SALTS = 4096
 
 
 def join_stats(df: DataFrame, stats: DataFrame, keys: Sequence[str], columns: Sequence[str], rows: str,
-               split: bool | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
+               split: bool | None = None, hot_rows: int = HOT_ROWS, nulls_match: bool = True) -> DataFrame:
     """Left join of rows to per-key statistics that stays balanced whatever share one key holds.
 
     ``stats`` has one row per key with its row count in ``rows``.  Keys above 1/HOT_KEYS of all rows
     (at most HOT_KEYS of them, so the list is broadcast with a proven bound) are joined map-side and
-    spread by a salt over the shuffle that joins the ordinary keys.
+    spread by a salt over the shuffle that joins the ordinary keys.  Where null keys have no statistics
+    (``nulls_match=False``) rows with a null key are spread as well.
     """
     if split is None:
         split = not fits_one_task(df)
@@ -155,7 +152,10 @@ def join_stats(df: DataFrame, stats: DataFrame, keys: Sequence[str], columns: Se
     hot = right.filter(F.col("_rows") > limit).select(*[F.col(f"_k{i}") for i in range(len(keys))],
                                                       *[F.col(c).alias(f"_hot_{c}") for c in columns], F.lit(True).alias("_hot"))
     d = df.join(F.broadcast(hot), null_safe(keys), "left").drop(*[f"_k{i}" for i in range(len(keys))])
-    salt = F.when(F.col("_hot").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)))
+    ordinary = F.col("_hot").isNull()
+    for k in [] if nulls_match else keys:
+        ordinary = ordinary & F.col(k).isNotNull()
+    salt = F.when(ordinary, 0).otherwise(1 + F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)))
     d = d.withColumn("_salt", salt)
     j = d.join(right.drop("_rows").withColumn("_s", F.lit(0).cast("long")), null_safe(keys) & (F.col("_salt") == F.col("_s")), "left")
     return j.select(*df.columns, *[F.when(F.col("_hot").isNull(), F.col(c)).otherwise(F.col(f"_hot_{c}")).alias(c) for c in columns])

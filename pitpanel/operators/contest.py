@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from pitpanel.functions.ordered import quantiles, row_numbers, running, with_group
+from pitpanel.functions.ordered import join_stats, quantiles, row_numbers, running, with_group
 
 
 def normalise(df: DataFrame, group: Sequence[str], value: Column, name: str) -> DataFrame:
@@ -135,15 +135,15 @@ def rank_bins(df: DataFrame, value: str, tie: str, bins: int, slices: int | None
 
 def value_bins(df: DataFrame, value: str, bins: int, slices: int | None = None) -> DataFrame:
     """Bins over the distinct values, larger parts first; equal values share a bin, null has none."""
-    distinct = df.select(value).filter(F.col(value).isNotNull()).distinct().withColumn("_g", F.lit(0))
+    distinct = df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("_n")).withColumn("_g", F.lit(0))
     m = distinct.agg(F.count(F.lit(1)).alias("m")).scalar()
     out = row_numbers(distinct, ["_g"], [F.col(value)], "_rn", slices)
     small, extra = F.floor(m / bins), m % bins
     cut = extra * (small + 1)
     i = F.col("_rn") - 1
     b = F.when(i < cut, F.floor(i / (small + 1))).otherwise(extra + F.floor((i - cut) / F.greatest(small, F.lit(1))))
-    lookup = out.select(F.col(value).alias("_v"), b.cast("int").alias("bin"))
-    return df.join(lookup, F.col(value) == F.col("_v"), "left").drop("_v")
+    lookup = out.select(value, "_n", b.cast("int").alias("bin"))
+    return join_stats(df, lookup, [value], ["bin"], "_n", split=None if slices is None else True, nulls_match=False)
 
 
 def quantile_bins(df: DataFrame, value: str, bins: int, slices: int | None = None) -> DataFrame:

@@ -103,7 +103,7 @@ def wide_features(panel: DataFrame, stores: dict[str, Column], entry: str, day:
 
 def last_records(panel: DataFrame, entity: Column, day: str, ok: Column, order: Sequence[Column],
                  fields: dict[str, Column], n: int) -> DataFrame:
-    """Per (entity, day): array of the last ``n`` admitted records strictly before the day, newest first.
+    """Per (entity, day): number of rows and array of the last ``n`` admitted records strictly before the day, newest first.
 
     Only the newest ``n`` records of an entity's day can matter, so a ranked filter (partially
     applied before the shuffle) bounds every array; the rest runs on one row per entity-day.
@@ -118,9 +118,9 @@ def last_records(panel: DataFrame, entity: Column, day: str, ok: Column, order:
             .select("key", "day", F.transform("_a", lambda x: x["rec"]).alias("recs")))
     prev = W.partitionBy("key").orderBy("day").rowsBetween(-(n - 1), 0)
     state = tops.select("key", "day", F.slice(F.flatten(F.reverse(F.collect_list("recs").over(prev))), 1, n).alias("state"))
-    every = base.select("key", "day").distinct().join(state, ["key", "day"], "left")
+    every = base.groupBy("key", "day").agg(F.count(F.lit(1)).alias("rows")).join(state, ["key", "day"], "left")
     before = W.partitionBy("key").orderBy("day").rowsBetween(W.unboundedPreceding, -1)
-    return every.select("key", "day", F.last("state", ignorenulls=True).over(before).alias("recent"))
+    return every.select("key", "day", "rows", F.last("state", ignorenulls=True).over(before).alias("recent"))
 
 
 def array_mean(records: Column, field: str, n: int) -> Column:
@@ -139,7 +139,7 @@ def last_features(panel: DataFrame, entry: str, entity: Column, day: str, ok: Co
     rows = panel.select(F.col(entry), entity.alias("key"), F.col(day).alias("day"),
                         *[c.alias(f"_now_{k}") for k, c in diffs.items()])
     last = F.try_element_at("recent", F.lit(1))
-    return rows.join(recent, ["key", "day"], "left").select(
+    return join_stats(rows, recent, ["key", "day"], ["recent"], "rows", nulls_match=False).select(
         entry,
         last["day"].alias("last_source_day"),
         F.datediff("day", last["day"]).alias("days_since_last"),
@@ -159,10 +159,10 @@ def with_cutoff(panel: DataFrame, day: str) -> DataFrame:
 
 
 def source_before(long: DataFrame, day: str, ok: str, source: Column, inclusive: bool = False) -> DataFrame:
-    """As-of: per (store, key, day) the last admitted source before (or through) the day."""
-    days = long.groupBy("store", "key", day).agg(F.max(F.when(F.col(ok), source)).alias("_src"))
+    """As-of: per (store, key, day) the number of rows and the last admitted source before (or through) the day."""
+    days = long.groupBy("store", "key", day).agg(F.max(F.when(F.col(ok), source)).alias("_src"), F.count(F.lit(1)).alias("rows"))
     w = W.partitionBy("store", "key").orderBy(day).rowsBetween(W.unboundedPreceding, 0 if inclusive else -1)
-    return days.select("store", "key", day, F.max("_src").over(w).alias("source"))
+    return days.select("store", "key", day, "rows", F.max("_src").over(w).alias("source"))
 
 
 def audit_status(source_contest: Column, source_day: Column, contest: Column, day: Column) -> Column:
@@ -190,7 +190,7 @@ def asof_sources(panel: DataFrame, stores: dict[str, Column], entry: str, contes
     pairs = F.array(*[F.struct(F.lit(i).alias("store"), k.alias("key")) for i, k in enumerate(keys.values())])
     src = source_before(long_stores(base, keys, [day, "_ok", "_src"]), day, "_ok", F.col("_src"))
     rows = base.select(entry, contest, day, F.inline(pairs))
-    return name_stores(rows.join(src, ["store", "key", day], "left"), list(stores)).select(
+    return name_stores(join_stats(rows, src, ["store", "key", day], ["source"], "rows", nulls_match=False), list(stores)).select(
         entry, contest, day, "store", F.col("source.contest").alias("source_contest"),
         F.col("source.day").alias("source_day"))
 

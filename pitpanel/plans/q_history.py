@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pitpanel.functions import expr as X
+from pitpanel.functions.ordered import join_stats
 from pitpanel.operators import history as H
 from pitpanel.plans.base import r6
 from pitpanel.plans.q_labels import LABELED, labeled
@@ -143,7 +144,7 @@ def hs8_injected(spark, sf):
                               F.col("contest_id").alias("contest")).alias("src"))
     long = H.long_stores(base, {"rider": F.col("k")}, ["entry_id", "contest_id", "event_date", "ok", "src"])
     at = H.source_before(long, "event_date", "ok", F.col("src"), inclusive=True)
-    rows = long.join(at, ["store", "key", "event_date"]).select(
+    rows = join_stats(long, at, ["store", "key", "event_date"], ["source"], "rows").select(
         "contest_id", "event_date", "store", F.col("source.contest").alias("source_contest"), F.col("source.day").alias("source_day"))
     return H.leakage_audit(H.name_stores(rows, ["rider"]), "contest_id", "event_date")
 

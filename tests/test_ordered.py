@@ -113,3 +113,20 @@ def test_balanced_group_join(rows, split):
     if split:
         plan = out._jdf.queryExecution().executedPlan().toString()
         assert "BroadcastHashJoin" in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 8, 1000])
+def test_slices_follow_the_order(rows, n):
+    df, _ = rows
+    cut = O.with_slices(df, ["g"], [F.col("v"), F.col("id")], n).orderBy("g", "v", "id").collect()
+    numbers = [r["_slice"] for r in cut]
+    assert numbers == sorted(numbers) and numbers[0] == 0 and numbers[-1] < n
+    assert n == 1 or len(set(numbers)) > n // 2
+
+
+def test_null_keys_without_statistics_are_spread(rows):
+    df, data = rows
+    stats = df.filter("g is not null").groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.max("pay").alias("top"))
+    out = O.join_stats(df, stats, ["g"], ["top"], "n", split=True, hot_rows=100, nulls_match=False)
+    want = {k: max(r[3] for r in part) for k, part in groups(data).items() if k is not None}
+    assert sorted((r.id, r.top) for r in out.collect()) == [(r[1], want.get(r[0])) for r in data]
