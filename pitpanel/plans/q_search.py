@@ -12,7 +12,11 @@ from pitpanel.plans.base import BETS, SCORED, bets, r6, rounded, scored
 from pitpanel.plans.q_backtest import order, picks
 from pitpanel.plans.q_columns import RANKED, ranked
 
-THRESHOLDS = [round(0.8 + 0.05 * i, 2) for i in range(17)]
+THRESHOLDS = [round(0.8 + 0.05 * i, 2) for i in range(31)]
+DRAWS = 1000
+LOWS = [1.0, 1.2, 1.4, 1.5, 1.7, 2.0, 2.5, 3.0, 3.5, 4.0, 5.0, 7.0]
+HIGHS = [1.2, 1.4, 1.5, 1.7, 2.0, 2.5, 3.0, 3.5, 4.0, 5.0, 7.0, 10.0, 20.0, 99.0]
+EVS = [0.0, *[round(0.8 + 0.05 * i, 2) for i in range(10)]]  # the first is no limit
 
 
 def dims():
@@ -21,7 +25,7 @@ def dims():
 
 
 def surface_dims():
-    return [S.Dim("low", "odds", ">=", (1.0, 1.5, 2.0, 3.0)), S.Dim("high", "odds", "<", (1.5, 2.0, 3.0, 5.0, 99.0)), S.Dim("ev", "ev", ">=", (0.0, 0.9, 1.0, 1.1, 1.3))]
+    return [S.Dim("low", "odds", ">=", tuple(LOWS)), S.Dim("high", "odds", "<", tuple(HIGHS)), S.Dim("ev", "ev", ">=", tuple(EVS))]
 
 
 def rg1(spark, sf):
@@ -120,29 +124,29 @@ def rg9(spark, sf):
 def bs1(method):
     def run(spark, sf):
         c = B.contest_bets(picks(spark, sf), "contest_id", "pay")
-        return rounded(B.roi_bootstrap(c, "contest_id", 40, 42, method), "point_roi", "mean_roi", "roi_p025", "roi_p500", "roi_p975", "p_roi_ge_90", "p_roi_ge_100")
+        return rounded(B.roi_bootstrap(c, "contest_id", DRAWS, 42, method), "point_roi", "mean_roi", "roi_p025", "roi_p500", "roi_p975", "p_roi_ge_90", "p_roi_ge_100")
     return run
 
 
 def bs1_weighted(spark, sf):
     d = picks(spark, sf).withColumn("pay", F.col("pay") * F.col("entry_no"))
     c = B.contest_bets(d, "contest_id", "pay", stake=F.col("entry_no") * 100)
-    return rounded(B.roi_bootstrap(c, "contest_id", 20, 7), "point_roi", "mean_roi", "roi_p025", "roi_p500", "roi_p975", "p_roi_ge_90", "p_roi_ge_100")
+    return rounded(B.roi_bootstrap(c, "contest_id", DRAWS, 7), "point_roi", "mean_roi", "roi_p025", "roi_p500", "roi_p975", "p_roi_ge_90", "p_roi_ge_100")
 
 
 def bs2(spark, sf):
     d = bets(spark, sf)
     c = B.contest_bets(d.filter("ev >= 1.3"), "contest_id", "pay", population=d)
-    return rounded(B.roi_bootstrap(c, "contest_id", 40, 42), "point_roi", "mean_roi", "roi_p025", "roi_p500", "roi_p975", "p_roi_ge_90", "p_roi_ge_100")
+    return rounded(B.roi_bootstrap(c, "contest_id", DRAWS, 42), "point_roi", "mean_roi", "roi_p025", "roi_p500", "roi_p975", "p_roi_ge_90", "p_roi_ge_100")
 
 
 def bs3(spark, sf):
-    d = B.paired_bootstrap(bets(spark, sf), "contest_id", "label", "p_model", "p_market", 40, 42)
+    d = B.paired_bootstrap(bets(spark, sf), "contest_id", "label", "p_model", "p_market", DRAWS, 42, method="poisson")
     return rounded(d, "point_delta", "mean_delta", "p025", "p975", "p_a_better")
 
 
 def bs4(spark, sf):
-    d = B.ece_bootstrap(bets(spark, sf), "contest_id", "label", "p_model", "p_market", 20, 42)
+    d = B.ece_bootstrap(bets(spark, sf), "contest_id", "label", "p_model", "p_market", DRAWS, 42, method="poisson")
     return rounded(d, "mean_delta", "p025", "p975", "p_a_better")
 
 
@@ -184,7 +188,7 @@ BEST = f"WITH {RANKED}, {RULES}, m AS (SELECT status, rule_id, event_date, conte
 
 
 def boot(clusters, its, seed, key="contest_id"):
-    return Bq + f""", c AS ({clusters}), i AS (SELECT *, row_number() OVER (ORDER BY {key})-1 AS i, count(*) OVER () AS n FROM c), d AS (SELECT r AS replicate, ('0x'||substr(md5('{seed}:'||r||':'||i),1,8))::bigint % n AS j FROM i, range({its}) t(r))"""
+    return Bq + f""", c AS ({clusters}), i AS (SELECT *, row_number() OVER (ORDER BY {key})-1 AS i, count(*) OVER () AS n FROM c), d AS (SELECT r AS replicate, ('0x'||substr(md5('{seed}:'||(r//4)||':'||i),1+8*(r%4),8))::bigint % n AS j FROM i, range({its}) t(r))"""
 
 
 ROI = """, s AS (SELECT replicate, 100.0*sum(c.return)/nullif(sum(c.stake),0) AS roi FROM d JOIN i c ON c.i=d.j GROUP BY 1), g AS (SELECT * FROM s WHERE roi IS NOT NULL)
@@ -198,6 +202,12 @@ for _k in range(16):
     _POIS.append(f"cast(u>={_CUM!r}::double AS int)")
 
 
+def poisson(clusters, its=DRAWS, seed=42):
+    """Clusters times replicates with their weight ``w``."""
+    u = f"('0x'||substr(md5('{seed}:'||(r//4)||':'||contest_id),1+8*(r%4),8))::bigint/4294967296.0::double"
+    return Bq + f", c AS ({clusters}), u AS (SELECT c.*, r AS replicate, {u} AS u FROM c, range({its}) t(r)), d AS (SELECT *, {'+'.join(_POIS)} AS w FROM u)"
+
+
 def ll(y, p, e):
     q = f"greatest({e},least(1.0-{e},{p}))"
     return f"(CASE WHEN {y}=1 THEN -ln({q}) ELSE -ln(1.0-{q}) END)"
@@ -233,7 +243,7 @@ SQL = {
     "rg2_rule_grid": f"WITH {RANKED}, {RULES} SELECT split, rule_id, count(*) AS bets, cast(sum(pay) AS bigint) AS return, count(*) FILTER (pay>0) AS hits, round(100.0*sum(pay)/(100*count(*)),6) AS roi, v1::double AS rank, v2 AS ev, v3 AS p, v4 AS margin, v5 AS odds_min, v6 AS odds_max FROM ranked JOIN rules ON "
                      + MATCH.replace("model_rank", "ranked.model_rank") .replace("AND ev>", "AND ranked.ev>").replace("AND margin>", "AND ranked.margin>") + " GROUP BY split, rule_id, v1, v2, v3, v4, v5, v6 HAVING count(*)>=100",
     "rg2_best_rules": BEST + " SELECT status, rule_id, bets, cast(ret AS bigint) AS return, hits, round(roi,4) AS roi, cast(dd AS bigint) AS max_drawdown, ls AS max_losing_streak, round(score,4) AS score, selected_order FROM top WHERE selected_order<=3",
-    "rg3_odds_ev_surface": Bq + ", l AS (SELECT unnest([1.0,1.5,2.0,3.0])::double AS low), h AS (SELECT unnest([1.5,2.0,3.0,5.0,99.0])::double AS high), e AS (SELECT unnest([0.0,0.9,1.0,1.1,1.3])::double AS e) SELECT low, high, e.e AS ev, count(*) AS bets, cast(sum(pay) AS bigint) AS return, count(*) FILTER (pay>0) AS hits, round(100.0*sum(pay)/(100*count(*)),6) AS roi FROM bets b JOIN l ON odds>=low JOIN h ON odds<high AND high>low JOIN e ON b.ev>=e.e GROUP BY 1,2,3",
+    "rg3_odds_ev_surface": Bq + f", l AS (SELECT unnest({LOWS})::double AS low), h AS (SELECT unnest({HIGHS})::double AS high), e AS (SELECT unnest({EVS})::double AS e) SELECT low, high, e.e AS ev, count(*) AS bets, cast(sum(pay) AS bigint) AS return, count(*) FILTER (pay>0) AS hits, round(100.0*sum(pay)/(100*count(*)),6) AS roi FROM bets b JOIN l ON odds>=low JOIN h ON odds<high AND high>low JOIN e ON b.ev>=e.e GROUP BY 1,2,3",
     "rg4_rules_applied": BEST + f", tp AS (SELECT status AS st, rules.* FROM top JOIN rules USING (rule_id) WHERE selected_order<=3) SELECT status, rule_id, split, count(*) AS bets, count(DISTINCT contest_id) AS contests, 100*count(*) AS stake, cast(sum(pay) AS bigint) AS return, cast(sum(pay)-100*count(*) AS bigint) AS profit, round(100.0*sum(pay)/(100*count(*)),6) AS roi, count(*) FILTER (pay>0) AS hits, round(avg(cast(pay>0 AS int)),6) AS hit_rate, round(avg(odds),9) AS mean_odds, max(odds) AS max_odds, round(avg(pay),6) AS mean_payout, max(pay) AS max_payout FROM ranked JOIN tp ON status=st AND {MATCH} WHERE split<>'train' GROUP BY 1,2,3",
     "rg5_candidate_classes": f"WITH {CLS}, r AS (SELECT *, row_number() OVER (PARTITION BY strategy_type ORDER BY ev DESC, entry_id) AS rn FROM cl) SELECT strategy_type, count(*) AS bets, cast(sum(pay) AS bigint) AS return, cast(sum(label) AS bigint) AS hits FROM r WHERE strategy_type<>'longshot' OR rn<=greatest(1,floor((SELECT count(*) FROM ranked)*0.01)) GROUP BY 1",
     "rg6_alpha_selection": Bq + ", a AS (SELECT unnest([0.0,0.25,0.5,0.75,1.0])::double AS alpha), s AS (SELECT alpha, count(*) AS bets, cast(sum(pay) AS bigint) AS return, 100.0*sum(pay)/(100*count(*)) AS roi FROM bets JOIN a ON (alpha*p_model+(1.0-alpha)*p_market)*odds>=1 GROUP BY 1), f AS (SELECT alpha, coalesce(bets,0) AS bets, coalesce(return,0) AS return, roi FROM a LEFT JOIN s USING (alpha)) SELECT alpha, bets, return, round(roi,6) AS roi, row_number() OVER (ORDER BY roi DESC NULLS LAST, bets DESC, alpha)=1 AS selected FROM f",
@@ -241,14 +251,14 @@ SQL = {
     "rg8_eligibility_choice": f"WITH {YG}, c AS (SELECT threshold, sum(bets) AS bets, 100.0*sum(ret)/(sum(bets)*100) AS roi, count(*) AS years, min(roi) AS miny, count(*) FILTER (roi>=90) AS y90 FROM yg WHERE year<=1999 GROUP BY 1), g AS (SELECT *, CASE WHEN bets<3000 THEN 'bets' WHEN years<4 THEN 'years' WHEN roi<90 THEN 'roi' ELSE '' END AS failed FROM c), b AS (SELECT threshold FROM g WHERE failed='' ORDER BY miny DESC, bets DESC, threshold LIMIT 1) SELECT threshold, cast(bets AS bigint) AS bets, round(roi,6) AS roi, round(miny,6) AS min_yearly_roi, y90 AS years_ge_90, failed, failed='' AS eligible, threshold IN (SELECT threshold FROM b) AS chosen FROM g",
     "rg9_nested_walk_forward": f"""WITH {YG}, f AS (SELECT unnest([1998,1999,2000,2001]) AS fold), c AS (SELECT fold, threshold, sum(bets) AS bets, min(roi) AS miny FROM yg JOIN f ON year<fold GROUP BY 1,2), b AS (SELECT fold, threshold FROM (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY miny DESC, bets DESC, threshold) AS rn FROM c WHERE bets>=1000 AND miny>=80) WHERE rn=1),
  p AS (SELECT fold, coalesce(threshold,1.0) AS threshold, threshold IS NOT NULL AS certified FROM f LEFT JOIN b USING (fold)) SELECT fold, p.threshold, certified, y.bets AS validation_bets, cast(ret AS bigint) AS validation_return, round(roi,6) AS validation_roi FROM p LEFT JOIN yg y ON y.year=fold AND y.threshold=p.threshold""",
-    "bs1_roi_bootstrap": boot(CL.format(t=1), 40, 42) + ROI,
-    "bs1_roi_bootstrap_poisson": Bq + f", c AS ({CL.format(t=1)}), d AS (SELECT r AS replicate, stake, return, ('0x'||substr(md5('42:'||r||':'||contest_id),1,8))::bigint/4294967296.0::double AS u FROM c, range(40) t(r)), s AS (SELECT replicate, 100.0*sum(return*w)/sum(stake*w) AS roi FROM (SELECT *, {'+'.join(_POIS)} AS w FROM d) GROUP BY 1), g AS (SELECT * FROM s)" + ROI[ROI.index("\n SELECT"):],
-    "bs1_weighted_bootstrap": boot("SELECT contest_id, cast(sum(100*entry_no) AS double) AS stake, cast(sum(pay*entry_no) AS double) AS return FROM bets WHERE ev>=1 GROUP BY 1", 20, 7) + ROI,
-    "bs2_bootstrap_population": boot("SELECT contest_id, 100.0*count(*) FILTER (ev>=1.3) AS stake, cast(coalesce(sum(pay) FILTER (ev>=1.3),0) AS double) AS return FROM bets GROUP BY 1", 40, 42) + ROI,
-    "bs3_paired_bootstrap": boot(f"SELECT contest_id, count(*) AS cn, sum({ll('label','p_model','1e-15')}-{ll('label','p_market','1e-15')}) AS dl, sum((p_model-label)**2-(p_market-label)**2) AS db FROM bets GROUP BY 1", 40, 42) + """, s AS (SELECT replicate, sum(dl)/sum(cn) AS l, sum(db)/sum(cn) AS b FROM d JOIN i ON i.i=d.j GROUP BY 1),
- u AS (SELECT unnest(['logloss','brier']) AS metric, unnest([l,b]) AS x FROM s), p AS (SELECT sum(dl)/sum(cn) AS l, sum(db)/sum(cn) AS b FROM c) SELECT metric, round(CASE metric WHEN 'logloss' THEN (SELECT l FROM p) ELSE (SELECT b FROM p) END,6) AS point_delta, round(avg(x),6) AS mean_delta, round(quantile_cont(x,0.025),6) AS p025, round(quantile_cont(x,0.975),6) AS p975, round(avg(cast(x<0 AS int)),6) AS p_a_better FROM u GROUP BY 1""",
-    "bs4_ece_bootstrap": boot("SELECT DISTINCT contest_id FROM bets", 20, 42) + f""", l AS (SELECT contest_id, 'a' AS m, {bn('p_model')} AS bin, p_model AS p, label FROM bets UNION ALL SELECT contest_id, 'b', {bn('p_market')}, p_market, label FROM bets), k AS (SELECT contest_id, m, bin, count(*) AS n, sum(label-p) AS gap FROM l GROUP BY 1,2,3),
- s AS (SELECT replicate, m, bin, sum(k.n) AS n, sum(gap) AS gap FROM d JOIN i ON i.i=d.j JOIN k ON k.contest_id=i.contest_id GROUP BY 1,2,3), e AS (SELECT replicate, m, sum(abs(gap))/sum(n) AS ece FROM s GROUP BY 1,2), x AS (SELECT a.ece-b.ece AS x FROM e a JOIN e b ON a.replicate=b.replicate AND a.m='a' AND b.m='b')
+    "bs1_roi_bootstrap": boot(CL.format(t=1), DRAWS, 42) + ROI,
+    "bs1_roi_bootstrap_poisson": poisson(CL.format(t=1)) + ", s AS (SELECT replicate, 100.0*sum(return*w)/sum(stake*w) AS roi FROM d GROUP BY 1), g AS (SELECT * FROM s)" + ROI[ROI.index("\n SELECT"):],
+    "bs1_weighted_bootstrap": boot("SELECT contest_id, cast(sum(100*entry_no) AS double) AS stake, cast(sum(pay*entry_no) AS double) AS return FROM bets WHERE ev>=1 GROUP BY 1", DRAWS, 7) + ROI,
+    "bs2_bootstrap_population": boot("SELECT contest_id, 100.0*count(*) FILTER (ev>=1.3) AS stake, cast(coalesce(sum(pay) FILTER (ev>=1.3),0) AS double) AS return FROM bets GROUP BY 1", DRAWS, 42) + ROI,
+    "bs3_paired_bootstrap": poisson(f"SELECT contest_id, count(*) AS cn, sum({ll('label','p_model','1e-15')}-{ll('label','p_market','1e-15')}) AS dl, sum((p_model-label)**2-(p_market-label)**2) AS db FROM bets GROUP BY 1") + """, s AS (SELECT replicate, sum(dl*w)/sum(cn*w) AS l, sum(db*w)/sum(cn*w) AS b FROM d GROUP BY 1),
+ x AS (SELECT unnest(['logloss','brier']) AS metric, unnest([l,b]) AS x FROM s), p AS (SELECT sum(dl)/sum(cn) AS l, sum(db)/sum(cn) AS b FROM c) SELECT metric, round(CASE metric WHEN 'logloss' THEN (SELECT l FROM p) ELSE (SELECT b FROM p) END,6) AS point_delta, round(avg(x),6) AS mean_delta, round(quantile_cont(x,0.025),6) AS p025, round(quantile_cont(x,0.975),6) AS p975, round(avg(cast(x<0 AS int)),6) AS p_a_better FROM x GROUP BY 1""",
+    "bs4_ece_bootstrap": poisson(f"SELECT contest_id, m, bin, count(*) AS n, sum(label-p) AS gap FROM (SELECT contest_id, 'a' AS m, {bn('p_model')} AS bin, p_model AS p, label FROM bets UNION ALL SELECT contest_id, 'b', {bn('p_market')}, p_market, label FROM bets) GROUP BY 1,2,3") + """,
+ s AS (SELECT replicate, m, bin, sum(n*w) AS n, sum(gap*w) AS gap FROM d GROUP BY 1,2,3), e AS (SELECT replicate, m, sum(abs(gap))/sum(n) AS ece FROM s GROUP BY 1,2), x AS (SELECT a.ece-b.ece AS x FROM e a JOIN e b ON a.replicate=b.replicate AND a.m='a' AND b.m='b')
  SELECT round(avg(x),6) AS mean_delta, round(quantile_cont(x,0.025),6) AS p025, round(quantile_cont(x,0.975),6) AS p975, round(avg(cast(x<0 AS int)),6) AS p_a_better FROM x""",
     "bs5_permutation_importance": Bq + f", base AS ({pmet('SELECT * FROM bets')}), x AS (" + " UNION ALL ".join(f"SELECT '{n}' AS g, * FROM ({pmet(perm(c))})" for n, c in {"model": ["p_model"], "market": ["odds"], "both_scores": ["p_model", "p_alt"]}.items()) + ") SELECT g AS feature_group, round(x.l-base.l,6) AS delta_logloss, round(x.b-base.b,6) AS delta_brier FROM x, base",
     "bs6_stratified_sample": f"WITH {SCORED} SELECT entry_id, year FROM (SELECT *, row_number() OVER (PARTITION BY year ORDER BY md5('42:'||entry_id), entry_id) AS rn FROM scored) WHERE rn<=50",
