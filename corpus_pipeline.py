@@ -7,7 +7,7 @@ and very long texts, ties, repeated rows, empty tables and extra columns are han
 
 from __future__ import annotations
 
-from pitpanel.llm import bpe, exact, mixing, simhash, toxicity
+from pitpanel.llm import bpe, exact, mixing, nearcopy, toxicity
 from pitpanel.sources.workdir import materialise
 
 
@@ -22,8 +22,8 @@ def keep_distinct(spark, docs, sf_dir):
 
 
 def keep_unlike(spark, docs, sf_dir):
-    """Of each group of near duplicates the smallest doc_id stays."""
-    return simhash.one_per_group(docs)
+    """Of each group of near copies (similarity 0.8 on five words, or 2 bits of SimHash) the smallest doc_id stays."""
+    return nearcopy.one_per_group(docs)
 
 
 def mix_sources(spark, docs, sf_dir):
