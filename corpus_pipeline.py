@@ -32,8 +32,8 @@ def mix_sources(spark, docs, sf_dir):
 
 
 def encode(spark, docs, sf_dir):
-    """Token ids of every text."""
-    return bpe.encoded(docs, with_tokens=True)
+    """Token ids of every text and its position in the mixed order; the rows are sorted by position."""
+    return bpe.encoded(mixing.positioned(docs), with_tokens=True, keep=("position",))
 
 
 STAGES = [("toxicity", keep_civil), ("exact_dedup", keep_distinct), ("simhash_near_dedup", keep_unlike), ("mix_sources", mix_sources), ("bpe", encode)]

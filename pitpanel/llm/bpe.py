@@ -109,15 +109,17 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def encoded(docs: DataFrame, vocabulary_file: str = "byte_bpe_50k.json", doc_id: str = "doc_id", text: str = "text", with_tokens: bool = False) -> DataFrame:
-    """One row per input row: doc_id, n_tokens, ids_sha256, decoded_sha256, and the ids themselves if ``with_tokens``.
+def encoded(docs: DataFrame, vocabulary_file: str = "byte_bpe_50k.json", doc_id: str = "doc_id", text: str = "text", with_tokens: bool = False,
+            keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per input row: doc_id, n_tokens, ids_sha256, decoded_sha256, and the ids themselves if ``with_tokens``; columns in ``keep`` come along.
 
     Whole texts of any length; null is empty (no tokens).  Rows are independent, so ties and repeated rows just repeat;
     an empty table gives no rows; other columns are not read.
     """
-    rows = docs.select(F.col(doc_id).alias("doc_id"), text_of(text).alias("text"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), text_of(text).alias("text"), *keep)
     kind = rows.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_tokens
+    schema += "".join(f", {c} {rows.schema[c].dataType.simpleString()}" for c in keep)
 
     def make():
         v = vocabulary(vocabulary_path(vocabulary_file))
@@ -131,7 +133,7 @@ def encoded(docs: DataFrame, vocabulary_file: str = "byte_bpe_50k.json", doc_id:
             if with_tokens:
                 offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
                 columns["ids"] = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), "<u4").astype(np.int32)))
-            return pa.RecordBatch.from_pydict(columns)
+            return pa.RecordBatch.from_pydict(columns | {c: batch.column(c) for c in keep})
         return apply
 
     return arrow_map(rows, make, schema, rows=500)

@@ -10,11 +10,13 @@ repeats after at most ``period`` slots: only this pattern, made from the weights
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from pitpanel.llm.common import packed
+from pitpanel.sources.workdir import materialise
 
 BLOCK_ROWS = 32
 PERIOD = 1000
@@ -105,7 +107,22 @@ def mixed(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float
 
 
 def in_order(docs: DataFrame, **options) -> DataFrame:
-    """All rows with their own columns, sorted into the mixed order (part files follow each other)."""
+    """All rows with their own columns, sorted into the mixed order; written as files, :func:`positioned` finds it again."""
     return mixed(docs, **options).orderBy("slot", "place").select("row.*")
 
 
+def positioned(docs: DataFrame) -> DataFrame:
+    """Rows of :func:`in_order`, written or not, with their 0-based ``position`` and sorted by it.
+
+    A scan deals files out by size, so the order comes from the numbers of the part files and the rows in them.
+    """
+    try:
+        docs.select("_metadata.row_index")
+    except AnalysisException:  # not a file scan yet
+        docs = materialise(docs, "ordered")
+    rows = packed(docs, F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
+    number = [F.coalesce(F.regexp_extract("file", p, 1).try_cast("long"), F.lit(0)) for p in (r"part-(\d+)[^/]*$", r"-c(\d+)\.[^/]*$")]
+    before = W.orderBy(*number, "file").rowsBetween(W.unboundedPreceding, -1)
+    starts = rows.groupBy("file").agg(F.count(F.lit(1)).alias("n")).select(F.col("file").alias("_file"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))  # one row for each file
+    placed = rows.join(F.broadcast(starts), F.col("file") == F.col("_file"))
+    return placed.select("row.*", (F.col("start") + F.col("at")).alias("position")).orderBy("position")
