@@ -3,7 +3,8 @@
 Measured per text: characters per token of a byte-level vocabulary, the share of bytes in characters that a piece
 vocabulary only reaches by byte fallback, and the entropy of the tokens against its most at that length.  For every
 language and length class the bands are quartiles of all texts widened by a multiple of their distance; a text outside
-a band is rejected.
+a band is rejected.  Where a class has few texts the bands are those of the language over all lengths, else of the main
+script, else of all texts, with the entropy taken against its line over the logarithm of the length.
 """
 
 from __future__ import annotations
@@ -26,7 +27,8 @@ MIN_WORDS = 50
 REPEAT_PERCENT = 50
 WIDEN = 6.0  # quartile distances that a band reaches beyond the quartiles
 LEAST_SPREAD = {"chars_per_token": 0.03, "fallback_share": 0.005, "token_entropy": 0.01}  # smallest quartile distance that counts
-LEAST_TEXTS = 30  # a language and length class with fewer texts has no band
+LEAST_TEXTS = 30  # a group with fewer texts has no band of its own and takes that of the next wider one
+LEVELS = (("lang", "length_class"), ("lang",), ("script",), ("every",))  # groups with bands, from narrow to wide
 SYMBOLS = "#*$%&|<>"  # fixed
 SPACE = re.compile(r"[\x20\x09-\x0D]")
 
@@ -80,51 +82,77 @@ def measures(text: str, encode, known: frozenset) -> tuple:
     return *base, len(tokens), len(text) / len(tokens), fallback / len(raw), entropy
 
 
+def main_script(text: str) -> int:
+    """The most frequent block among the letters: 1 + the code over 256, with Latin blocks as 1 and ideographs as one; none: 0."""
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    block = 1 + (code >> 8).astype(np.int64)
+    block = np.where((code < 0x250) | (block == 0x1F), 1, np.where((code >= 0x3400) & (code < 0xA000) | (code >= 0x20000), 0x4F, np.where((code >= 0xAC00) & (code < 0xD800), 0xAD, block)))
+    letters = block[(code >= 0x80) | (code >= 65) & (code <= 90) | (code >= 97) & (code <= 122)]
+    return int(np.bincount(letters).argmax()) if len(letters) else 0
+
+
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_tokens")
 RATES = ("chars_per_token", "fallback_share", "token_entropy")
 
 
 def measured(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", ranks_file: str = "byte_bpe_multi_50k.tiktoken",
              piece_file: str = "piece_bpe_32k.model") -> DataFrame:
-    """One row per input row with the id, the language (null: und) and all measures."""
+    """One row per input row with the id, the language (null: und), the main script and all measures."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), text_of(text).alias("text"))
-    schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, lang string, " + ", ".join([f"{c} long" for c in COUNTS] + [f"{c} double" for c in RATES])
+    schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, lang string, script int, " + ", ".join([f"{c} long" for c in COUNTS] + [f"{c} double" for c in RATES])
 
     def make():
         encode, known = vocabularies(ranks_file, piece_file)
 
         def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
-            columns = [*zip(*[measures(t, encode, known) for t in texts(batch)])] or [()] * 9
+            own = texts(batch)
+            columns = [*zip(*[measures(t, encode, known) for t in own])] or [()] * 9
+            script = pa.array([main_script(t) for t in own], pa.int32())
             kinds = [pa.int64()] * len(COUNTS) + [pa.float64()] * len(RATES)
-            return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), *[pa.array(c, k) for c, k in zip(columns, kinds)]], names=["doc_id", "lang", *COUNTS, *RATES])
+            return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), script, *[pa.array(c, k) for c, k in zip(columns, kinds)]], names=["doc_id", "lang", "script", *COUNTS, *RATES])
         return apply
 
     return arrow_map(rows, make, schema)
 
 
-def bands(rows: DataFrame, widen: float = WIDEN) -> DataFrame:
-    """Rejection bands by language and length class, from all texts that pass the base rules."""
+def bands(rows: DataFrame, group: tuple[str, ...] = LEVELS[0], widen: float = WIDEN) -> DataFrame:
+    """Rejection bands by ``group``, from all texts that pass the base rules; over all lengths the entropy is taken against a line."""
+    rows, flat, least = rows.filter("not base_failed"), "length_class" in group, 1 if group == LEVELS[-1] else LEAST_TEXTS
+    if flat:
+        rows = rows.withColumns({"a": F.lit(0.0), "b": F.lit(0.0)})
+    else:
+        x = F.log2(F.greatest(F.col("n_tokens"), F.lit(1)))
+        b = F.coalesce(F.regr_slope("token_entropy", x), F.lit(0.0))
+        line = rows.groupBy(*group).agg(b.alias("b"), (F.avg("token_entropy") - b * F.avg(x)).alias("a"))
+        rows = rows.join(F.broadcast(line), list(group))  # one row for each group, a short list
+        rows = rows.withColumn("token_entropy", F.col("token_entropy") - F.col("a") - F.col("b") * x)
     quartiles = [F.percentile_approx(c, F.array(F.lit(0.25), F.lit(0.75)), 10000).alias(c) for c in RATES]
-    stats = rows.filter("not base_failed").groupBy("lang", "length_class").agg(F.count(F.lit(1)).alias("n"), *quartiles).filter(F.col("n") >= LEAST_TEXTS)
+    stats = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.max("a").alias("a"), F.max("b").alias("b"), *quartiles).filter(F.col("n") >= least)
     limits = []
     for c in RATES:
         reach = F.greatest(F.col(c)[1] - F.col(c)[0], F.lit(LEAST_SPREAD[c])) * widen
         limits += [(F.col(c)[0] - reach).alias(f"{c}_low"), (F.col(c)[1] + reach).alias(f"{c}_high")]
-    return stats.select("lang", "length_class", *limits)
+    return stats.select(*group, F.struct("a", "b", *limits).alias("band"))
 
 
 def judged(docs: DataFrame, widen: float = WIDEN, **columns) -> DataFrame:
     """One row per input row: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept and the measures.
 
-    Null and empty texts have no words and fail the base rules.  Texts of a language and length class without a band
-    are kept if they pass the base rules.  Repeated rows repeat; an empty table gives no rows; other columns are not read.
+    Null and empty texts have no words and fail the base rules.  Every other text is judged by the narrowest of
+    LEVELS that has a band for it.  Repeated rows repeat; an empty table gives no rows; other columns are not read.
     """
     rows = measured(docs, **columns)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
-    rows = materialise(rows.withColumns({"base_failed": failed, "length_class": F.floor(F.log2(F.greatest(F.col("n_tokens"), F.lit(1)))).cast("int")}), "fertility")
-    # one row for each language and length class, both short lists
-    joined = rows.join(F.broadcast(bands(rows, widen)), ["lang", "length_class"], "left")
+    rows = materialise(rows.withColumns({"base_failed": failed, "length_class": F.floor(F.log2(F.greatest(F.col("n_tokens"), F.lit(1)))).cast("int"), "every": F.lit(0)}), "fertility")
+    joined, found = rows, []
+    for k, group in enumerate(LEVELS):  # one row for each group, short lists
+        own = bands(rows, group, widen).withColumnRenamed("band", f"band{k}")
+        joined = joined.join(F.broadcast(own), list(group), "left")
+        found.append(f"band{k}")
+    joined = joined.withColumn("band", F.coalesce(*found))
+    x = F.log2(F.greatest(F.col("n_tokens"), F.lit(1)))
+    value = {c: F.col(c) for c in RATES} | {"token_entropy": F.col("token_entropy") - F.col("band.a") - F.col("band.b") * x}
     outside = F.lit(False)
-    for c in RATES:
-        outside = outside | F.coalesce((F.col(c) < F.col(f"{c}_low")) | (F.col(c) > F.col(f"{c}_high")), F.lit(False))
+    for c, v in value.items():
+        outside = outside | F.coalesce((v < F.col(f"band.{c}_low")) | (v > F.col(f"band.{c}_high")), F.lit(False))
     return joined.select("doc_id", *COUNTS[:5], "base_failed", (~F.col("base_failed") & ~outside).alias("kept"), "lang", "n_tokens", *RATES)
