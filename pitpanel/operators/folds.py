@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -28,6 +28,15 @@ def fold_window(name: str, mode: str, start: int, year: int, rolling_years: int
     return Fold(name, year, first, year - 1, half_life)
 
 
+def fold_name(f: Fold) -> str:
+    return f"{f.strategy}-{f.validation_year}"
+
+
+def fold_key() -> Column:
+    """Name of the fold of a row that ``tag_folds`` made."""
+    return F.concat_ws("-", "strategy", F.col("validation_year").cast("string"))
+
+
 def fold_table(spark, folds: Sequence[Fold]) -> DataFrame:
     return spark.createDataFrame([(f.strategy, f.validation_year, f.train_start, f.train_end) for f in folds],
                                  "strategy string, validation_year int, train_start int, train_end int")

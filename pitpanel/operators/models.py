@@ -1,4 +1,4 @@
-"""Time-sliced models on Spark ML: market baseline, offset model, classifier, ablation."""
+"""Time-sliced models: offset model and ablation on grouped fits, classifiers on Spark ML, parity gate."""
 
 from __future__ import annotations
 
@@ -13,65 +13,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pitpanel.functions import expr as X
-from pitpanel.functions.ordered import attach_row, quantiles
+from pitpanel.functions.ordered import attach_row
+from pitpanel.operators import grouped as G
 from pitpanel.operators import metrics as M
-from pitpanel.operators.calibrate import newton_logistic
-from pitpanel.operators.folds import Fold
-
-
-@dataclass
-class Baseline:
-    """Median-imputed, standardised logistic; applied as one column expression."""
-
-    medians: dict
-    means: dict
-    scales: dict
-    coefficients: dict
-    intercept: float
-    train_start: int | None = None
-    train_end: int | None = None
-
-    def logit(self) -> Column:
-        z = F.lit(self.intercept)
-        for c, beta in self.coefficients.items():
-            x = F.coalesce(F.col(c).cast("double"), F.lit(self.medians[c]))
-            z = z + beta * ((x - self.means[c]) / self.scales[c])
-        return z
-
-    def probability(self) -> Column:
-        return X.clip(X.sigmoid(self.logit()))
-
-
-def fit_baseline(train: DataFrame, columns: Sequence[str], y: str, c: float = 1.0) -> Baseline:
-    """Exact medians, population scaling, ridge strength 1/(C*n)."""
-    long = train.select(F.inline(F.array(*[F.struct(F.lit(n).alias("c"), F.col(n).cast("double").alias("v")) for n in columns])))
-    medians = {r["c"]: r["q0"] for r in quantiles(long, ["c"], "v", [0.5]).collect()}  # one row per column
-    filled = {n: F.coalesce(F.col(n).cast("double"), F.lit(medians[n])) for n in columns}
-    stats = train.agg(F.count(F.lit(1)).alias("n"), *[F.avg(e).alias(f"m_{n}") for n, e in filled.items()], *[F.stddev_pop(e).alias(f"s_{n}") for n, e in filled.items()]).first()
-    means = {n: stats[f"m_{n}"] for n in columns}
-    scales = {n: stats[f"s_{n}"] or 1.0 for n in columns}
-    d = train.select(*[((filled[n] - means[n]) / scales[n]).alias(n) for n in columns], F.col(y).cast("double").alias("_y"))
-    d = VectorAssembler(inputCols=list(columns), outputCol="features").transform(d)
-    m = LogisticRegression(labelCol="_y", regParam=1.0 / (c * stats["n"]), standardization=False, maxIter=200, tol=1e-9).fit(d)
-    return Baseline(medians, means, scales, dict(zip(columns, [float(x) for x in m.coefficients])), float(m.intercept))
-
-
-def expanding_oof(df: DataFrame, years: Sequence[int], year: str, columns: Sequence[str], y: str, first: Column) -> DataFrame:
-    """Out-of-fold baseline inside a training span: each year is scored by the years before it, the first by a heuristic."""
-    out = df.filter(F.col(year) == years[0]).withColumn("p_base", first)
-    for yr in years[1:]:
-        b = fit_baseline(df.filter(F.col(year).isin(*[v for v in years if v < yr])), columns, y)
-        out = out.unionByName(df.filter(F.col(year) == yr).withColumn("p_base", b.probability()))
-    return out
-
-
-def fold_baseline(df: DataFrame, fold: Fold, year: str, columns: Sequence[str], y: str) -> DataFrame:
-    """Fold-aligned baseline: in-sample on train, out-of-sample on validation, with provenance."""
-    b = fit_baseline(df.filter(F.col(year).between(fold.train_start, fold.train_end)), columns, y)
-    d = df.filter(F.col(year).between(fold.train_start, fold.validation_year))
-    return d.withColumns({"base_logit": b.logit(), "p_base": b.probability(), "strategy": F.lit(fold.strategy), "validation_year": F.lit(fold.validation_year),
-                          "part": F.when(F.col(year) == fold.validation_year, "validation").otherwise("train"),
-                          "provenance": F.when(F.col(year) == fold.validation_year, "out_of_sample").otherwise("in_sample")})
+from pitpanel.operators.folds import Fold, fold_name
 
 
 @dataclass
@@ -90,9 +35,12 @@ class OffsetModel:
 
 
 def fit_offset(train: DataFrame, columns: Sequence[str], y: str, offset: str, weight: str | None = None, reg: float = 1e-6) -> OffsetModel:
-    b = newton_logistic(train, [F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns], F.col(y), F.col(offset),
-                        F.col(weight) if weight else None, reg)
-    return OffsetModel(list(columns), dict(zip(columns, b[1:])), b[0])
+    """Weighted logistic fit on top of a fixed offset; missing values count as 0."""
+    spark = train.sparkSession
+    fits = G.members(spark, {"all": ["all"]}, "string")
+    spec = G.plain_spec(fits.select("fit"), columns, ridge=F.lit(reg))
+    b = G.newton(train.withColumn("_part", F.lit("all")), fits, spec, columns, y, offset=offset, weight=weight, part="_part").first()
+    return OffsetModel(list(columns), {c: b[f"b_{i}"] for i, c in enumerate(columns, 1)}, b["b_0"])
 
 
 def apply_offset(df: DataFrame, model: OffsetModel, offset: str) -> DataFrame:
@@ -120,17 +68,21 @@ def predict(model, df: DataFrame, keep: Sequence[str], numeric: Sequence[str], c
                                      vector_to_array("probability")[1].alias("pred_probability"))
 
 
-def ablation(df: DataFrame, groups: dict[str, Sequence[str]], folds: Sequence[Fold], year: str, y: str, offset: str) -> DataFrame:
-    """Drop each feature group, refit every fold, compare pooled log-loss and Brier on the validation years."""
+def ablation(df: DataFrame, groups: dict[str, Sequence[str]], folds: Sequence[Fold], year: str, y: str, offset: str, reg: float = 1e-6) -> DataFrame:
+    """Drop each feature group, refit every fold, compare pooled log-loss and Brier on the validation years.
+
+    All variants of all folds are fitted in the same rounds; a variant switches the features off that it lacks.
+    """
+    spark = df.sparkSession
     everything = [c for g in groups.values() for c in g]
-    variants = {"all": everything} | {f"without_{n}": [c for c in everything if c not in g] for n, g in groups.items()}
-    out = None
-    for name, cols in variants.items():
-        for f in folds:
-            m = fit_offset(df.filter(F.col(year).between(f.train_start, f.train_end)), cols, y, offset)
-            part = apply_offset(df.filter(F.col(year) == f.validation_year), m, offset).select(
-                F.lit(name).alias("variant"), F.lit(f.strategy).alias("strategy"), F.lit(f.validation_year).alias("validation_year"), F.col(y).alias("y"), "final_probability")
-            out = part if out is None else out.unionByName(part)
+    without = {"all": (), **{f"without_{n}": tuple(g) for n, g in groups.items()}}
+    names = spark.createDataFrame([(f"{v}|{fold_name(f)}", v, f.validation_year) for v in without for f in folds], "fit string, variant string, validation_year int")
+    members = G.members(spark, {f"{v}|{fold_name(f)}": range(f.train_start, f.train_end + 1) for v in without for f in folds})
+    use = {c: F.when(F.col("variant").isin(*[v for v, gone in without.items() if c in gone] or ["-"]), 0.0).otherwise(1.0) for c in everything}
+    d = df.select(F.col(year).alias("part"), *everything, F.col(y).alias("y"), F.col(offset).alias("offset"))
+    fitted = G.newton(d, members, G.plain_spec(names, everything, use, F.lit(reg)), everything, "y", offset="offset")
+    out = d.join(F.broadcast(fitted), F.col("part") == F.col("validation_year"))  # a row for every variant and fold of its year
+    out = out.withColumn("final_probability", X.clip(X.sigmoid(G.linear(everything, F.col("offset")))))
     return M.probability_metrics(out, ["variant"], "y", "final_probability")
 
 

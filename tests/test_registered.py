@@ -18,7 +18,7 @@ def test_every_sql_has_a_query():
     assert set(SQL) <= set(QUERIES)
 
 
-SLOW = {"ts8_walk_forward_calibration", "ts9_ablation", "ts6_classifier_trees", "ts7_calibrators"}  # run by tests/oracle.py
+SLOW = {"ts6_classifier_trees"}  # run by tests/oracle.py
 
 
 @pytest.mark.parametrize("name", [n for n in QUERIES if n not in SLOW])

@@ -7,8 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pitpanel.operators import calibrate as CAL
 from pitpanel.operators import folds as FO
+from pitpanel.operators import grouped as G
 from pitpanel.operators import models as MO
 from pitpanel.operators import search as S
 from tests.test_ordered import risk
@@ -95,11 +95,23 @@ def newton(z, y, offset=0.0, iters=30):
     return b
 
 
-def test_platt_equals_newton(panel):
+def one_fit(df, method, spark, slices=None):
+    """Calibrator row of one fit on all rows, and the scores under it."""
+    hist = G.histogram(df, F.lit("all"), "y", "p")
+    m = G.members(spark, {"all": ["all"]}, "string")
+    c = G.calibrators(hist, m, (method,), slices=slices)
+    return c.first(), {r.p: r.calibrated for r in G.scored_histogram(hist, m, c).collect()}
+
+
+def test_platt_equals_newton(panel, spark):
     df, p, y, _, _ = panel
-    c = CAL.fit("platt_logit", CAL.histogram(df, [], "y", "p"))
+    c, _ = one_fit(df, "platt_logit", spark)
     b = newton(np.log(p / (1 - p)), y)
-    assert c.params["intercept"] == pytest.approx(b[0], abs=1e-5) and c.params["slope"] == pytest.approx(b[1], abs=1e-5)
+    assert c.b_0 == pytest.approx(b[0], abs=1e-7) and c.b_2 == pytest.approx(b[1], abs=1e-7)
+    c, got = one_fit(df, "platt_p", spark)
+    b = newton(p, y)
+    assert c.b_0 == pytest.approx(b[0], abs=1e-7) and c.b_1 == pytest.approx(b[1], abs=1e-7)
+    assert all(got[v] == pytest.approx(1 / (1 + np.exp(-b[0] - b[1] * v)), abs=1e-7) for v in p)
 
 
 def pav(p, y):
@@ -116,34 +128,86 @@ def pav(p, y):
     return {v: b[0] for b in blocks for v in b[2]}
 
 
-def test_isotonic_equals_pool_adjacent_violators(panel):
+@pytest.mark.parametrize("size,merged,runs", [(4000, 16, 3), (7, 2, 0), (50, 3, 1)])
+def test_isotonic_equals_pool_adjacent_violators(panel, spark, monkeypatch, size, merged, runs):
+    """Also with many small slices, so that pools are merged over several levels."""
     df, p, y, _, _ = panel
-    c = CAL.fit("isotonic", CAL.histogram(df, [], "y", "p"))
+    monkeypatch.setattr(G, "MERGED", merged)
+    monkeypatch.setattr(G, "RUNS", runs)
+    points = G.histogram(df, F.lit("all"), "y", "p").withColumnRenamed("part", "fit")
+    r = G.isotonic(points, size=size).first()
     want = pav(p, y)
-    got = {r.p: r.q for r in c.apply(df, "p", "q").select("p", "q").collect()}
-    assert all(abs(got[v] - min(max(w, 1e-6), 1 - 1e-6)) < 1e-9 for v, w in want.items())
+    pools = sorted({round(v, 12) for v in want.values()})
+    assert len(r.value) == len(pools) and r.value == pytest.approx(pools)
+    assert all(abs(want[v] - r.value[i]) < 1e-12 for i, (a, b) in enumerate(zip(r.lo, r.hi)) for v in want if a <= v <= b)
+
 
+def test_isotonic_values_between_and_outside_pools(spark):
+    """Scores the fit has not seen: linear between pools, constant inside and outside."""
+    rows = [("train", 0.2, 0), ("train", 0.3, 1), ("train", 0.4, 0), ("train", 0.6, 1)] + [("own", q, 0) for q in (0.1, 0.2, 0.35, 0.4, 0.45, 0.5, 0.6, 0.9)]
+    df = spark.createDataFrame(rows, "part string, p double, y int")
+    hist = G.histogram(df, F.col("part"), "y", "p")
+    c = G.calibrators(hist, G.members(spark, {"f": ["train"]}, "string"), ("isotonic",))
+    got = {r.p: r.calibrated for r in G.scored_histogram(hist, G.members(spark, {"f": ["own"]}, "string"), c).collect()}
+    want = {0.1: 1e-6, 0.2: 1e-6, 0.35: 0.5, 0.4: 0.5, 0.45: 0.625, 0.5: 0.75, 0.6: 1 - 1e-6, 0.9: 1 - 1e-6}
+    assert got == pytest.approx(want)
 
-def test_temperature_near_optimum(panel):
+
+def test_temperature_near_optimum(panel, spark):
     df, p, y, _, _ = panel
-    t = CAL.fit("temperature", CAL.histogram(df, [], "y", "p")).params["temperature"]
+    c, got = one_fit(df, "temperature", spark)
 
     def loss(s):
         q = 1 / (1 + np.exp(-np.log(p / (1 - p)) / s))
         return -np.mean(y * np.log(q) + (1 - y) * np.log(1 - q))
 
-    assert loss(t) <= min(loss(s) for s in np.linspace(0.3, 3.9, 400)) + 1e-6
+    assert loss(1 / c.b_2) <= min(loss(s) for s in np.linspace(0.3, 3.9, 4000)) + 1e-12
+    assert all(got[v] == pytest.approx(1 / (1 + np.exp(-c.b_2 * np.log(v / (1 - v))))) for v in p)
 
 
-def test_walk_forward_uses_prior_years_only(panel, spark):
+def test_walk_forward_and_leave_one_out_use_the_right_years(panel):
     df, p, y, _, year = panel
-    out = CAL.walk_forward(df, "year", "y", "p", [2018], ("platt_logit",)).select("id", "calibrated").collect()
-    m = year < 2018
-    b = newton(np.log(p[m] / (1 - p[m])), y[m])
-    for r in out:
-        z = np.log(p[r.id] / (1 - p[r.id]))
-        assert r.calibrated == pytest.approx(1 / (1 + np.exp(-(b[0] + b[1] * z))), abs=1e-5)
-    assert len(out) == int((year == 2018).sum())
+    hist = G.histogram(df, F.col("year"), "y", "p").cache()
+    for rows, used in ((G.walk_forward(hist, ("platt_logit",)), lambda a, b: a < b), (G.leave_one_out(hist, ("platt_logit",)), lambda a, b: a != b)):
+        found = rows.collect()
+        years = sorted({r.part for r in found})
+        assert years == ([2017, 2018, 2019] if used(1, 1) or not used(2, 1) else [2016, 2017, 2018, 2019])
+        for own in years:
+            m = used(year, own)
+            b = newton(np.log(p[m] / (1 - p[m])), y[m])
+            for r in (r for r in found if r.part == own):
+                assert r.calibrated == pytest.approx(1 / (1 + np.exp(-b[0] - b[1] * np.log(r.p / (1 - r.p)))), abs=1e-7)
+            assert sum(r.n for r in found if r.part == own) == int((year == own).sum())
+
+
+def test_choices_rank_by_the_stated_metrics(spark):
+    rows = [(1, "a", 0.5, 0.2, 0.01, 0.1), (2, "a", 0.7, 0.2, 0.05, 0.1), (1, "b", 0.6, 0.2, 0.02, 0.3), (2, "b", 0.6, 0.2, 0.03, 0.2), (1, "c", 0.61, 0.1, 0.0, 0.1), (2, "c", 0.61, 0.1, 0.0, 0.1)]
+    t = spark.createDataFrame(rows, "part int, method string, logloss double, brier double, ece double, mce double")
+    assert [r.method for r in G.leave_one_out_choice(t).filter("selected").collect()] == ["b"]  # equal means, smaller worst ECE
+    assert [r.method for r in G.forward_choice(t).filter("selected").collect()] == ["c"]
+
+
+def test_fits_in_a_table_equal_fits_in_the_driver(panel, spark, monkeypatch):
+    df, p, y, x, year = panel
+    d = df.withColumns({"o": F.lit(0.1), "w": 1.0 + F.col("id") % 3})
+    fits = G.members(spark, {"early": [2016, 2017], "late": [2018, 2019], "all": [2016, 2017, 2018, 2019], "none": [1900]})
+    names = fits.select("fit").distinct()
+    spec = G.plain_spec(names, ("x", "p"), {"x": F.when(F.col("fit") == "late", 0.0).otherwise(1.0)}, F.lit(1e-4))
+
+    def fitted():
+        return {r.fit: (r.b_0, r.b_1, r.b_2) for r in G.newton(d, fits, spec, ("x", "p"), "y", offset="o", weight="w", part="year").collect()}
+
+    one = fitted()
+    monkeypatch.setattr(G, "LISTED", 0)
+    two = fitted()
+    assert set(one) == set(two) == {"early", "late", "all", "none"} and one["none"] == (0.0, 0.0, 0.0) and one["late"][1] == 0.0
+    for f in one:
+        assert one[f] == pytest.approx(two[f], abs=1e-6)
+    m = year > 2015
+    w = 1.0 + np.arange(len(y)) % 3
+    X = np.column_stack([np.ones(len(y)), np.where(np.arange(len(x)) % 50 == 0, 0.0, x), p])
+    q = 1 / (1 + np.exp(-(X @ np.array(one["all"]) + 0.1)))
+    assert np.abs((X * (w * (y - q))[:, None]).sum(axis=0) / w.sum() - np.array([0, 1e-4, 1e-4]) * one["all"])[m[:3]].max() < 1e-7
 
 
 def test_offset_model_identity_and_fit(panel):
@@ -157,15 +221,19 @@ def test_offset_model_identity_and_fit(panel):
     assert out.agg(F.max(F.abs(F.col("final_logit") - F.col("offset") - F.col("residual")))).first()[0] < 1e-12
 
 
-def test_baseline_imputes_and_scales(panel):
-    df, p, y, x, _ = panel
-    b = MO.fit_baseline(df, ["x", "p"], "y", c=1e9)
-    med = np.median(x[np.arange(len(x)) % 50 != 0])
-    xx = np.where(np.arange(len(x)) % 50 == 0, med, x)
-    Z = np.column_stack([(xx - xx.mean()) / xx.std(), (p - p.mean()) / p.std()])
-    w = newton(Z, y)
-    assert b.medians["x"] == pytest.approx(med)
-    assert [b.intercept, b.coefficients["x"], b.coefficients["p"]] == pytest.approx(list(w), abs=1e-3)
+def test_baseline_imputes_and_scales(panel, spark):
+    df, p, y, x, year = panel
+    fits = {"early": [2016, 2017], "all": [2016, 2017, 2018, 2019]}
+    got = {r.fit: r for r in G.baselines(df, G.members(spark, fits), ["x", "p"], "y", c=1e9, part="year").collect()}
+    for f, years in fits.items():
+        m = np.isin(year, years)
+        seen = m & (np.arange(len(x)) % 50 != 0)
+        med = np.median(x[seen])
+        xx = np.where(np.arange(len(x)) % 50 == 0, med, x)[m]
+        Z = np.column_stack([(xx - xx.mean()) / xx.std(), (p[m] - p[m].mean()) / p[m].std()])
+        w = newton(Z, y[m])
+        assert got[f].fill_1 == pytest.approx(med)
+        assert [got[f].b_0, got[f].b_1, got[f].b_2] == pytest.approx(list(w), abs=1e-6)
 
 
 def test_parity_gate_fails_on_any_difference(spark):
@@ -181,8 +249,8 @@ def test_fit_survives_extreme_scores(spark):
     p = np.where(rng.uniform(size=800) < 0.3, 1.0, rng.uniform(0.01, 0.99, 800).round(2))
     y = (rng.uniform(size=800) < 0.3).astype(int)
     df = spark.createDataFrame([(float(a), int(b)) for a, b in zip(p, y)], "p double, y int")
-    c = CAL.fit("platt_logit", CAL.histogram(df, [], "y", "p"))
+    c, _ = one_fit(df, "platt_logit", spark)
     z = np.clip(p, 1e-6, 1 - 1e-6)
     z = np.log(z / (1 - z))
-    m = 1 / (1 + np.exp(-(c.params["intercept"] + c.params["slope"] * z)))
+    m = 1 / (1 + np.exp(-(c.b_0 + c.b_2 * z)))
     assert abs(np.sum(y - m)) < 1e-4 and abs(np.sum((y - m) * z)) < 1e-3
