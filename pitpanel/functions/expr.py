@@ -25,6 +25,15 @@ def is_finite(c: Column) -> Column:
     return F.coalesce(~F.isnan(v) & (F.abs(v) != float("inf")), F.lit(False))
 
 
+def at_least(c: Column, threshold: Column | float) -> Column:
+    """c >= threshold for finite c; false for null, NaN and infinities."""
+    return is_finite(c) & F.coalesce(c >= threshold, F.lit(False))
+
+
+def above(c: Column, threshold: Column | float) -> Column:
+    return is_finite(c) & F.coalesce(c > threshold, F.lit(False))
+
+
 def number(c: Column) -> Column:
     """Lenient numeric reading: text that is not a finite number counts as 0, null stays null."""
     v = c.cast("string").try_cast("double")
@@ -202,7 +211,7 @@ def platt(p: Column, slope: float, intercept: float, eps: float = 1e-6) -> Colum
 
 
 def pick_mask(p: Column, odds: Column, ev_min: float, lo: float | None = None, hi: float | None = None) -> Column:
-    cond = is_finite(p * odds) & ((p * odds) >= ev_min)
+    cond = at_least(p * odds, ev_min)
     if lo is not None:
         cond = cond & (odds >= lo)
     if hi is not None:

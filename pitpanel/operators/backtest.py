@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from pitpanel.functions import expr as X
 from pitpanel.functions.ordered import average_ranks, quantiles, running, with_group, with_slices
 from pitpanel.operators.metrics import join_groups, pearson
 
@@ -220,7 +221,7 @@ def ev_band_order(ev: Column, edges: Sequence[float] = EV_EDGES) -> Column:
     out = F.lit(0)
     for e in edges[1:-1]:
         out = out + (ev >= e).cast("int")
-    return F.when(ev.isNull(), None).otherwise(out)
+    return F.when(X.is_finite(ev), out)
 
 
 def ev_band_roi(df: DataFrame, group: Sequence[str], ev: Column, pay: str) -> DataFrame:
@@ -238,7 +239,7 @@ def ev_spearman(bands: DataFrame, group: Sequence[str]) -> DataFrame:
 
 
 def ev_crossing(df: DataFrame, group: Sequence[str], base_ev: Column, model_ev: Column) -> DataFrame:
-    a, b = F.coalesce(base_ev >= 1.0, F.lit(False)), F.coalesce(model_ev >= 1.0, F.lit(False))
+    a, b = X.at_least(base_ev, 1.0), X.at_least(model_ev, 1.0)
     return df.groupBy(*group).agg(
         F.count(F.lit(1)).alias("rows"), F.count_if(a).alias("base_ge_1"), F.count_if(b).alias("model_ge_1"),
         F.count_if(~a & b).alias("up_crossings"), F.count_if(a & ~b).alias("down_crossings"), F.avg(b.cast("int")).alias("model_ge_1_rate"))
@@ -251,7 +252,7 @@ def pick_frequency(df: DataFrame, group: Sequence[str], day: str, ev: Column, th
     """
     step = F.lit(0)
     for t in thresholds:
-        step = step + (ev >= t).cast("int")
+        step = step + X.at_least(ev, t).cast("int")
     d = df.withColumn("_step", step).filter("_step > 0").groupBy(*group, day, "_step").agg(F.count(F.lit(1)).alias("n"))
     levels = F.transform(F.sequence(F.lit(1), F.col("_step")), lambda i: i)
     d = d.select(*group, day, "n", F.explode(levels).alias("_i")).groupBy(*group, "_i", day).agg(F.sum("n").alias("n"))

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from pitpanel.functions import expr as X
 from pitpanel.functions.ordered import attach_row, row_numbers
 from pitpanel.operators import backtest as K
 from pitpanel.sources.workdir import materialise
@@ -24,7 +25,7 @@ STAKE = 100
 
 @dataclass(frozen=True)
 class Dim:
-    """One grid dimension: ``>=`` or ``<=`` thresholds, or half-open bands (lo, hi)."""
+    """One grid dimension: ``>=`` or ``<=`` thresholds, or half-open bands (lo, hi); null, NaN and infinities meet none."""
 
     name: str
     column: str
@@ -40,7 +41,7 @@ class Dim:
                 hit, weight = (c >= v[0]) & (c < v[1]), 1 << i
             else:
                 hit, weight = (c >= v) if self.op == ">=" else (c < v) if self.op == "<" else (c <= v), 1
-            out = out + F.coalesce(hit, F.lit(False)).cast("int") * weight
+            out = out + (X.is_finite(c) & F.coalesce(hit, F.lit(False))).cast("int") * weight
         return out
 
     def loose_first(self) -> list:
@@ -146,7 +147,7 @@ def threshold_grid(df: DataFrame, group: Sequence[str], contest: str, ev: Column
     """
     step = F.lit(0)
     for t in thresholds:
-        step = step + F.coalesce(ev >= t, F.lit(False)).cast("int")
+        step = step + X.at_least(ev, t).cast("int")
     p = F.coalesce(F.col(pay), F.lit(0))
     per = df.withColumn("_step", step).filter("_step > 0").groupBy(*group, contest, "_step").agg(
         F.count(F.lit(1)).alias("bets"), F.sum(p).alias("return"), F.count_if(p > 0).alias("hits"))
@@ -173,34 +174,40 @@ def rule_overlap(df: DataFrame, dims: Sequence[Dim], rules: DataFrame) -> DataFr
         "jaccard", F.col("common") / F.col("together"))
 
 
-MAX_PRUNED_RULES = 10_000
+def greedy_prune(rules: DataFrame, overlap: DataFrame, order: Sequence[Column], threshold: float) -> DataFrame:
+    """Rules that a pass in ``order`` keeps when it drops every rule similar to one kept before; rows of ``rules``.
 
-
-def greedy_prune(ordered_ids: list[str], overlap: DataFrame, threshold: float) -> list[str]:
-    """Keep rules in score order unless similar to a kept one.
-
-    The greedy pass is sequential over the candidate rules of the grid (a bounded list, checked);
-    only pairs at or above the threshold are read.
+    Rounds of local winners over the similarity graph: a rule that no open, better ranked neighbour precedes is kept, and its
+    neighbours leave.  The set is the same as that of the sequential pass.  Any number of rules: the ranks are running
+    positions, the state of a round is a table, and the driver only asks whether a rule is still open.
     """
-    if len(ordered_ids) > MAX_PRUNED_RULES:
-        raise ValueError("rule list exceeds the bound of the greedy pass")
-    similar: dict[str, set[str]] = {}
-    for r in overlap.filter(F.col("jaccard") >= threshold).select("rule_id", "other_id").toLocalIterator():
-        similar.setdefault(r[0], set()).add(r[1])
-        similar.setdefault(r[1], set()).add(r[0])
-    kept: list[str] = []
-    for rid in ordered_ids:
-        if not similar.get(rid, set()).intersection(kept):
-            kept.append(rid)
-    return kept
+    ranked = materialise(row_numbers(rules.select("rule_id", *[c.alias(f"_o{i}") for i, c in enumerate(order)], F.lit(0).alias("_g")), ["_g"],
+                                     [F.col(f"_o{i}") for i in range(len(order))], "rank").select("rule_id", "rank"), "ranked-rules")
+    close = overlap.filter(F.col("jaccard") >= threshold)
+    a, b = ranked.select(F.col("rule_id"), F.col("rank").alias("x")), ranked.select(F.col("rule_id").alias("other_id"), F.col("rank").alias("y"))
+    pairs = close.select("rule_id", "other_id").join(a, "rule_id").join(b, "other_id")
+    edges = materialise(pairs.select(F.least("x", "y").alias("better"), F.greatest("x", "y").alias("worse")).distinct(), "similar-rules")
+    kept, open_ = None, ranked.select("rank")
+    while True:
+        beaten = edges.select(F.col("worse").alias("rank")).distinct()
+        won = materialise(open_.join(beaten, "rank", "left_anti"), "kept-rules")
+        kept = won if kept is None else kept.unionByName(won)
+        if edges.isEmpty():
+            break
+        gone = edges.join(won, edges.better == won["rank"], "left_semi").select(F.col("worse").alias("rank")).distinct()
+        open_ = materialise(open_.join(won, "rank", "left_anti").join(gone, "rank", "left_anti"), "open-rules")
+        left = edges.join(open_, edges.better == open_["rank"], "left_semi").join(open_, edges.worse == open_["rank"], "left_semi")
+        edges = materialise(left, "similar-rules")
+    return rules.join(ranked.join(kept, "rank", "left_semi").select("rule_id"), "rule_id", "left_semi").select(*rules.columns)
 
 
 def classify_candidates(df: DataFrame, ev_min: Column, core_odds: float, longshot_odds: float) -> DataFrame:
     """core / value / longshot classes, one row per (entry, class); when none qualifies at all, rank-1 rows as core."""
     c = F.col
-    core = (c("model_rank") == 1) & (c("margin") >= 0.02) & (c("ev") >= ev_min) & (c("odds") < core_odds)
-    value = (c("model_rank") <= 3) & (c("market_rank") >= 4) & (c("rank_gap") >= 1) & (c("edge") > 0) & (c("ev") >= ev_min)
-    longshot = (c("model_rank") <= 3) & (c("odds") >= longshot_odds) & (c("edge") > 0.03) & (c("ev") >= ev_min + 0.15)
+    good = X.at_least(c("ev"), ev_min)
+    core = (c("model_rank") == 1) & X.at_least(c("margin"), 0.02) & good & X.is_finite(c("odds")) & (c("odds") < core_odds)
+    value = (c("model_rank") <= 3) & (c("market_rank") >= 4) & (c("rank_gap") >= 1) & X.above(c("edge"), 0) & good
+    longshot = (c("model_rank") <= 3) & X.at_least(c("odds"), longshot_odds) & X.above(c("edge"), 0.03) & X.at_least(c("ev"), ev_min + 0.15)
     d = df.withColumn("_tags", F.array_compact(F.array(*[
         F.when(F.coalesce(m, F.lit(False)), n) for n, m in (("core", core), ("value", value), ("longshot", longshot))])))
     anything = d.agg(F.coalesce(F.max(F.size("_tags")), F.lit(0)) > 0).scalar()
@@ -220,7 +227,7 @@ def select_alpha(df: DataFrame, p: str, q: str, odds: str, pay: str, alphas: Seq
     a = F.coalesce(F.col(pay), F.lit(0))
     aggs = []
     for i, alpha in enumerate(alphas):
-        hit = F.coalesce((alpha * F.col(p) + (1.0 - alpha) * F.col(q)) * F.col(odds) >= ev_min, F.lit(False))
+        hit = X.at_least((alpha * F.col(p) + (1.0 - alpha) * F.col(q)) * F.col(odds), ev_min)
         aggs += [F.count_if(hit).alias(f"n{i}"), F.coalesce(F.sum(F.when(hit, a)), F.lit(0)).alias(f"r{i}")]
     one = df.agg(*aggs)
     out = one.select(F.inline(F.array(*[F.struct(F.lit(float(x)).alias("alpha"), F.col(f"n{i}").alias("bets"), F.col(f"r{i}").alias("return"))

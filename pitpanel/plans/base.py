@@ -89,6 +89,28 @@ def bets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.withColumns({"ev": F.col("p_model") * F.col("odds"), "split": split})
 
 
+def odd_bets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bets whose EV is NaN, infinite or null on some entries, and whose market probability is NaN on others."""
+    ev = F.when(F.col("entry_no") == 2, float("nan")).when(F.col("entry_no") == 3, float("inf")).when(F.col("entry_no") == 4, float("-inf")).when(F.col("entry_no") == 5, None).otherwise(F.col("ev"))
+    return bets(spark, sf_dir).withColumns({"ev": ev, "p_market": F.when(F.col("entry_no") == 6, float("nan")).otherwise(F.col("p_market"))})
+
+
+_ODD = "SELECT * REPLACE (CASE WHEN entry_no BETWEEN 2 AND 5 THEN NULL ELSE ev END AS ev, CASE WHEN entry_no = 6 THEN NULL ELSE p_market END AS p_market) FROM "
+
+
+def odd_sql(sql: str, name: str = "bets") -> str:
+    """SQL over ``odd_bets``: those EVs and market probabilities as nulls, which is what a finite comparison leaves of them."""
+    cte = f"{name} AS ("
+    start = sql.index(cte)
+    depth, end = 0, start + len(cte) - 1
+    while True:
+        depth += {"(": 1, ")": -1}.get(sql[end], 0)
+        end += 1
+        if not depth:
+            break
+    return sql[:start] + "raw_" + sql[start:end] + f", {name} AS ({_ODD}raw_{name})" + sql[end:]
+
+
 def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
     return df.withColumns({c: r6(c, digits) for c in columns})
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pitpanel.functions import expr as X
 from pitpanel.operators import backtest as K
 from pitpanel.operators import contest as C
-from pitpanel.plans.base import BETS, bets, r6, rounded
+from pitpanel.plans.base import BETS, bets, odd_bets, odd_sql, r6, rounded
 
 BANDS = [1.0, 1.5, 2.0, 2.5, 3.0, 3.5, 4.0, 6.0]
 
@@ -90,6 +90,20 @@ def bt13(spark, sf):
     return rounded(d, "picks_per_active_day", "picks_per_active_month")
 
 
+def bt11_odd(spark, sf):
+    return rounded(K.ev_band_roi(odd_bets(spark, sf), ["split"], F.col("ev"), "pay"), "roi")
+
+
+def bt12_odd(spark, sf):
+    d = K.ev_crossing(odd_bets(spark, sf), ["year"], F.col("p_market") * F.col("odds") * 1.4, F.col("ev"))
+    return rounded(d, "model_ge_1_rate")
+
+
+def bt13_odd(spark, sf):
+    d = K.pick_frequency(odd_bets(spark, sf), ["year"], "event_date", F.col("ev"), [0.9, 1.0, 1.1, 1.3, 1.6])
+    return rounded(d, "picks_per_active_day", "picks_per_active_month")
+
+
 def bt14(spark, sf):
     methods = {"equal_100": F.lit(100.0), "three_stage": F.when(F.col("odds") < 2, 100.0).when(F.col("odds") < 3, 50.0).otherwise(0.0),
                "score_bucketed": F.when(F.col("p_model") <= 0.33, 50.0).when(F.col("p_model") <= 0.66, 100.0).otherwise(150.0)}
@@ -146,7 +160,7 @@ QUERIES = {
     "bt1_bet_summary": bt1, "bt2_max_drawdown": bt2, "bt3_losing_streak": bt3, "bt4_grouped_roi": bt4, "bt5_payout_dependency": bt5,
     "bt6_stress_pair": bt6, "bt7_concentration_all": bt7("all"), "bt7_concentration_winning": bt7("winning"), "bt8_band_contribution": bt8,
     "bt9_year_stability": bt9, "bt10_band_reliability": bt10, "bt11_ev_band_roi": bt11, "bt11_ev_spearman": bt11_spearman, "bt12_ev_crossing": bt12,
-    "bt13_pick_frequency": bt13, "bt14_stake_methods": bt14, "bt15_fixed_strategies": bt15, "bt16_confidence_entry": bt16,
+    "bt13_pick_frequency": bt13, "bt11_odd_numbers": bt11_odd, "bt12_odd_numbers": bt12_odd, "bt13_odd_numbers": bt13_odd, "bt14_stake_methods": bt14, "bt15_fixed_strategies": bt15, "bt16_confidence_entry": bt16,
     "bt16_confidence_contest": bt16_contest, "bt17_overlap": bt17, "bt18_segment_cube": bt18, "bt19_low_odds_bands": bt19,
 }
 
@@ -236,3 +250,8 @@ SQL = {
  SELECT axes, values, cast(sum(n) AS bigint) AS bets, count(*) AS years_with_bets, min(n) AS min_yearly_bets, round(sum(p)/sum(n),6) AS roi, round(min(p/n),6) AS year_roi_min, sum(n)>=300 AND count(*)>=4 AS sample_pass FROM y GROUP BY 1,2""",
     "bt19_low_odds_bands": B + f", l AS (SELECT *, {band_sql('odds',[1,1.3,1.6,2.0,2.5])} AS odds_band FROM bets WHERE odds<2.5) " + summary("odds_band, year", False) + " FROM l GROUP BY odds_band, year",
 }
+
+
+SQL["bt11_odd_numbers"] = odd_sql(SQL["bt11_ev_band_roi"]).replace("FROM bets GROUP BY 1,2)", "FROM bets WHERE ev IS NOT NULL GROUP BY 1,2)")
+SQL["bt12_odd_numbers"] = odd_sql(SQL["bt12_ev_crossing"]).replace("p_market*odds*1.4>=1 AS a, ev>=1 AS b", "coalesce(p_market*odds*1.4>=1,false) AS a, coalesce(ev>=1,false) AS b")
+SQL["bt13_odd_numbers"] = odd_sql(SQL["bt13_pick_frequency"])

@@ -8,7 +8,7 @@ from pitpanel.functions import expr as X
 from pitpanel.operators import backtest as K
 from pitpanel.operators import resample as B
 from pitpanel.operators import search as S
-from pitpanel.plans.base import BETS, SCORED, bets, r6, rounded, scored
+from pitpanel.plans.base import BETS, SCORED, bets, odd_bets, odd_sql, r6, rounded, scored
 from pitpanel.plans.q_backtest import order, picks
 from pitpanel.plans.q_columns import RANKED, ranked
 
@@ -41,6 +41,26 @@ def rg2(spark, sf):
     return rounded(S.rule_values(g, dims()), "roi")
 
 
+def rg1_odd(spark, sf):
+    return rounded(S.threshold_grid(odd_bets(spark, sf), ["year"], "contest_id", F.col("ev"), THRESHOLDS, "pay"), "roi", "hit_rate")
+
+
+def rg2_odd(spark, sf):
+    """The rule grid with NaN and infinite EVs and margins: none of them meets a rule."""
+    odd = F.when(F.col("entry_no") == 2, float("nan")).when(F.col("entry_no") == 3, float("inf")).when(F.col("entry_no") == 4, float("-inf")).when(F.col("entry_no") == 5, None)
+    d = ranked(spark, sf).withColumns({"ev": odd.otherwise(F.col("ev")), "p_model": F.when(F.col("entry_no") == 6, float("nan")).otherwise(F.col("p_model"))})
+    return rounded(S.rule_values(S.rule_grid(d, ["split"], dims(), "pay", 100), dims()), "roi")
+
+
+def rg3_odd(spark, sf):
+    g = S.rule_values(S.rule_grid(odd_bets(spark, sf), [], surface_dims(), "pay"), surface_dims()).filter("high > low")
+    return rounded(g, "roi").select("low", "high", "ev", "bets", "return", "hits", "roi")
+
+
+def rg6_odd(spark, sf):
+    return rounded(S.select_alpha(odd_bets(spark, sf), "p_model", "p_market", "odds", "pay", [0.0, 0.25, 0.5, 0.75, 1.0], 1.0), "roi")
+
+
 def best(spark, sf):
     d = ranked(spark, sf).filter("split = 'train'")
     return S.best_rules(d, ["status"], dims(), order(), "pay", 200, 3)
@@ -88,9 +108,7 @@ def rg7(spark, sf):
 def rg7_pruned(spark, sf):
     d = ranked(spark, sf)
     rules = S.rule_grid(d, [], dims(), "pay", 2000)
-    ids = [r[0] for r in rules.orderBy(F.col("bets").desc(), "rule_id").select("rule_id").toLocalIterator()]
-    kept = S.greedy_prune(ids, S.rule_overlap(d, dims(), rules), 0.6)
-    return rules.filter(F.col("rule_id").isin(kept)).select("rule_id", "bets")
+    return S.greedy_prune(rules, S.rule_overlap(d, dims(), rules), [-F.col("bets"), F.col("rule_id")], 0.6).select("rule_id", "bets")
 
 
 def yearly_grid(spark, sf):
@@ -168,6 +186,7 @@ QUERIES = {
     "rg1_threshold_grid": rg1, "rg1_threshold_combined": rg1_combined, "rg2_rule_grid": rg2, "rg2_best_rules": rg2_best, "rg3_odds_ev_surface": rg3,
     "rg4_rules_applied": rg4, "rg5_candidate_classes": rg5, "rg6_alpha_selection": rg6, "rg7_rule_jaccard": rg7, "rg7_pruned_rules": rg7_pruned,
     "rg8_eligibility_choice": rg8, "rg8_near_tie_choice": rg8_near_tie, "rg9_nested_walk_forward": rg9,
+    "rg1_odd_numbers": rg1_odd, "rg2_odd_numbers": rg2_odd, "rg3_odd_numbers": rg3_odd, "rg6_odd_numbers": rg6_odd,
     "bs1_roi_bootstrap": bs1("multinomial"), "bs1_roi_bootstrap_poisson": bs1("poisson"), "bs1_weighted_bootstrap": bs1_weighted, "bs2_bootstrap_population": bs2,
     "bs3_paired_bootstrap": bs3, "bs4_ece_bootstrap": bs4, "bs5_permutation_importance": bs5, "bs6_stratified_sample": bs6,
 }
@@ -265,6 +284,17 @@ SQL = {
 }
 
 
+SQL["rg1_odd_numbers"] = odd_sql(SQL["rg1_threshold_grid"])
+SQL["rg2_odd_numbers"] = odd_sql(SQL["rg2_rule_grid"], "ranked").replace("p_market END AS p_market", "p_model END AS p_model").replace("NULL ELSE p_market", "NULL ELSE p_model")
+SQL["rg3_odd_numbers"] = odd_sql(SQL["rg3_odds_ev_surface"])
+SQL["rg6_odd_numbers"] = odd_sql(SQL["rg6_alpha_selection"])
+# a sequential pass in score order: each step keeps the best rule left and drops what is similar to it
+SQL["rg7_pruned_rules"] = BIG.replace("WITH ", "WITH RECURSIVE ", 1) + """, n AS (SELECT rule_id, n, row_number() OVER (ORDER BY n DESC, rule_id) AS k FROM big),
+ e AS MATERIALIZED (SELECT x.k AS a, y.k AS b FROM (SELECT a.rule_id AS r, b.rule_id AS o, count(*)/(max(a.n)+max(b.n)-count(*)) AS j FROM mb a JOIN mb b ON a.entry_id=b.entry_id AND a.rule_id<>b.rule_id GROUP BY 1,2) JOIN n x ON x.rule_id=r JOIN n y ON y.rule_id=o WHERE j>=0.6),
+ p AS (SELECT 1 AS k, [1] AS kept UNION ALL SELECT k+1, CASE WHEN EXISTS (SELECT 1 FROM e WHERE e.b=p.k+1 AND list_contains(p.kept, e.a)) THEN kept ELSE list_append(kept, k+1) END FROM p WHERE k<(SELECT count(*) FROM n))
+ SELECT n.rule_id, n.n AS bets FROM n WHERE list_contains((SELECT kept FROM p ORDER BY k DESC LIMIT 1), n.k)"""
+
+
 def _late():
     from pitpanel.plans.q_metrics import LONG
     SQL["rg8_near_tie_choice"] = f"""WITH {LONG}, y AS (SELECT model, year, round(avg({ll('label','p','1e-6')}),6) AS l, round(avg((p-label)*(p-label)),6) AS b FROM long GROUP BY 1,2), c AS (SELECT model, round(avg(l),6) AS logloss, round(max(l),6) AS worst, round(avg(b),6) AS brier FROM y GROUP BY 1),

@@ -52,7 +52,8 @@ def test_rule_grid_and_exact_best(bets):
         assert [r.score for r in mine] == pytest.approx([s for s, _ in ranked])
 
 
-def test_jaccard_pruning_equals_set_loop(bets):
+@pytest.mark.parametrize("threshold", [0.3, 0.6, 0.9, 1.01])
+def test_jaccard_pruning_equals_set_loop(bets, threshold):
     df, data = bets
     rules = S.rule_grid(df, [], DIMS, "pay", 50)
     ids = [r[0] for r in rules.orderBy(F.col("bets").desc(), "rule_id").select("rule_id").collect()]
@@ -61,9 +62,20 @@ def test_jaccard_pruning_equals_set_loop(bets):
         sets.setdefault(rid, set()).update(x[1] for x in v)
     kept = []
     for rid in ids:
-        if not any(len(sets[rid] & sets[k]) / len(sets[rid] | sets[k]) >= 0.6 for k in kept):
+        if not any(len(sets[rid] & sets[k]) / len(sets[rid] | sets[k]) >= threshold for k in kept):
             kept.append(rid)
-    assert S.greedy_prune(ids, S.rule_overlap(df, DIMS, rules), 0.6) == kept
+    got = S.greedy_prune(rules, S.rule_overlap(df, DIMS, rules), [-F.col("bets"), F.col("rule_id")], threshold)
+    assert sorted(r.rule_id for r in got.collect()) == sorted(kept) and got.columns == rules.columns
+
+
+def test_odd_numbers_meet_no_threshold(spark):
+    rows = [(1, float("nan"), 2.0, 200), (2, float("inf"), 2.0, 200), (3, 1.1, 2.0, 200), (4, 0.5, 2.0, 0), (5, None, 2.0, 0), (6, float("-inf"), 2.0, 0)]
+    df = spark.createDataFrame(rows, "id int, ev double, odds double, pay int")
+    assert {r.threshold: r.bets for r in S.threshold_grid(df, [], "id", F.col("ev"), [0.4, 0.9, 1.0], "pay").collect()} == {0.4: 2, 0.9: 1, 1.0: 1}
+    grid = S.rule_grid(df, [], [S.Dim("low", "ev", ">=", (0.4, 1.0)), S.Dim("high", "ev", "<=", (2.0, 0.9))], "pay")
+    assert {r.rule_id: r.bets for r in grid.collect()} == {"0-0": 2, "0-1": 1, "1-0": 1}
+    picked = S.select_alpha(df.withColumns({"p": F.col("ev") / 2, "q": F.lit(0.0)}), "p", "q", "odds", "pay", [1.0], 1.0)
+    assert picked.first().bets == 1
 
 
 def test_fold_windows_end_before_validation():
