@@ -1,18 +1,21 @@
 """Near copies by word shingles: pairs with Jaccard similarity of at least 0.8 on five words, and SimHash links.
 
-Candidates share a band of min-hashes: with 48 bands of 8 a pair of similarity exactly 0.8 is missed with probability
-(1 - 0.8 ** 8) ** 48 = 1.5e-4, a more similar one less often.  Every candidate is compared by its whole set of shingles
-before it counts.  Pairs within 2 bits of SimHash are links as in ``simhash``.  In every bucket all members are compared
-with the smallest first; only pairs that are still in different components are compared one by one, so a large group of
-near copies does not make the square of its size.
+First every text of a min-hash bucket is compared with the bucket's smallest one; with 48 bands of 8 a pair of similarity
+exactly 0.8 shares no bucket with probability (1 - 0.8 ** 8) ** 48 = 1.5e-4, a more similar one less often.  What is left
+are texts that share a bucket but lie in different components.  A crowd of them is not paired: their shingles are ordered
+by how many of these texts hold them, the rarest first, and a pair meets only at a shingle whose places in both texts leave
+room for the overlap that 0.8 needs (an exact bound, so no pair of 0.8 among these texts is lost).  Two texts that differ in
+a fifth of their shingles have their own shingles there and never meet.  Every candidate is compared by its whole set of
+shingles before it counts.  Pairs within 2 bits of SimHash are links as in ``simhash``.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from pitpanel.functions.ordered import join_stats
 from pitpanel.llm.common import arrow_map, text_of, texts, with_ids
@@ -24,6 +27,7 @@ LEAST_SIMILARITY = 0.8
 BANDS, ROWS = 48, 8
 SALTS = 64  # copies of a text that is compared with very many others
 CACHED_WORDS = 500_000
+MAP = 16  # longs of a text's bitmap
 _numbers = np.random.RandomState(20)
 FACTORS = _numbers.randint(0, 1 << 32, BANDS * ROWS, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
 SHIFTS = _numbers.randint(0, 1 << 32, BANDS * ROWS, dtype=np.uint64).astype(np.uint32)
@@ -70,6 +74,12 @@ def band_keys(s: np.ndarray, chunk: int = 512) -> np.ndarray:
     return key.view(np.int64)
 
 
+def parities(s: np.ndarray) -> np.ndarray:
+    """Bitmap of MAP longs: a bit is set if an odd number of shingles fall on it."""
+    odd = np.bincount((mixed_bits(s * MIXERS[3]) % np.uint64(64 * MAP)).astype(np.int64), minlength=64 * MAP) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def sketches(rows: DataFrame) -> DataFrame:
     """(doc_id, node, fp, bands) of rows (doc_id, node, text)."""
 
@@ -109,6 +119,48 @@ def compared(pairs: DataFrame, nodes: DataFrame, least: float = LEAST_SIMILARITY
     return arrow_map(both.select("u", "v", "a", "b"), make, "u long, v long", rows=200)
 
 
+def room(own: str, place: str, other: Column) -> Column:
+    """Whether a shingle at ``place`` (from 0) of ``own`` shingles leaves an overlap o with 9 * o >= 4 * (own + other)."""
+    return 9 * (F.col(own) - F.col(place)) >= 4 * (F.col(own) + other)
+
+
+def met(texts_: DataFrame) -> DataFrame:
+    """Pairs (u, v), u > v, of different roots whose similarity can be 0.8 by size and by the place of a common shingle.
+
+    ``texts_`` has (node, root, text).  In the order of rarity the first common shingle of a pair bounds its overlap by the
+    shingles from there on.  Odd-count bitmaps of the shingles bound it too: sets that share o of m and n shingles differ in at
+    most m + n - 2 * o bits.  Both bounds are part of the join, so what they exclude is no row.  Shingles of one text, of one component or without room for their smallest partner go before
+    the join; hot shingles are counted and joined salted.
+    """
+
+    def make():
+        known = WordHashes()
+
+        def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
+            own = [shingles(t, known) for t in texts(batch)]
+            sets = pa.array([s.view(np.int64) for s in own], pa.list_(pa.int64()))
+            maps = pa.array([parities(s) for s in own], pa.list_(pa.int64()))
+            return pa.RecordBatch.from_arrays([batch.column("node"), batch.column("root"), sets, maps], names=["node", "root", "s", "bits"])
+        return apply
+
+    sets = materialise(arrow_map(texts_.select("node", "root", "text"), make, "node long, root long, s array<long>, bits array<long>"), "sets")
+    rows = sets.select("node", "root", F.size("s").cast("long").alias("size"), F.explode("s").alias("h"))
+    counts = materialise(rows.groupBy("h").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "counts")
+    rows = join_stats(rows, counts.withColumn("held", F.col("df")), ["h"], ["held"], "df", split=True, hot_rows=1000)
+    rows = rows.withColumn("held", F.coalesce("held", F.lit(1).cast("long")))
+    rows = rows.withColumn("place", F.row_number().over(W.partitionBy("node").orderBy("held", "h")).cast("long") - 1)
+    rows = materialise(rows.filter("held > 1").filter(5 * (F.col("size") - F.col("place")) >= 4 * F.col("size")), "prefix")
+    useful = rows.groupBy("h").agg(F.min("size").alias("least"), F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("n")).filter("x < y")
+    rows = join_stats(rows.drop("held"), materialise(useful, "useful"), ["h"], ["least"], "n", split=True, hot_rows=1000)
+    rows = materialise(rows.filter("least is not null").filter(room("size", "place", F.col("least"))), "meeting")
+    rows = materialise(rows.join(sets.select("node", "bits"), "node"), "maps")
+    a = rows.select("h", F.col("node").alias("u"), F.col("root").alias("p"), F.col("size").alias("m"), F.col("place").alias("i"), *[F.col("bits")[k].alias(f"a{k}") for k in range(MAP)])
+    b = rows.select("h", F.col("node").alias("v"), F.col("root").alias("q"), F.col("size").alias("n"), F.col("place").alias("j"), *[F.col("bits")[k].alias(f"b{k}") for k in range(MAP)])
+    unlike = " + ".join(f"bit_count(a{k} ^ b{k})" for k in range(MAP))
+    pairs = a.join(b, "h").filter((F.col("u") > F.col("v")) & (F.col("p") != F.col("q")) & room("m", "i", F.col("n")) & room("n", "j", F.col("m")) & F.expr(f"9 * ({unlike}) <= m + n"))
+    return pairs.select("u", "v").distinct()
+
+
 def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per input row: doc_id, component_id (smallest doc_id reachable over links, itself included).
 
@@ -136,14 +188,12 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     edges = materialise(edges, "edges")
 
     roots = stars(edges)
-    # pairs of a bucket that are in different components so far
+    # texts of buckets that hold different components so far
     placed = keyed.select("key", "node").join(wanted.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root")), "node")
     placed = materialise(placed, "placed")
     open_ = placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x < y").select("key")
-    placed = materialise(placed.join(open_, "key", "left_semi"), "open")
-    a, b = placed.alias("a"), placed.alias("b")
-    rest = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.node") > F.col("b.node")) & (F.col("a.root") != F.col("b.root")))
-    rest = rest.select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct().join(first, ["u", "v"], "left_anti")
+    crowd = materialise(placed.join(open_, "key", "left_semi").groupBy("node").agg(F.first("root").alias("root")), "open")
+    rest = met(crowd.join(nodes, "node")).join(first, ["u", "v"], "left_anti")
     more = materialise(compared(rest, nodes), "more")
     if not more.isEmpty():
         roots = stars(edges.unionByName(more).distinct())

@@ -58,3 +58,45 @@ def test_awkward_rows(spark):
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} - {None} == want
     assert any(r["doc_id"] is None for r in kept.collect())
     assert nearcopy.near_groups(docs.limit(0)).count() == 0
+
+
+def crowd(rng, n):
+    """One large group around a common text: some members are close to many others, some to none, many just below 0.8."""
+    base = [f"w{rng.randrange(3000)}" for _ in range(150)]
+    rows = []
+    for _ in range(n):
+        words = list(base)
+        for at in rng.sample(range(150), rng.choice((1, 2, 3, 4, 6, 8, 12))):
+            words[at] = f"x{rng.randrange(10**6)}" if rng.random() < 0.9 else f"w{rng.randrange(3000)}"
+        rows.append(" ".join(words[:rng.choice((150, 150, 140, 120))]))
+    return rows
+
+
+def test_a_crowd_of_varied_likeness_is_whole_and_makes_no_square(spark, monkeypatch):
+    made = {}
+    inner = nearcopy.met
+
+    def counted(texts):
+        pairs = nearcopy.materialise(inner(texts), "counted")
+        made[len(made)] = (texts.count(), pairs.count())
+        return pairs
+
+    monkeypatch.setattr(nearcopy, "met", counted)
+    for n in (150, 600):
+        rows = list(enumerate(crowd(random.Random(n), n)))
+        got = {r["doc_id"] for r in nearcopy.one_per_group(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert got == brute_kept(rows) and 10 < len(got) < n
+    (a, x), (b, y) = made[0], made[1]
+    print(made)
+    assert b > 2.5 * a and y < 5 * max(x, a)  # candidates grow with the crowd, not with its square
+
+
+def test_pairs_meet_exactly_where_they_can_reach_the_bound(spark):
+    """Every pair of 0.8 is met, and what is met is far from all pairs."""
+    rows = crowd(random.Random(9), 120)
+    df = spark.createDataFrame([(i, i, t) for i, t in enumerate(rows)], "node long, root long, text string")
+    got = {(r["u"], r["v"]) for r in nearcopy.met(df).collect()}
+    sets = [brute_shingles(t) for t in rows]
+    near = {(a, b) for a in range(len(rows)) for b in range(a) if 9 * len(sets[a] & sets[b]) >= 4 * (len(sets[a]) + len(sets[b]))}
+    assert near <= got and len(near) > 50
+    assert nearcopy.met(df.limit(0)).count() == 0

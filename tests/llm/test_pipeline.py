@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline as P
 from pitpanel.llm import toxicity
-from tests.llm.test_operators import ROWS, SCHEMA, brute_components, brute_fingerprint
+from tests.llm.test_nearcopy import brute_kept
+from tests.llm.test_operators import ROWS, SCHEMA
 
 SF = "/root/testdata/sf0.001"
 
@@ -19,8 +20,8 @@ def brute(rows, toxic):
     for i, t in civil:
         last[t] = max(i, last.get(t, i))
     distinct = sorted((i, t) for t, i in last.items())
-    roots = brute_components([brute_fingerprint(t) for _, t in distinct])
-    return [row for k, row in enumerate(distinct) if roots[k] == k]
+    kept = brute_kept(distinct)
+    return [row for row in distinct if row[0] in kept]
 
 
 def test_pipeline_equals_brute_force(spark):
