@@ -112,8 +112,9 @@ def st2(spark, sf):
 
 
 def st3(spark, sf):
-    d = ST.daily_roi(events_stream(spark, sf), "ts", F.col("event_type"), F.lit(100), F.round(F.col("value") * 100).cast("long"), "2 hours")
-    out = ST.run_available(d, "daily")
+    roles = ("ts", F.col("event_type"), F.lit(100), F.round(F.col("value") * 100).cast("long"))
+    emitted = ST.run_available(ST.daily_roi(events_stream(spark, sf), *roles, "2 hours"), "daily")
+    out = ST.closed_daily_roi(emitted, table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp")), *roles)
     return rounded(out.withColumn("day", F.date_format("day", "yyyy-MM-dd")), "roi")
 
 
@@ -157,7 +158,7 @@ SQL = {
     "fl6_tier_overlap": f"WITH {HIT}, j AS (SELECT entry_id, max(pay) AS pay, bool_or(tier='CORE') AS a, bool_or(tier='HIGH') AS b FROM hs WHERE tier IN ('CORE','HIGH') GROUP BY 1) SELECT count(*) FILTER (a AND b) AS common_bets, round(avg(pay) FILTER (a AND b),6) AS common_roi, count(*) FILTER (a AND NOT b) AS only_a_bets, round(avg(pay) FILTER (a AND NOT b),6) AS only_a_roi, count(*) FILTER (b AND NOT a) AS only_b_bets, round(avg(pay) FILTER (b AND NOT a),6) AS only_b_roi, round(count(*) FILTER (a AND b)/count(*),6) AS jaccard FROM j",
     "sc7_ledger_read": B + f", {T}, y AS (SELECT year, count(*) AS n FROM bets GROUP BY 1) SELECT 'run-'||year AS run_id, tier, CASE WHEN status='F' THEN 'settled' ELSE 'pending' END AS status, count(*) AS rows, cast(sum(CASE WHEN status='F' THEN pay END) AS bigint) AS payout, max(n) AS run_rows FROM bets JOIN tt ON ev>=threshold JOIN y USING (year) GROUP BY 1,2,3",
     "st1_unique_events": "SELECT DISTINCT user_id, event_type, strftime(ts,'%Y-%m-%d %H') AS hour FROM events",
-    "st3_daily_roi": "WITH m AS (SELECT max(ts) - INTERVAL 2 HOUR AS w FROM events) SELECT strftime(date_trunc('day',ts),'%Y-%m-%d') AS day, event_type AS tier, count(*) AS bets, 100*count(*) AS stake, cast(sum(round(value*100)) AS bigint) AS payout, round(100.0*sum(round(value*100))/(100*count(*)),6) AS roi FROM events WHERE date_trunc('day',ts) + INTERVAL 1 DAY <= (SELECT w FROM m) GROUP BY 1,2",
+    "st3_daily_roi": "SELECT strftime(date_trunc('day',ts),'%Y-%m-%d') AS day, event_type AS tier, count(*) AS bets, 100*count(*) AS stake, cast(sum(round(value*100)) AS bigint) AS payout, round(100.0*sum(round(value*100))/(100*count(*)),6) AS roi FROM events GROUP BY 1,2",
     "st2_late_settlements": """WITH v AS (SELECT event_id, user_id, ts AS p FROM events WHERE event_type='view'), b AS (SELECT user_id, ts AS s, value FROM events WHERE event_type='purchase'),
  j AS (SELECT v.event_id, v.user_id, p, s, value, row_number() OVER (PARTITION BY event_id, v.user_id, p ORDER BY s, value) AS rn FROM v LEFT JOIN b ON v.user_id=b.user_id AND s>p AND s<=p+INTERVAL 6 HOUR)
  SELECT event_id, user_id, strftime(p,'%Y-%m-%d %H:%M:%S') AS predicted_at, strftime(s,'%Y-%m-%d %H:%M:%S') AS settled_at, value, CASE WHEN s IS NULL THEN 'pending' ELSE 'settled' END AS status FROM j WHERE rn=1""",

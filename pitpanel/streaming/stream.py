@@ -32,6 +32,15 @@ def daily_roi(stream: DataFrame, ts: str, tier: Column, stake: Column, payout: C
     return d.select(F.col("w.start").alias("day"), "tier", "bets", "stake", "payout", F.try_divide(100.0 * F.col("payout"), F.col("stake")).alias("roi"))
 
 
+def closed_daily_roi(emitted: DataFrame, rows: DataFrame, ts: str, tier: Column, stake: Column, payout: Column) -> DataFrame:
+    """Closing report of ``daily_roi``: the days that the stream emitted and, from the closed table, those it still held open."""
+    shown = emitted.select("day").distinct()
+    day = F.date_trunc("day", ts)
+    held = rows.withColumn("day", day).join(F.broadcast(shown), "day", "left_anti")  # one row per day of the calendar
+    d = held.groupBy("day", tier.alias("tier")).agg(F.count(F.lit(1)).alias("bets"), F.sum(stake).alias("stake"), F.sum(payout).alias("payout"))
+    return emitted.unionByName(d.withColumn("roi", F.try_divide(100.0 * F.col("payout"), F.col("stake"))))
+
+
 def run_available(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Process everything available into a file sink in the shared folder and read it back."""
     spark = stream.sparkSession
@@ -62,12 +71,15 @@ class HistoryRefresh:
 
     The newest day seen is still open: its rows wait until a later day arrives or the stream ends, so a day that is
     spread over several batches is counted as one and never sees itself.  Rows of days that are closed already are
-    kept apart; at the end they make the totals of all days anew from the written day facts.  Every batch writes its
-    own folders, so a retried batch gives the same files.
+    kept apart; at the end they make the totals of all days anew from the written day facts.
+
+    The snapshot lies in ``buckets`` by the hash of the key.  A batch reads and writes the buckets of its own keys only; the
+    index of the batch says which version of a bucket is the newest, and the files of all others stay as they are.  Every
+    batch writes its own folders, so a retried batch gives the same files.
     """
 
-    def __init__(self, spark: SparkSession, day: str, ok: str, flags: Sequence[str]):
-        self.spark, self.day, self.ok, self.flags = spark, day, ok, list(flags)
+    def __init__(self, spark: SparkSession, day: str, ok: str, flags: Sequence[str], buckets: int = 64):
+        self.spark, self.day, self.ok, self.flags, self.buckets = spark, day, ok, list(flags), buckets
         self.root = fresh_path(spark, "refresh")
 
     def _put(self, df: DataFrame, name: str, version: int) -> None:
@@ -76,13 +88,24 @@ class HistoryRefresh:
     def _get(self, name: str, version: int) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/{name}/version={version}")
 
+    def bucket(self) -> Column:
+        return F.pmod(F.xxhash64("store", "key"), F.lit(self.buckets)).cast("int")
+
+    def index(self, version: int) -> dict[int, int]:
+        """Newest version of every bucket after a batch (at most ``buckets`` rows)."""
+        return {r["bucket"]: r["at"] for r in self._get("index", version).collect()} if version >= 0 else {}
+
+    def _state(self, index: dict[int, int], buckets: Sequence[int], schema) -> DataFrame:
+        paths = [f"{self.root}/snapshot/version={index[b]}/bucket={b}" for b in buckets if b in index]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
     def _advance(self, rows: DataFrame, version: int, keep_open: bool) -> None:
         day = F.col(self.day)
         if version:
-            state, closed = self._get("snapshot", version - 1), self._get("closed", version - 1).first()[0]
+            closed = self._get("closed", version - 1).first()[0]
             rows = rows.unionByName(self._get("open", version - 1))
         else:
-            state, closed = self.spark.createDataFrame([], H.snapshot(rows, self.day, self.ok, self.flags).schema), None
+            closed = None
         newest = rows.agg(F.max(self.day)).first()[0] if keep_open else None
         late = rows.filter(day <= F.lit(closed)) if closed is not None else rows.filter(F.lit(False))
         live = rows.filter(day > F.lit(closed)) if closed is not None else rows
@@ -90,10 +113,15 @@ class HistoryRefresh:
         self._put(late, "late", version)
         self._put(live.filter(day >= F.lit(newest)) if newest is not None else live.filter(F.lit(False)), "open", version)
         self._put(H.key_days(closing, self.day, self.ok, self.flags), "facts", version)
+        fresh = H.snapshot(closing, self.day, self.ok, self.flags)
+        index = self.index(version - 1)
+        touched = sorted(r[0] for r in closing.select(self.bucket()).distinct().collect())  # at most ``buckets``
+        state = self._state(index, touched, fresh.schema)
         self._put(H.extend_from_snapshot(state, closing, self.day, self.ok, self.flags), "features", version)
-        merged = state.unionByName(H.snapshot(closing, self.day, self.ok, self.flags)).groupBy("store", "key").agg(
-            *[F.sum(c).alias(c) for c in ["starts", *self.flags]], F.max("last_day").alias("last_day"))
-        self._put(merged, "snapshot", version)
+        merged = state.unionByName(fresh).groupBy("store", "key").agg(*[F.sum(c).alias(c) for c in ["starts", *self.flags]], F.max("last_day").alias("last_day"))
+        merged.select(*fresh.columns, self.bucket().alias("bucket")).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/snapshot/version={version}")
+        written = {r[0] for r in fresh.select(self.bucket()).distinct().collect()} | {b for b in touched if b in index}
+        self._put(self.spark.createDataFrame(sorted((index | {b: version for b in written}).items()), "bucket int, at int"), "index", version)
         last = closing.agg(F.max(self.day).alias("closed"))
         self._put(last.select(F.greatest("closed", F.lit(closed)).alias("closed")) if closed is not None else last, "closed", version)
         self.version = version

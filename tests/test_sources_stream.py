@@ -109,3 +109,32 @@ def test_settlements_are_reported_once(spark):
     joined = ST.join_settlements(p, s, "k", "predicted_at", "settled_at", "1 minute", "2 hours").filter("k = 'a'")
     got = {r.k: (r.status, r.pay) for r in ST.settled_once(joined, p, s, "k", ["k", "predicted_at"], "predicted_at", "settled_at", "2 hours").collect()}
     assert got == {"a": ("settled", 100), "b": ("pending", None), "late": ("settled", 7)}
+
+
+def test_history_refresh_rewrites_touched_buckets_only(spark):
+    """The last batch holds one key: every other bucket keeps its version and its files."""
+    days = [dt.date(2024, 1, d) for d in range(1, 4)]
+    schema = "store string, key string, day date, ok boolean, wins int"
+    part = fresh_path(spark, "part")
+    for rows in ([("s", f"k{i}", days[0], True, i % 2) for i in range(40)], [("s", "k7", days[1], True, 1)], [("s", "k7", days[2], True, 1)]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(part)
+    refresh = ST.HistoryRefresh(spark, "day", "ok", ["wins"], buckets=16)
+    out = {(r["key"], r["day"].day): (r["starts"], r["wins"]) for r in refresh.run(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(part)).collect()}
+    assert out["k7", 3] == (2, 2) and out["k7", 2] == (1, 1) and out["k8", 1] == (0, 0)
+    last = refresh.index(refresh.version)
+    moved = [b for b, v in last.items() if v > min(last.values())]
+    own = spark.createDataFrame([("s", "k7")], "store string, key string").select(refresh.bucket()).first()[0]
+    assert len(last) > 8 and moved == [own]
+    state = refresh._state(last, sorted(last), "store string, key string, starts long, wins long, last_day date")
+    assert state.count() == 40 and state.filter("key = 'k7'").first()["starts"] == 3
+
+
+def test_closing_report_shows_open_days(spark):
+    rows = spark.createDataFrame([("a", ts(0), 1), ("a", ts(10), 2), ("b", ts(1500), 3), ("a", ts(3000), 4)], "tier string, at timestamp, pay int")
+    p = fresh_path(spark, "p")
+    rows.write.parquet(p)
+    roles = ("at", F.col("tier"), F.lit(100), F.col("pay"))
+    emitted = ST.run_available(ST.daily_roi(spark.readStream.schema(rows.schema).parquet(p), *roles, "1 minute"), "daily")
+    assert emitted.agg(F.max("day")).first()[0] < ts(2880)
+    got = {(r.day.day, r.tier): (r.bets, r.payout) for r in ST.closed_daily_roi(emitted, rows, *roles).collect()}
+    assert got == {(1, "a"): (2, 3), (2, "b"): (1, 3), (3, "a"): (1, 4)}
