@@ -2,8 +2,9 @@
 
 Rows are never paired with rules.  Every row is reduced to a *cell*: the codes of the grid
 thresholds and bands it satisfies.  The number of cells depends on the grid only, so all
-additive metrics of all rules follow from the cell table, one dimension at a time.  Rows meet
-rules only for the few finalists, through an equi-join on the cell.
+additive metrics of all rules follow from the cell table, one dimension at a time.  The drawdown,
+which depends on the order, is bounded from the cells of ordered slices.  Rows meet rules only for
+the few that these bounds leave open, through an equi-join on the cell.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from pitpanel.functions import expr as X
-from pitpanel.functions.ordered import attach_row, row_numbers
+from pitpanel.functions.ordered import attach_row, row_numbers, with_slices
 from pitpanel.operators import backtest as K
 from pitpanel.sources.workdir import materialise
 
@@ -74,20 +75,28 @@ def codes(dims: Sequence[Dim]) -> list[str]:
     return [f"{d.name}_code" for d in dims]
 
 
+def rule_name(dims: Sequence[Dim]) -> Column:
+    return F.concat_ws("-", *[F.col(f"{d.name}_i").cast("string") for d in dims])
+
+
+def expand_rules(cells: DataFrame, keys: Sequence[str], dims: Sequence[Dim], sums: Sequence[Column]) -> DataFrame:
+    """Cells to rules, one dimension at a time: every step turns a code into the value indexes it satisfies and adds up."""
+    done: list[str] = []
+    for i, d in enumerate(dims):
+        cells = cells.withColumn(f"{d.name}_i", F.explode(d.expand(F.col(f"{d.name}_code"))))
+        done.append(f"{d.name}_i")
+        cells = cells.groupBy(*keys, *done, *codes(dims[i + 1:])).agg(*sums)
+    return cells
+
+
 def rule_grid(df: DataFrame, group: Sequence[str], dims: Sequence[Dim], pay: str, min_bets: int = 1) -> DataFrame:
     """Bets, return, hits and ROI of every rule of the grid from the cell table."""
     p = F.coalesce(F.col(pay), F.lit(0))
     cells = with_codes(df, dims).groupBy(*group, *codes(dims)).agg(
         F.count(F.lit(1)).alias("bets"), F.sum(p).alias("return"), F.count_if(p > 0).alias("hits"))
-    sums = [F.sum(c).alias(c) for c in ("bets", "return", "hits")]
-    done: list[str] = []
-    for i, d in enumerate(dims):
-        rest = codes(dims[i + 1:])
-        cells = cells.withColumn(f"{d.name}_i", F.explode(d.expand(F.col(f"{d.name}_code"))))
-        done.append(f"{d.name}_i")
-        cells = cells.groupBy(*group, *done, *rest).agg(*sums)
+    cells = expand_rules(cells, group, dims, [F.sum(c).alias(c) for c in ("bets", "return", "hits")])
     out = cells.filter(F.col("bets") >= min_bets).withColumn("roi", F.try_divide(100.0 * F.col("return"), F.col("bets") * STAKE))
-    return out.withColumn("rule_id", F.concat_ws("-", *[F.col(c).cast("string") for c in done]))
+    return out.withColumn("rule_id", rule_name(dims))
 
 
 def rule_values(rules: DataFrame, dims: Sequence[Dim]) -> DataFrame:
@@ -116,28 +125,83 @@ def base_score(bets: Column, roi: Column, goal: float = 90.0) -> Column:
     return F.when(roi >= goal, 1_000_000).otherwise(0) + roi * 1000 + F.least(bets, F.lit(5000))
 
 
+def grid_slices(df: DataFrame, group: Sequence[str], dims: Sequence[Dim], order: Sequence[Column], pay: str, slices: int) -> DataFrame:
+    """Every rule on every slice of the ordered rows: bets, return, hits and what bounds the course of its profit there.
+
+    A cell's rows in a slice are reduced to their total, highest and lowest prefix and worst drop.  The rows of a rule are the
+    rows of its cells in some order, so the sums of these over its cells bound its own prefixes and drop inside the slice, while
+    its profit at the borders of the slices is exact.  ``mark`` is a fingerprint of the rule's (cell, slice) set.  The size is
+    that of the grid times the slices, whatever the data.
+    """
+    cs = codes(dims)
+    d = with_codes(df, dims).withColumns({"_pay": F.coalesce(F.col(pay), F.lit(0)), "_o": F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])})
+    some = F.lit(True)
+    for c in cs:
+        some = some & (F.col(c) > 0)
+    d = with_slices(d.filter(some).select(*group, *cs, "_o", "_pay"), group, [F.col("_o")], slices)
+    w = W.partitionBy(*group, *cs, "_slice").orderBy("_o").rowsBetween(W.unboundedPreceding, 0)
+    d = d.withColumn("_c", F.sum(F.col("_pay") - STAKE).over(w))
+    d = d.withColumn("_m", F.greatest(F.lit(0), F.max("_c").over(w)))
+    cells = d.groupBy(*group, *cs, "_slice").agg(
+        F.count(F.lit(1)).alias("bets"), F.sum("_pay").alias("return"), F.count_if(F.col("_pay") > 0).alias("hits"),
+        F.greatest(F.lit(0), F.max("_c")).alias("hi"), F.least(F.lit(0), F.min("_c")).alias("lo"), F.max(F.col("_m") - F.col("_c")).alias("dd"))
+    cells = cells.withColumns({"mark": F.xxhash64(*cs, "_slice"), "mark2": F.xxhash64("_slice", *reversed(cs))})
+    return expand_rules(cells, [*group, "_slice"], dims, [F.sum(c).alias(c) for c in ("bets", "return", "hits", "hi", "lo", "dd")]
+                        + [F.bit_xor(c).alias(c) for c in ("mark", "mark2")])
+
+
+def bounded_grid(sliced: DataFrame, group: Sequence[str], dims: Sequence[Dim], min_bets: int = 1) -> DataFrame:
+    """Rules with bets, return, hits, ROI and bounds ``dd_low <= maximum drawdown <= dd_up`` from ``grid_slices``.
+
+    A drop ends in a slice at or after the one that holds its peak.  The peak is at least the profit at a border and at most
+    border plus ``hi``; the end likewise with ``lo``; inside one slice the drops of the cells add up to no less than the rule's.
+    """
+    rule = [*group, *[f"{d.name}_i" for d in dims]]
+    w = W.partitionBy(*rule).orderBy("_slice")
+    before = w.rowsBetween(W.unboundedPreceding, -1)
+    d = sliced.withColumn("_s", F.col("return") - F.col("bets") * STAKE)
+    d = d.withColumn("_off", F.coalesce(F.sum("_s").over(before), F.lit(0)))
+    d = d.withColumns({"_start": F.greatest(F.lit(0), F.max("_off").over(w.rowsBetween(W.unboundedPreceding, 0))),
+                       "_peak": F.greatest(F.lit(0), F.coalesce(F.max(F.col("_off") + F.col("hi")).over(before), F.lit(0)))})
+    out = d.groupBy(*rule).agg(
+        *[F.sum(c).alias(c) for c in ("bets", "return", "hits")], *[F.bit_xor(c).alias(c) for c in ("mark", "mark2")],
+        F.greatest(F.lit(0), F.max(F.col("_start") - F.col("_off") - F.col("_s"))).alias("dd_low"),
+        F.max(F.greatest(F.col("dd"), F.col("_peak") - F.col("_off") - F.col("lo"))).alias("dd_up"))
+    return out.filter(F.col("bets") >= min_bets).withColumns(
+        {"roi": F.try_divide(100.0 * F.col("return"), F.col("bets") * STAKE), "rule_id": rule_name(dims)})
+
+
 def finalists(grid: DataFrame, group: Sequence[str], k: int) -> DataFrame:
-    """Rules that can still be in the top ``k`` of a group once drawdown (at most the lost stakes) is known."""
-    upper = base_score(F.col("bets"), F.col("roi"))
-    g = grid.withColumns({"score_upper": upper, "score_lower": upper - (F.col("bets") - F.col("hits")) * STAKE * 0.01})
-    w = W.partitionBy(*(group or [F.lit(0)])).orderBy(F.col("score_lower").desc(), "rule_id")
-    kth = g.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= k).groupBy(*group).agg(F.min("score_lower").alias("_kth"))
+    """Rules that can still be in the top ``k`` of a group, whatever their drawdown within its bounds.
+
+    ``same_as`` names the first rule with the same rows, so that equal rules are computed once.
+    """
+    g = grid.withColumn("score_base", base_score(F.col("bets"), F.col("roi")))
+    g = g.withColumn("_low", F.col("score_base") - F.col("dd_up") * 0.01)
+    w = W.partitionBy(*(group or [F.lit(0)])).orderBy(F.col("_low").desc(), "rule_id")
+    kth = g.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= k).groupBy(*group).agg(F.min("_low").alias("_kth"))
     j = g.join(F.broadcast(kth), list(group)) if group else attach_row(g, kth)
-    return j.filter(F.col("score_upper") >= F.col("_kth")).drop("_kth", "score_lower")
+    j = j.filter(F.col("score_base") - F.col("dd_low") * 0.01 >= F.col("_kth")).drop("_kth", "_low", "dd_low", "dd_up")
+    same = W.partitionBy(*group, "mark", "mark2", "bets", "return", "hits")
+    return j.withColumn("same_as", F.min("rule_id").over(same)).drop("mark", "mark2")
 
 
-def best_rules(df: DataFrame, group: Sequence[str], dims: Sequence[Dim], order: Sequence[Column], pay: str, min_bets: int, k: int) -> DataFrame:
-    """Exact top ``k`` rules per group by the full score including maximum drawdown.
+def best_rules(df: DataFrame, group: Sequence[str], dims: Sequence[Dim], order: Sequence[Column], pay: str, min_bets: int, k: int,
+               slices: int | None = None) -> DataFrame:
+    """Exact top ``k`` rules per group by the full score including maximum drawdown; ties by rule id.
 
-    The input is read several times (grid, cells, finalist bets), so it is written to the shared folder once.
+    The drawdown of all rules is bounded from the cells of ``slices`` slices of the ordered rows (default: the shuffle partitions);
+    more slices, tighter bounds.  Rows meet only the rules that the bounds leave open, each set of equal rules once.
+    The input is read twice (cells, finalist bets), so it is written to the shared folder once.
     """
+    n = slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     df = materialise(df, "rule-rows")
-    fin = finalists(materialise(rule_grid(df, group, dims, pay, min_bets), "rule-grid"), group, k)
-    tagged = rule_bets(df, dims, fin, group)
-    risk = K.ordered_risk(tagged, [*group, "rule_id"], order, pay)
-    out = fin.join(risk, [*group, "rule_id"]).withColumn("score", F.col("score_upper") - F.col("max_drawdown") * 0.01)
+    fin = materialise(finalists(bounded_grid(grid_slices(df, group, dims, order, pay, n), group, dims, min_bets), group, k), "finalist-rules")
+    tagged = rule_bets(df, dims, fin.filter("rule_id = same_as"), group)
+    risk = K.ordered_risk(tagged, [*group, "rule_id"], order, pay).withColumnRenamed("rule_id", "same_as")
+    out = fin.join(risk, [*group, "same_as"]).withColumn("score", F.col("score_base") - F.col("max_drawdown") * 0.01)
     w = W.partitionBy(*(group or [F.lit(0)])).orderBy(F.col("score").desc(), "rule_id")
-    return out.withColumn("selected_order", F.row_number().over(w)).filter(F.col("selected_order") <= k).drop("score_upper")
+    return out.withColumn("selected_order", F.row_number().over(w)).filter(F.col("selected_order") <= k).drop("score_base", "same_as")
 
 
 def threshold_grid(df: DataFrame, group: Sequence[str], contest: str, ev: Column, thresholds: Sequence[float], pay: str) -> DataFrame:

@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pitpanel.functions import expr as X
+from pitpanel.functions.ordered import join_stats, quantiles
 from pitpanel.operators import backtest as K
+from pitpanel.operators import contest as C
 from pitpanel.operators import resample as B
 from pitpanel.operators import search as S
+from pitpanel.operators.metrics import join_groups
 from pitpanel.plans.base import BETS, SCORED, bets, odd_bets, odd_sql, r6, rounded, scored
 from pitpanel.plans.q_backtest import order, picks
 from pitpanel.plans.q_columns import RANKED, ranked
@@ -24,6 +27,27 @@ def dims():
             S.Dim("margin", "margin", ">=", (0.0, 0.05)), S.Dim("odds", "odds", "band", ((1.0, 999.0), (1.5, 2.5), (2.5, 3.5), (3.5, 999.0)))]
 
 
+FULL_DIMS = {"rank": (1, 2), "ev": (0.9, 1.0, 1.1, 1.2), "p": (0.0, 0.2, 0.3, 0.4), "margin": (0.0, 0.02, 0.05), "agree": (1, 2, 3), "calm": (0, 1),
+             "odds": ((1.0, 999.0), (1.5, 2.5), (2.5, 3.5), (3.5, 999.0)), "gap": (-999.0, 0.0, 0.02)}
+FULL_COLUMNS = {"rank": "model_rank", "p": "p_model", "agree": "agreement", "gap": "edge"}
+
+
+def full_dims():
+    """The whole grid of eight conditions: 6,912 rules."""
+    ops = {"rank": "<=", "odds": "band"}
+    return [S.Dim(n, FULL_COLUMNS.get(n, n), ops.get(n, ">="), v) for n, v in FULL_DIMS.items()]
+
+
+def full_ranked(spark, sf):
+    """Ranked entries with how many of three scores put the entry first and whether the contest's entropy is below the training quantile 0.75."""
+    d = C.model_rank(ranked(spark, sf), ["contest_id"], "p_alt", "entry_id", "alt_rank")
+    votes = [F.when(F.col(c) == 1, 1).otherwise(0) for c in ("model_rank", "alt_rank", "market_rank")]
+    d = d.withColumn("agreement", votes[0] + votes[1] + votes[2])
+    level = quantiles(d.filter("split = 'train'"), ["status"], "entropy", [0.75]).withColumnRenamed("q0", "entropy_max")
+    level = join_groups(d.groupBy("status").agg(F.count(F.lit(1)).alias("rows")), level, ["status"])
+    return join_stats(d, level, ["status"], ["entropy_max"], "rows").withColumn("calm", (F.col("entropy") <= F.col("entropy_max")).cast("int")).drop("entropy_max")
+
+
 def surface_dims():
     return [S.Dim("low", "odds", ">=", tuple(LOWS)), S.Dim("high", "odds", "<", tuple(HIGHS)), S.Dim("ev", "ev", ">=", tuple(EVS))]
 
@@ -70,6 +94,27 @@ def rg2_best(spark, sf):
     return rounded(best(spark, sf), "roi", "score", digits=4).select("status", "rule_id", "bets", "return", "hits", "roi", "max_drawdown", "max_losing_streak", "score", "selected_order")
 
 
+def rg2_full(spark, sf):
+    """All rules of the whole grid with at least 100 bets on the training split."""
+    d = full_ranked(spark, sf).filter("split = 'train'")
+    return rounded(S.rule_grid(d, ["status"], full_dims(), "pay", 100), "roi").select("status", "rule_id", "bets", "return", "hits", "roi")
+
+
+def full_best(spark, sf):
+    return S.best_rules(full_ranked(spark, sf).filter("split = 'train'"), ["status"], full_dims(), order(), "pay", 200, 3)
+
+
+def rg2_full_best(spark, sf):
+    return rounded(full_best(spark, sf), "roi", "score", digits=4).select("status", "rule_id", "bets", "return", "hits", "roi", "max_drawdown", "max_losing_streak", "score", "selected_order")
+
+
+def rg4_full(spark, sf):
+    """The three best of 6,912 rules per status, applied unchanged to the later splits."""
+    rules = full_best(spark, sf).select("status", "rule_id", *[f"{d.name}_i" for d in full_dims()])
+    tagged = S.rule_bets(full_ranked(spark, sf).filter("split <> 'train'"), full_dims(), rules, ["status"])
+    return rounded(K.bet_summary(tagged, ["status", "rule_id", "split"], "contest_id", "pay", "odds", median=False), "roi", "hit_rate", "mean_payout").withColumn("mean_odds", r6("mean_odds", 9))
+
+
 def rg3(spark, sf):
     g = S.rule_values(S.rule_grid(bets(spark, sf), [], surface_dims(), "pay"), surface_dims()).filter("high > low")
     return rounded(g, "roi").select("low", "high", "ev", "bets", "return", "hits", "roi")
@@ -186,6 +231,7 @@ QUERIES = {
     "rg1_threshold_grid": rg1, "rg1_threshold_combined": rg1_combined, "rg2_rule_grid": rg2, "rg2_best_rules": rg2_best, "rg3_odds_ev_surface": rg3,
     "rg4_rules_applied": rg4, "rg5_candidate_classes": rg5, "rg6_alpha_selection": rg6, "rg7_rule_jaccard": rg7, "rg7_pruned_rules": rg7_pruned,
     "rg8_eligibility_choice": rg8, "rg8_near_tie_choice": rg8_near_tie, "rg9_nested_walk_forward": rg9,
+    "rg2_full_grid": rg2_full, "rg2_full_best_rules": rg2_full_best, "rg4_full_rules_applied": rg4_full,
     "rg1_odd_numbers": rg1_odd, "rg2_odd_numbers": rg2_odd, "rg3_odd_numbers": rg3_odd, "rg6_odd_numbers": rg6_odd,
     "bs1_roi_bootstrap": bs1("multinomial"), "bs1_roi_bootstrap_poisson": bs1("poisson"), "bs1_weighted_bootstrap": bs1_weighted, "bs2_bootstrap_population": bs2,
     "bs3_paired_bootstrap": bs3, "bs4_ece_bootstrap": bs4, "bs5_permutation_importance": bs5, "bs6_stratified_sample": bs6,
@@ -284,6 +330,26 @@ SQL = {
 }
 
 
+def full_rules():
+    """The whole grid as SQL: value lists from loosest to tightest, numbered from 0."""
+    parts = []
+    for n, v in FULL_DIMS.items():
+        if n == "odds":
+            lists = f"unnest({[a for a, _ in v]})::double AS v_low, unnest({[b for _, b in v]})::double AS v_high"
+        else:
+            lists = f"unnest({sorted(v, reverse=n == 'rank')})::double AS v_{n}"
+        parts.append(f"g_{n} AS (SELECT unnest(range({len(v)})) AS i_{n}, {lists})")
+    name = "||'-'||".join(f"i_{n}" for n in FULL_DIMS)
+    return ", ".join(parts) + f", rules AS (SELECT *, {name} AS rule_id FROM {', '.join('g_' + n for n in FULL_DIMS)})"
+
+
+FULL_MATCH = "model_rank<=v_rank AND ev>=v_ev AND p_model>=v_p AND margin>=v_margin AND agreement>=v_agree AND calm>=v_calm AND odds>=v_low AND odds<v_high AND edge>=v_gap"
+FULL_RANKED = RANKED + """, alts AS (SELECT *, cast(model_rank=1 AS int)+cast(market_rank=1 AS int)+cast(row_number() OVER (PARTITION BY contest_id ORDER BY p_alt DESC, entry_id)=1 AS int) AS agreement FROM ranked),
+ lev AS (SELECT status, quantile_cont(entropy,0.75) AS entropy_max FROM alts WHERE split='train' GROUP BY 1), wide AS (SELECT alts.*, cast(entropy<=entropy_max AS int) AS calm FROM alts LEFT JOIN lev USING (status))"""
+FULL_BEST = BEST.replace(RANKED, FULL_RANKED).replace(RULES, full_rules()).replace(f"FROM ranked JOIN rules ON {MATCH}", f"FROM wide JOIN rules ON {FULL_MATCH}")
+SQL["rg2_full_grid"] = f"WITH {FULL_RANKED}, {full_rules()} SELECT status, rule_id, count(*) AS bets, cast(sum(pay) AS bigint) AS return, count(*) FILTER (pay>0) AS hits, round(100.0*sum(pay)/(100*count(*)),6) AS roi FROM wide JOIN rules ON {FULL_MATCH} WHERE split='train' GROUP BY 1,2 HAVING count(*)>=100"
+SQL["rg2_full_best_rules"] = FULL_BEST + SQL["rg2_best_rules"][len(BEST):]
+SQL["rg4_full_rules_applied"] = FULL_BEST + SQL["rg4_rules_applied"][len(BEST):].replace(f"FROM ranked JOIN tp ON status=st AND {MATCH}", f"FROM wide JOIN tp ON status=st AND {FULL_MATCH}")
 SQL["rg1_odd_numbers"] = odd_sql(SQL["rg1_threshold_grid"])
 SQL["rg2_odd_numbers"] = odd_sql(SQL["rg2_rule_grid"], "ranked").replace("p_market END AS p_market", "p_model END AS p_model").replace("NULL ELSE p_market", "NULL ELSE p_model")
 SQL["rg3_odd_numbers"] = odd_sql(SQL["rg3_odds_ev_surface"])

@@ -52,6 +52,34 @@ def test_rule_grid_and_exact_best(bets):
         assert [r.score for r in mine] == pytest.approx([s for s, _ in ranked])
 
 
+@pytest.mark.parametrize("slices", [1, 3, 16])
+def test_drawdown_bounds_hold_and_narrow(bets, slices):
+    df, data = bets
+    want = brute(data)
+    grid = S.bounded_grid(S.grid_slices(df, ["g"], DIMS, [F.col("id")], "pay", slices), ["g"], DIMS).collect()
+    assert {(r.g, r.rule_id): (r.bets, r["return"], r.hits) for r in grid} == {k: (len(v), sum(x[5] for x in v), sum(x[5] > 0 for x in v)) for k, v in want.items()}
+    for r in grid:
+        exact = risk([x[5] for x in want[r.g, r.rule_id]])[0]
+        assert r.dd_low <= exact <= r.dd_up
+    open_ = S.finalists(S.bounded_grid(S.grid_slices(df, ["g"], DIMS, [F.col("id")], "pay", slices), ["g"], DIMS, 20), ["g"], 1).collect()
+    assert len(open_) <= {1: len(grid), 3: len(grid) // 2, 16: len(grid) // 4}[slices]
+    sets = {(r.g, r.rule_id): [x[1] for x in want[r.g, r.rule_id]] for r in open_}
+    assert all(sets[r.g, r.rule_id] == sets[r.g, r.same_as] for r in open_)
+
+
+def test_best_rules_of_equal_rules_one_group_and_empty_tables(bets):
+    df, data = bets
+    twice = [S.Dim("a", "rank", "<=", (3, 2)), S.Dim("b", "rank", "<=", (5, 4))]  # both values of b hold for every row
+    for slices in (1, 5):
+        got = S.best_rules(df, [], twice, [F.col("id")], "pay", 1, 4, slices).orderBy("selected_order").collect()
+        assert sorted(r.rule_id for r in got) == ["0-0", "0-1", "1-0", "1-1"]
+        assert got[0].rule_id[0] == got[1].rule_id[0] and got[0].rule_id[2] == "0" and got[0].score == got[1].score
+        for r in got:
+            rows = [x[5] for x in data if x[2] <= (3, 2)[int(r.rule_id[0])]]
+            assert (r.max_drawdown, r.max_losing_streak) == risk(rows)
+    assert S.best_rules(df.filter("false"), ["g"], DIMS, [F.col("id")], "pay", 1, 4).count() == 0
+
+
 @pytest.mark.parametrize("threshold", [0.3, 0.6, 0.9, 1.01])
 def test_jaccard_pruning_equals_set_loop(bets, threshold):
     df, data = bets
