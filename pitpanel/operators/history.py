@@ -179,6 +179,15 @@ def leakage_audit(rows: DataFrame, contest: str, day: str) -> DataFrame:
     return rows.groupBy("store", status.alias("status")).agg(F.count(F.lit(1)).alias("rows"))
 
 
+def leakage_samples(rows: DataFrame, entry: str, contest: str, day: str, k: int) -> DataFrame:
+    """The first ``k`` offending rows of every (store, status) by day and entry; Spark limits a group before the shuffle."""
+    status = audit_status(F.col("source_contest"), F.col("source_day"), F.col(contest), F.col(day))
+    bad = rows.withColumn("status", status).filter(~F.col("status").isin("ok", "no_history"))
+    w = W.partitionBy("store", "status").orderBy(day, entry)
+    return bad.withColumn("sample", F.row_number().over(w)).filter(F.col("sample") <= k).select(
+        "store", "status", "sample", entry, contest, day, "source_contest", "source_day")
+
+
 def asof_sources(panel: DataFrame, stores: dict[str, Column], entry: str, contest: str, day: str, ok: Column,
                  order: Sequence[Column]) -> DataFrame:
     """Per (entry, store), including stores with a null key, the last source strictly before the day."""

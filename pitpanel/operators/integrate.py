@@ -98,6 +98,29 @@ def contest_sample(contests: DataFrame, key: str, order: Sequence[Column], k: in
                        .orderBy(*[f"_o{i}" for i in range(len(order))], key).limit(k).select(key))
 
 
+def joined_sample(entries: DataFrame, order: Sequence[Column], k: int, sources: dict[str, tuple[DataFrame, Sequence[str]]]) -> DataFrame:
+    """The first ``k`` entries of a report left-joined to every source by its own keys, with a ``joined_<name>`` flag (0 or 1) each.
+
+    The sample has at most ``k`` rows, so its keys are broadcast and every source is cut to them before the join; no source is
+    shuffled.  A source with several rows for a key repeats the entry; columns of a source must not clash with the entry's.
+    """
+    out = F.broadcast(entries.orderBy(*order).limit(k))
+    for name, (df, keys) in sources.items():
+        mine = df.join(F.broadcast(out.select(*keys).distinct()), list(keys), "left_semi").withColumn(f"joined_{name}", F.lit(1))
+        out = out.join(mine, list(keys), "left").fillna(0, [f"joined_{name}"])
+    return out
+
+
+def quote_relation(first: Column, second: Column, tolerance: float = 1e-4) -> Column:
+    """How two quotes of one entry relate: missing_or_zero, same, first_10x, second_10x or different."""
+    def near(x: Column, y: Column) -> Column:
+        return F.abs(x - y) < tolerance
+
+    absent = first.isNull() | second.isNull() | F.isnan(first) | F.isnan(second) | (first == 0) | (second == 0)
+    return (F.when(absent, "missing_or_zero").when(near(first, second), "same").when(near(first / 10, second), "first_10x")
+            .when(near(first, second / 10), "second_10x").otherwise("different"))
+
+
 def settle(tiers: DataFrame, predictions: DataFrame, settlements: DataFrame, keys: Sequence[str], key_of_settlement: Sequence[str]) -> DataFrame:
     """Tiers with their prediction, left-joined to settlements; unmatched rows are pending."""
     s = settlements.withColumn("_hit", F.lit(1))

@@ -189,12 +189,35 @@ def column_profile(df: DataFrame, by: Sequence[str], columns: Sequence[str]) ->
                                                       F.count(F.lit(1)).alias("unique_count"))
 
 
+def frequent_values(df: DataFrame, by: Sequence[str], column: str, share: float) -> DataFrame:
+    """Values that hold at least ``share`` of their group's rows, with exact counts; all others together in one row.
+
+    The counts are one aggregation with map-side combining, so a hot value is one row per task and a column of any number of
+    distinct values is never in one place.  ``value`` is null and ``kept`` false in the row of the rest, which also says how many
+    distinct values it holds.  Nulls count as a value named ``None``; a group has at most 1 / ``share`` rows and one.
+    """
+    c = df.groupBy(*by, F.coalesce(F.col(column).cast("string"), F.lit("None")).alias("value")).agg(F.count(F.lit(1)).alias("rows"))
+    c = with_group(c, by, _all=F.sum("rows")).withColumn("kept", F.col("rows") >= F.col("_all") * share)
+    return c.groupBy(*by, "kept", F.when(F.col("kept"), F.col("value")).alias("value")).agg(F.sum("rows").alias("rows"), F.count(F.lit(1)).alias("distinct_values"))
+
+
 def counts_map(df: DataFrame, by: Sequence[str], column: str) -> DataFrame:
     """Value counts as a map; the map is built from the aggregated counts only."""
     c = df.groupBy(*by, F.coalesce(F.col(column).cast("string"), F.lit("None")).alias("v")).agg(F.count(F.lit(1)).alias("n"))
     return c.groupBy(*by).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("v", "n")))).alias("counts"))
 
 
+def extrapolation_audit(df: DataFrame, by: str, p: Column, first_trained: int, qs: Sequence[float] = (0.01, 0.99)) -> DataFrame:
+    """Mean, deviation and outer quantiles of the market logit per period, and whether the period lies before the trained ones.
+
+    Logits that are null, NaN or infinite take no part; a period without any has no row.  One value has no deviation.
+    """
+    d = df.select(by, F.log(F.try_divide(p, 1.0 - p)).alias("_l")).filter(X.is_finite(F.col("_l")))
+    sums = d.groupBy(by).agg(F.count(F.lit(1)).alias("rows"), F.avg("_l").alias("mean"), F.stddev_samp("_l").alias("std"))
+    out = join_groups(sums, quantiles(d, [by], "_l", qs), [by]).withColumn("extrapolation", F.col(by) < first_trained)
+    return out.withColumnsRenamed({f"q{i}": f"p{round(100 * q):02d}" for i, q in enumerate(qs)})
+
+
 def special_cases(df: DataFrame, status: str, pairs: Sequence[tuple[str, str, str]]) -> DataFrame:
     """Abnormal rows and label/paid mismatches with the first matching note."""
     note = F.when(~F.col(status).eqNullSafe(F.lit("0")), "abnormal_or_refund")

@@ -136,8 +136,8 @@ def hs8(spark, sf):
     return H.leakage_audit(sources(spark, sf), "contest_id", "event_date")
 
 
-def hs8_injected(spark, sf):
-    """Detector check: sources taken through (not before) the day must show up as leaks."""
+def injected(spark, sf):
+    """Sources of the rider store taken through (not before) the day."""
     df = labeled(spark, sf)
     base = df.select("entry_id", "contest_id", "event_date", admitted().alias("ok"), stores()["rider"].alias("k"),
                      F.struct(F.col("event_date").alias("day"), *[c.alias(f"o{i}") for i, c in enumerate(order())],
@@ -145,8 +145,19 @@ def hs8_injected(spark, sf):
     long = H.long_stores(base, {"rider": F.col("k")}, ["entry_id", "contest_id", "event_date", "ok", "src"])
     at = H.source_before(long, "event_date", "ok", F.col("src"), inclusive=True)
     rows = join_stats(long, at, ["store", "key", "event_date"], ["source"], "rows").select(
-        "contest_id", "event_date", "store", F.col("source.contest").alias("source_contest"), F.col("source.day").alias("source_day"))
-    return H.leakage_audit(H.name_stores(rows, ["rider"]), "contest_id", "event_date")
+        "entry_id", "contest_id", "event_date", "store", F.col("source.contest").alias("source_contest"), F.col("source.day").alias("source_day"))
+    return H.name_stores(rows, ["rider"])
+
+
+def hs8_injected(spark, sf):
+    """Detector check: sources taken through (not before) the day must show up as leaks."""
+    return H.leakage_audit(injected(spark, sf), "contest_id", "event_date")
+
+
+def hs8_samples(spark, sf):
+    """The first twenty offending rows of every kind next to the counts."""
+    d = H.leakage_samples(injected(spark, sf), "entry_id", "contest_id", "event_date", 20)
+    return d.withColumns({c: F.col(c).cast("string") for c in ("event_date", "source_day")})
 
 
 def hs9(spark, sf):
@@ -179,7 +190,7 @@ def hs11(spark, sf):
 QUERIES = {
     "hs1_admission_reasons": hs1, "hs2_store_keys": hs2, "hs3_prior_totals": hs3, "hs3_prior_totals_wide": hs3_wide,
     "hs4_uncapped_starts": hs4, "hs5_last_n_means": hs5, "hs6_last_diffs": hs6, "hs7_cutoff_day": hs7,
-    "hs8_leakage_audit": hs8, "hs8_leakage_injected": hs8_injected, "hs9_incremental": hs9, "hs10_carried_state": hs10,
+    "hs8_leakage_audit": hs8, "hs8_leakage_injected": hs8_injected, "hs8_leakage_samples": hs8_samples, "hs9_incremental": hs9, "hs10_carried_state": hs10,
     "hs11_keep_last": hs11, "jn10_asof_source": jn10,
 }
 
@@ -221,6 +232,11 @@ SQL = {
   {'d': event_date, 'a': contest_id, 'b': entry_no, 'c': entry_id, 'e': contest_id} END) OVER (PARTITION BY store, key ORDER BY event_date RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS s
   FROM keyed WHERE store='rider' AND key IS NOT NULL), sources AS (SELECT contest_id, event_date, store, s.e AS source_contest, s.d AS source_day FROM src)
  """ + f" SELECT store, {_STATUS} AS status, count(*) AS rows FROM sources GROUP BY 1,2",
+    "hs8_leakage_samples": W + KEYED + """, src AS (SELECT entry_id, contest_id, event_date, store, max(CASE WHEN ok THEN
+  {'d': event_date, 'a': contest_id, 'b': entry_no, 'c': entry_id, 'e': contest_id} END) OVER (PARTITION BY store, key ORDER BY event_date RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS s
+  FROM keyed WHERE store='rider' AND key IS NOT NULL), sources AS (SELECT entry_id, contest_id, event_date, store, s.e AS source_contest, s.d AS source_day FROM src),
+ """ + f" bad AS (SELECT *, {_STATUS} AS status FROM sources), n AS (SELECT *, row_number() OVER (PARTITION BY store, status ORDER BY event_date, entry_id) AS sample FROM bad WHERE status NOT IN ('ok','no_history'))"
+    " SELECT store, status, sample, entry_id, contest_id, cast(event_date AS varchar) AS event_date, source_contest, cast(source_day AS varchar) AS source_day FROM n WHERE sample<=20",
     "hs9_incremental": W + PRIOR + f" SELECT entry_id, store, {_INT} FROM prior JOIN (SELECT entry_id FROM panel WHERE year>=2001) USING (entry_id) WHERE store IN ('runner','rider')",
     "hs10_carried_state": W + PRIOR + f""", k AS (SELECT DISTINCT p.store, key, event_date, p.starts, p.wins, p.top2, p.top3, p.paid FROM prior p JOIN keyed k ON p.entry_id=k.entry_id AND p.store=k.store)
  SELECT store, cast(event_date AS varchar) AS event_date, count(*) AS keys, {_SUMS} FROM k WHERE year(event_date)>1999 GROUP BY 1,2""",

@@ -8,7 +8,7 @@ from pitpanel.functions import expr as X
 from pitpanel.operators import contest as C
 from pitpanel.operators import integrate as I
 from pitpanel.operators.history import keep_last
-from pitpanel.plans.base import BETS, JOINED, PANEL, SCORED, bets, entries, panel, quotes, r6, rounded, scored, table
+from pitpanel.plans.base import BETS, JOINED, PANEL, SCORED, bets, entries, joined, panel, quotes, r6, rounded, scored, table
 from pitpanel.sources import readers as R
 from pitpanel.sources import sinks as S
 from pitpanel.sources.workdir import fresh_path
@@ -236,6 +236,29 @@ def jn12(spark, sf):
     return e.join(s.select("contest_id", "entry_no", "slot", "pay"), ["contest_id", "entry_no"], "left")
 
 
+def quote_value():
+    return F.expr("try_cast(trim(win_q) as double)")
+
+
+def jn12_joined(spark, sf):
+    """Top-k report: twenty entries next to their contest, quote and payout, whether each was found and how the two quotes relate."""
+    e = entries(spark, sf).select("contest_id", "entry_id", "entry_no", F.coalesce("status", F.lit("")).alias("status"), "entry_odds")
+    contests = table(spark, sf, "orders").select(F.col("o_orderkey").alias("contest_id"))
+    q = quotes(spark, sf).select("contest_id", "entry_id", quote_value().alias("quote"))
+    p = payouts(spark, sf).select("contest_id", F.array(*[n for n, _, _ in SLOTS]).alias("paid"))
+    d = I.joined_sample(e, [F.col(c) for c in ("contest_id", "entry_no", "entry_id")], 20,
+                        {"contest": (contests, ["contest_id"]), "quote": (q, ["contest_id", "entry_id"]), "payout": (p, ["contest_id"])})
+    return d.select("contest_id", "entry_id", "status", "entry_odds", "quote", "joined_contest", "joined_quote", "joined_payout",
+                    ((F.col("entry_no") <= 3) & F.array_contains("paid", F.col("entry_no").cast("string"))).cast("int").alias("in_paid_slots"),
+                    I.quote_relation(F.col("entry_odds"), F.col("quote")).alias("quote_relation"))
+
+
+def jn12_codes(spark, sf):
+    """Status codes of all entries with how their two quotes relate."""
+    d = joined(spark, sf).select(F.coalesce("status", F.lit("")).alias("status"), I.quote_relation(F.col("entry_odds"), quote_value()).alias("quote_relation"))
+    return d.groupBy("status", "quote_relation").agg(F.count(F.lit(1)).alias("entries"))
+
+
 def so1(spark, sf):
     d = panel(spark, sf).select("entry_id", X.sort_key(F.col("year"), F.col("month_day"), F.col("entry_no")).alias("sort_key"))
     return d.orderBy("sort_key", "entry_id")
@@ -277,10 +300,11 @@ QUERIES = {
     "sc5_csv_contract": sc5, "sc6_discovery": sc6, "sc8_inventory": sc8, "sk1_partition_overwrite": sk1, "sk2_csv_report": sk2, "sk2_report_hash": sk2_hash, "sk3_upsert": sk3,
     "sk3_replace_years": sk3_years, "sk4_append_relaxed": sk4, "sk5_ledger_insert": sk5, "jn1_slot_unpivot": jn1, "jn2_left_integration": jn2,
     "jn3_validated_join": jn3, "jn3_key_check": jn3_check, "jn4_full_comparison": jn4, "jn5_anti_both_ways": jn5, "jn6_semi_restrict": jn6, "jn7_model_pivot": jn7,
-    "jn8_settlement_join": jn8, "jn11_payout_match": jn11, "jn12_contest_sample": jn12, "so1_sort_key": so1, "so2_rounded_sort": so2, "so3_top_k_per_group": so3,
+    "jn8_settlement_join": jn8, "jn11_payout_match": jn11, "jn12_contest_sample": jn12, "jn12_joined_sample": jn12_joined, "jn12_status_codes": jn12_codes, "so1_sort_key": so1, "so2_rounded_sort": so2, "so3_top_k_per_group": so3,
     "so4_global_top_n": so4, "se1_union_widening": se1, "se2_key_sets": se2, "se3_keep_rule": se3,
 }
 W, B, PN = f"WITH {SCORED} ", f"WITH {BETS} ", f"WITH {PANEL} "
+RELATION = "CASE WHEN entry_odds IS NULL OR quote IS NULL OR entry_odds=0 OR quote=0 THEN 'missing_or_zero' WHEN abs(entry_odds-quote)<1e-4 THEN 'same' WHEN abs(entry_odds/10-quote)<1e-4 THEN 'first_10x' WHEN abs(entry_odds-quote/10)<1e-4 THEN 'second_10x' ELSE 'different' END"
 SQL = {
     "sc1_relational_scan": "SELECT l_returnflag, count(*) AS rows, cast(sum(l_quantity) AS bigint) AS quantity FROM lineitem WHERE year(l_shipdate)=1998 GROUP BY 1",
     "sc2_schema_drift_union": PN + "SELECT year, count(*) AS rows, sum(CASE WHEN year<1998 THEN cast(distance AS double) ELSE distance/2.0 END)::double AS measure, count(CASE WHEN year>=1998 THEN track END) AS with_track FROM panel GROUP BY 1",
@@ -313,6 +337,8 @@ SQL = {
     "jn8_settlement_join": B + """, t AS (SELECT unnest(['CORE','MARGIN','HIGH','VERY_HIGH']) AS tier, unnest([1.0,1.05,1.1,1.15])::double AS th) SELECT tier, CASE WHEN status='F' THEN 'settled' ELSE 'pending' END AS status, count(*) AS rows, cast(sum(CASE WHEN status='F' THEN pay END) AS bigint) AS pay FROM bets JOIN t ON ev>=th GROUP BY 1,2""",
     "jn11_payout_match": f"WITH {PAYOUTS}, c AS (SELECT contest_id, number, max(pay) AS pay FROM slots GROUP BY 1,2) SELECT year, count(*) FILTER (entry_no<=3) AS eligible, count(*) FILTER (entry_no<=3 AND number IS NOT NULL) AS matched, count(*) FILTER (entry_no<=3 AND number IS NULL) AS missing, count(*) FILTER (entry_no>3 AND number IS NOT NULL) AS paid_outside_limit, cast(coalesce(sum(c.pay) FILTER (entry_no<=3),0) AS bigint) AS matched_pay FROM scored s LEFT JOIN c ON c.contest_id=s.contest_id AND c.number=s.entry_no GROUP BY 1",
     "jn12_contest_sample": f"WITH {PAYOUTS}, t AS (SELECT DISTINCT contest_id FROM scored WHERE label=1 ORDER BY 1 LIMIT 5) SELECT s.contest_id, s.entry_no, s.entry_id, slot, slots.pay FROM scored s JOIN t USING (contest_id) LEFT JOIN slots ON slots.contest_id=s.contest_id AND slots.number=s.entry_no WHERE s.entry_no<=3",
+    "jn12_joined_sample": f"WITH {PAYOUTS}, {JOINED}, s AS (SELECT *, try_cast(trim(win_q) AS double) AS quote FROM j ORDER BY contest_id, entry_no, entry_id LIMIT 20) SELECT s.contest_id, entry_id, coalesce(status,'') AS status, entry_odds, quote, cast(o_orderkey IS NOT NULL AS int) AS joined_contest, cast(found AS int) AS joined_quote, cast(p.contest_id IS NOT NULL AS int) AS joined_payout, cast(entry_no<=3 AND cast(entry_no AS varchar) IN (no1,no2,no3,no4,no5) AS int) AS in_paid_slots, {RELATION} AS quote_relation FROM s LEFT JOIN orders ON o_orderkey=s.contest_id LEFT JOIN payouts p ON p.contest_id=s.contest_id",
+    "jn12_status_codes": f"WITH {JOINED}, s AS (SELECT *, try_cast(trim(win_q) AS double) AS quote FROM j) SELECT coalesce(status,'') AS status, {RELATION} AS quote_relation, count(*) AS entries FROM s GROUP BY 1,2",
     "so1_sort_key": PN + "SELECT entry_id, (cast(year AS bigint)*10000+month_day)*100+entry_no AS sort_key FROM panel",
     "so2_rounded_sort": B + "SELECT entry_id, round(p_market,12) AS p, round(ev,12) AS ev FROM bets",
     "so3_top_k_per_group": W + "SELECT supp_id, entry_id FROM (SELECT *, row_number() OVER (PARTITION BY supp_id ORDER BY p_alt DESC, entry_id) AS rn FROM scored) WHERE rn<=3",

@@ -152,6 +152,34 @@ def tb7(spark, sf):
     return a.join(b, "year").select("year", "rows", ((F.col("hash_sum") == F.col("sum_b")) & (F.col("hash_xor") == F.col("xor_b"))).alias("order_independent"))
 
 
+DEPTH = 2
+
+
+def edited(spark, sf):
+    """The scored table and a later version of it: payouts of one contest raised, one contest lost, one entry renamed."""
+    old = scored(spark, sf).select("entry_id", "contest_id", "odds", "pay")
+    new = old.filter("contest_id <> 7").withColumns({"pay": F.when(F.col("contest_id") == 3, F.col("pay") + 10).otherwise(F.col("pay")),
+                                                     "entry_id": F.when((F.col("contest_id") == 5), F.concat(F.col("entry_id"), F.lit("x"))).otherwise(F.col("entry_id"))})
+    return old, new
+
+
+def tb7_tree(spark, sf):
+    """Digests of all ranges, two levels deep."""
+    return MF.digest_tree(edited(spark, sf)[1], ["entry_id"], ["contest_id", "pay"], DEPTH)
+
+
+def tb7_ranges(spark, sf):
+    """Ranges of the key hash that an edit touched, found by descending from the root."""
+    old, new = [MF.digest_tree(d, ["entry_id"], ["contest_id", "pay"], DEPTH) for d in edited(spark, sf)]
+    return MF.differing_ranges(old, new, DEPTH)
+
+
+def tb7_keys(spark, sf):
+    """Entries that an edit touched, read from the differing ranges only."""
+    old, new = edited(spark, sf)
+    return MF.changed_keys(old, new, ["entry_id"], ["contest_id", "pay"], tb7_ranges(spark, sf), DEPTH)
+
+
 def tb8(spark, sf):
     d = scored(spark, sf).select("year", "entry_id", "pay")
     old = MF.fingerprint(d.filter("year <> 2001").withColumn("pay", F.when((F.col("year") == 1998) & (F.col("pay") == 0), F.lit(1)).otherwise(F.col("pay"))), ["year"])
@@ -169,7 +197,7 @@ def mt6_by_year(spark, sf):
 QUERIES = {
     "ts1_fold_windows": ts1, "ts2_logistic_baseline": ts2, "ts3_expanding_oof": ts3, "ts4_fold_baseline": ts4, "ts5_offset_model": ts5, "ts6_classifier_logistic": ts6("logistic"),
     "ts6_classifier_trees": ts6("trees"), "ts7_calibrators": ts7, "ts8_walk_forward_calibration": ts8, "ts9_ablation": ts9, "ts11_champion_challenger": ts11, "ts12_parity_gate": ts12,
-    "tb7_fingerprint": tb7, "tb8_stale_partitions": tb8, "mt6_calibration_slope": mt6, "mt6_calibration_slope_by_year": mt6_by_year, "ts8_walk_forward_by_year": ts8_by_year, "ts8_leave_one_fold_out": ts8_leave_one_out,
+    "tb7_fingerprint": tb7, "tb7_digest_tree": tb7_tree, "tb7_differing_ranges": tb7_ranges, "tb7_changed_keys": tb7_keys, "tb8_stale_partitions": tb8, "mt6_calibration_slope": mt6, "mt6_calibration_slope_by_year": mt6_by_year, "ts8_walk_forward_by_year": ts8_by_year, "ts8_leave_one_fold_out": ts8_leave_one_out,
     "ts8_nested_forward": ts8_nested_forward,
 }
 
@@ -208,6 +236,10 @@ def pm(p):
 
 
 TOP = "row_number() OVER (PARTITION BY split, contest_id ORDER BY {p} DESC, entry_id)"
+EDITED = """old AS (SELECT entry_id, contest_id, odds, pay FROM scored), new AS (SELECT CASE WHEN contest_id=5 THEN entry_id||'x' ELSE entry_id END AS entry_id, contest_id, odds, CASE WHEN contest_id=3 THEN pay+10 ELSE pay END AS pay FROM old WHERE contest_id<>7)"""
+_TEXT = "length(entry_id)||':'||entry_id"
+TREES = f"""sides AS (SELECT 'old' AS side, * FROM old UNION ALL SELECT 'new', * FROM new), lines AS (SELECT side, md5({_TEXT}) AS k, ('0x'||substr(md5({_TEXT}||length(cast(contest_id AS varchar))||':'||contest_id||length(cast(pay AS varchar))||':'||pay),1,12))::bigint AS h FROM sides),
+ tree AS (SELECT side, level::int AS level, substr(k,1,level::int) AS range, count(*) AS rows, cast(sum(h) AS varchar) AS digest FROM lines, range({DEPTH + 1}) t(level) GROUP BY 1,2,3)"""
 SQL = {
     "ts1_fold_windows": W + f", f(strategy, validation_year, a, b) AS (VALUES {_FV}) SELECT strategy, validation_year, CASE WHEN year=validation_year THEN 'validation' ELSE 'train' END AS part, count(*) AS rows, cast(sum(label) AS bigint) AS positives, min(year) AS first, max(year) AS last FROM scored JOIN f ON year BETWEEN a AND b OR year=validation_year GROUP BY 1,2,3",
     "ts11_champion_challenger": B + f""", r AS (SELECT *, {TOP.format(p='p_model')} AS a, {TOP.format(p='p_alt')} AS b FROM bets WHERE split IN ('test','latest_holdout')), c AS (SELECT split, contest_id, count(*) FILTER (a<=3 AND b<=3) AS o, count(*) FILTER (a=1 AND b=1) AS s FROM r GROUP BY 1,2), g AS (SELECT split, round(avg(s),6) AS same_top1_rate, round(avg(o),6) AS mean_top3_overlap FROM c GROUP BY 1)
@@ -243,6 +275,9 @@ SQL = {
     "mt6_calibration_slope": R + f""", {line_rows("split")}, {Q.newton("b", 1, "lr", "lm")} SELECT split, rows, round(b1,6) AS slope, round(b0,6) AS intercept FROM b JOIN (SELECT split, count(*) AS rows FROM bets GROUP BY 1) ON fit = split""",
     "mt6_calibration_slope_by_year": R + f""", {line_rows("year || status")}, {Q.newton("b", 1, "lr", "lm", rounds=25)}
  SELECT year, status, rows, round(b1,6) AS slope, round(b0,6) AS intercept FROM b JOIN (SELECT year, status, count(*) AS rows FROM bets GROUP BY 1, 2) ON fit = year || status""",
+    "tb7_digest_tree": f"WITH {SCORED}, {EDITED}, {TREES} SELECT level, range, rows, digest FROM tree WHERE side='new'",
+    "tb7_differing_ranges": f"WITH {SCORED}, {EDITED}, {TREES}, o AS (SELECT * FROM tree WHERE side='old'), n AS (SELECT * FROM tree WHERE side='new') SELECT level, range, coalesce(o.rows,0) AS old_rows, coalesce(n.rows,0) AS new_rows FROM o FULL JOIN n USING (level, range) WHERE o.digest IS DISTINCT FROM n.digest OR o.rows IS DISTINCT FROM n.rows",
+    "tb7_changed_keys": f"WITH {SCORED}, {EDITED}, o AS (SELECT entry_id, list(contest_id||'/'||pay ORDER BY contest_id, pay) AS v FROM old GROUP BY 1), n AS (SELECT entry_id, list(contest_id||'/'||pay ORDER BY contest_id, pay) AS v FROM new GROUP BY 1) SELECT entry_id, CASE WHEN o.v IS NULL THEN 'added' WHEN n.v IS NULL THEN 'removed' ELSE 'changed' END AS change FROM o FULL JOIN n USING (entry_id) WHERE o.v IS DISTINCT FROM n.v",
     "tb7_fingerprint": W + "SELECT year, count(*) AS rows, true AS order_independent FROM scored GROUP BY 1",
     "tb8_stale_partitions": W + "SELECT year, year IN (1998,2001) AS changed, year>=1998 AS rebuild FROM scored GROUP BY 1",
 }

@@ -203,6 +203,17 @@ def dq24_saturation(spark, sf):
     return rounded(out.withColumnsRenamed({"q0": "p50_starts", "q1": "p90_starts", "q2": "p99_starts"}), "std_win_rate", "p50_starts", "p90_starts", "p99_starts")
 
 
+def dq24_logit(spark, sf):
+    """Market logit by year; years before 1996 are extrapolated."""
+    d = Q.extrapolation_audit(bets(spark, sf), "year", F.col("p_market"), 1996)
+    return rounded(d, "mean", "std", "p01", "p99")
+
+
+def dq19_frequent(spark, sf):
+    """Part numbers that hold at least one in 2,000 of a year's rows; all others as one row a year."""
+    return Q.frequent_values(panel(spark, sf), ["year"], "coach", 0.0005)
+
+
 QUERIES = {
     "dq1_coverage_by_year": dq1, "dq2_coverage_by_status": dq2, "dq3_dimension_missingness": dq3, "dq4_value_encoding": dq4,
     "dq5_missing_contest_samples": dq5, "dq6_duplicate_keys": dq6, "dq6_schema_summary": dq6_schema, "dq7_status_cross": dq7, "dq8_flag_values": dq8,
@@ -210,7 +221,7 @@ QUERIES = {
     "dq11_two_source_comparison": dq11, "dq11_comparison_by_year": dq11_year, "dq12_timing": dq12, "dq14_record_state": dq14, "dq15_preflight": dq15,
     "dq16_yearly_quality": dq16, "dq17_column_profile": dq17, "dq18_special_cases": dq18, "dq19_counts_map": dq19, "dq20_dataset_diff": dq20,
     "dq21_prediction_diff": dq21, "dq22_alignment": dq22, "dq23_target_integrity": dq23, "dq24_target_definition": dq24, "dq24_yearly_drift": dq24_drift,
-    "dq24_history_saturation": dq24_saturation,
+    "dq24_history_saturation": dq24_saturation, "dq24_market_logit": dq24_logit, "dq19_frequent_values": dq19_frequent,
 }
 
 
@@ -315,6 +326,8 @@ SQL = {
  FROM a FULL JOIN b ON a.entry_id=b.entry_id AND a.year=b.year GROUP BY 1,2""",
     "dq23_target_integrity": "WITH " + LABELED + " SELECT year, count(*) AS rows, count(*) FILTER ((target_place_paid=1)<>(coalesce(place_pay,0)>0)) AS label_payout_mismatch, count(*) FILTER (target_place_paid=1 AND NOT coalesce(place_pay,0)>0) AS positive_without_payout, count(*) FILTER (field_size<=7 AND rank=3 AND coalesce(place_pay,0)>0) AS small_field_third_paid FROM labeled GROUP BY 1",
     "dq24_target_definition": "WITH " + LABELED + " SELECT CASE WHEN year<=1998 THEN 'early' ELSE 'late' END AS period, place_rank_limit, CASE WHEN field_size<=7 THEN '<=7' ELSE '>=8' END AS field_group, count(*) AS rows, round(avg(target_place_paid),6) AS positive_rate FROM labeled GROUP BY 1,2,3",
+    "dq24_market_logit": f"WITH {BETS}, l AS (SELECT year, ln(p_market/(1.0-p_market)) AS l FROM bets WHERE p_market>0 AND p_market<1) SELECT year, year<1996 AS extrapolation, count(*) AS rows, round(avg(l),6) AS mean, round(stddev_samp(l),6) AS std, round(quantile_cont(l,0.01),6) AS p01, round(quantile_cont(l,0.99),6) AS p99 FROM l GROUP BY 1",
+    "dq19_frequent_values": f"WITH {PANEL}, c AS (SELECT year, coach AS value, count(*) AS n FROM panel GROUP BY 1,2), g AS (SELECT *, n>=sum(n) OVER (PARTITION BY year)*0.0005::double AS kept FROM c) SELECT year, kept, CASE WHEN kept THEN value END AS value, cast(sum(n) AS bigint) AS rows, count(*) AS distinct_values FROM g GROUP BY 1,2,3",
     "dq24_yearly_drift": f"WITH {PANEL} SELECT year, round(avg(field_size),6) AS mean_field, round(avg(win_odds),6) AS mean_odds, round(avg(place_pay),6) AS mean_pay FROM panel GROUP BY 1",
 }
 
