@@ -17,6 +17,7 @@ from pitpanel.functions.ordered import attach_row
 from pitpanel.operators import grouped as G
 from pitpanel.operators import metrics as M
 from pitpanel.operators.folds import Fold, fold_name
+from pitpanel.sources.workdir import materialise
 
 
 @dataclass
@@ -86,6 +87,29 @@ def ablation(df: DataFrame, groups: dict[str, Sequence[str]], folds: Sequence[Fo
     return M.probability_metrics(out, ["variant"], "y", "final_probability")
 
 
+def classifier_grid(df: DataFrame, targets: dict[str, str], sets: dict[str, Sequence[str]], split: str, train: str, c: float = 1.0) -> DataFrame:
+    """Every target x feature set: logistic fits on the training split, applied to every split; metrics per target, set and split.
+
+    Rows are repeated once per target; all fits run in the same rounds, and a feature set switches the other columns off.
+    Missing and non-finite values take the training median, columns are standardised, and a ridge of 1 / (c * rows) holds the
+    coefficients.  Rows whose target is null take no part in that target.  A split without rows has no row in the result.
+    """
+    spark = df.sparkSession
+    columns = list(dict.fromkeys(f for fs in sets.values() for f in fs))
+    d = df.select(F.col(split).alias("split"), *[X.finite(F.col(f).cast("double")).alias(f) for f in columns],
+                  F.inline(F.array(*[F.struct(F.lit(t).alias("target"), F.col(y).cast("int").alias("y")) for t, y in targets.items()]))).filter("y is not null")
+    d = materialise(d.withColumn("part", F.concat_ws("|", "target", "split")), "classifier-rows")
+    fits = G.members(spark, {f"{t}|{s}": [f"{t}|{train}"] for t in targets for s in sets}, "string")
+    names = spark.createDataFrame([(f"{t}|{s}", t, s) for t in targets for s in sets], "fit string, target string, feature_set string")
+    spec = G.baseline_spec(d, fits, columns, c=c).join(F.broadcast(names), "fit")
+    for i, f in enumerate(columns, 1):
+        spec = spec.withColumn(f"use_{i}", F.when(F.col("feature_set").isin(*[s for s, fs in sets.items() if f in fs]), 1.0).otherwise(0.0))
+    fitted = G.newton(d, fits, spec, columns, "y")
+    out = d.join(F.broadcast(fitted), "target")  # one row for every feature set of the target
+    out = out.withColumn("pred_probability", X.clip(X.sigmoid(G.linear(columns))))
+    return M.probability_metrics(out, ["target", "feature_set", "split"], "y", "pred_probability")
+
+
 def parity_gate(a: DataFrame, b: DataFrame, keys: Sequence[str], y: str, p: str, tolerance: float) -> DataFrame:
     """One row: key and target agreement, largest and mean probability difference, metric difference, verdict."""
     x = a.select(*keys, F.col(y).alias("_ya"), F.col(p).alias("_pa"))

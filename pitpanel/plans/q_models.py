@@ -82,6 +82,16 @@ def ts6(kind):
     return run
 
 
+SETS = {"free": ["p_model", "p_alt"], "market": ["odds_log"], "all": ["p_model", "p_alt", "odds_log"]}
+
+
+def ts6_grid(spark, sf):
+    """Two targets x three feature sets x every split; the second target leaves out entries that are not eligible."""
+    d = base(spark, sf).withColumn("high", F.when(F.col("entry_no") <= 5, (F.col("pay") >= 250).cast("int")))
+    out = MO.classifier_grid(d, {"win": "label", "high": "high"}, SETS, "split", "train")
+    return rounded(out, "positive_rate", "mean_p", "logloss", "brier")
+
+
 def ts7(spark, sf):
     """All calibrators fitted on the training split, on exact scores, applied to every split."""
     hist = materialise(G.histogram(bets(spark, sf), F.col("split"), "label", "p_market"), "scores")
@@ -196,7 +206,7 @@ def mt6_by_year(spark, sf):
 
 QUERIES = {
     "ts1_fold_windows": ts1, "ts2_logistic_baseline": ts2, "ts3_expanding_oof": ts3, "ts4_fold_baseline": ts4, "ts5_offset_model": ts5, "ts6_classifier_logistic": ts6("logistic"),
-    "ts6_classifier_trees": ts6("trees"), "ts7_calibrators": ts7, "ts8_walk_forward_calibration": ts8, "ts9_ablation": ts9, "ts11_champion_challenger": ts11, "ts12_parity_gate": ts12,
+    "ts6_classifier_trees": ts6("trees"), "ts6_classifier_grid": ts6_grid, "ts7_calibrators": ts7, "ts8_walk_forward_calibration": ts8, "ts9_ablation": ts9, "ts11_champion_challenger": ts11, "ts12_parity_gate": ts12,
     "tb7_fingerprint": tb7, "tb7_digest_tree": tb7_tree, "tb7_differing_ranges": tb7_ranges, "tb7_changed_keys": tb7_keys, "tb8_stale_partitions": tb8, "mt6_calibration_slope": mt6, "mt6_calibration_slope_by_year": mt6_by_year, "ts8_walk_forward_by_year": ts8_by_year, "ts8_leave_one_fold_out": ts8_leave_one_out,
     "ts8_nested_forward": ts8_nested_forward,
 }
@@ -258,6 +268,11 @@ SQL = {
     "ts5_offset_model": R + f""", {MODEL_ROWS}, wt AS (SELECT avg(pow(2.0e0, -(1999 - year) / 3.0e0)) AS m FROM feats WHERE split = 'train'), {base_rows("split", "gap", "p_alt", "coalesce(odds_log, 0)", o="ln(greatest(1e-6,least(1-1e-6,p_market))/(1-greatest(1e-6,least(1-1e-6,p_market))))", w="pow(2.0e0, -(1999 - year) / 3.0e0) / (SELECT m FROM wt)")},
  m(fit, part) AS (VALUES ('train','train')), spec AS (SELECT 'train' AS fit, 1.0e0 AS use0, 1.0e0 AS use1, 1.0e0 AS use2, 1.0e0 AS use3, 0.0e0 AS fill1, 0.0e0 AS fill2, 0.0e0 AS fill3, 0.0e0 AS mean1, 0.0e0 AS mean2, 0.0e0 AS mean3, 1.0e0 AS scale1, 1.0e0 AS scale2, 1.0e0 AS scale3, 1e-6 AS ridge), {Q.newton("b", 3, "fr", "m", "spec")}
  SELECT split, {pm("q")}, 0.0e0 AS identity_error FROM (SELECT split, label, greatest(1e-6,least(1-1e-6,1/(1+exp(-(o + {Q.linear(3)}))))) AS q FROM fr, spec JOIN b USING (fit)) GROUP BY 1""",
+    "ts6_classifier_grid": R + f""", {MODEL_ROWS}, wide AS (SELECT *, unnest(['win', 'high']) AS target, unnest([label, CASE WHEN entry_no <= 5 THEN cast(pay >= 250 AS int) END]) AS t FROM feats),
+ fr AS (SELECT target || '|' || split AS part, target, split, t AS label, cast(t AS double) AS y, 1.0e0 AS w, 0.0e0 AS o, p_model AS x1, p_alt AS x2, odds_log AS x3 FROM wide WHERE t IS NOT NULL),
+ tg AS (SELECT unnest(['win', 'high']) AS target), ss AS (SELECT unnest(['free', 'market', 'all']) AS feature_set), sets AS (SELECT target || '|' || feature_set AS fit, target, feature_set FROM tg, ss), m AS (SELECT fit, target || '|train' AS part FROM sets),
+ spec AS (SELECT * REPLACE (CASE WHEN fit LIKE '%|market' THEN 0.0e0 ELSE 1.0e0 END AS use1, CASE WHEN fit LIKE '%|market' THEN 0.0e0 ELSE 1.0e0 END AS use2, CASE WHEN fit LIKE '%|free' THEN 0.0e0 ELSE 1.0e0 END AS use3) FROM ({Q.baseline_spec(3, "fr", "m")})), {Q.newton("b", 3, "fr", "m", "spec")}
+ SELECT target, feature_set, split, {pm("q")} FROM (SELECT target, feature_set, split, label, greatest(1e-6,least(1-1e-6,1/(1+exp(-({Q.linear(3)}))))) AS q FROM fr JOIN sets USING (target) JOIN spec USING (fit) JOIN b USING (fit)) GROUP BY 1, 2, 3""",
     "ts7_calibrators": R + f""", {scored_hist("split", "p_market")}, m(fit, part) AS (VALUES ('train','train')), own AS (SELECT DISTINCT 'train' AS fit, part FROM hist), {Q.calibration("hist", "m", "own")}
  SELECT method AS calibration_method, part AS split, rows, positives, {ROUNDED}, round(ece,6) AS ece, round(mce,6) AS mce FROM ({Q.metrics("method, part")})""",
     "ts8_walk_forward_calibration": R + f""", {FORWARD}, {scored_hist("year", "p_market")}, own AS (SELECT DISTINCT fit, own AS part FROM fwd), {Q.calibration("hist", "fwd", "own")}, t AS ({Q.metrics("method")})

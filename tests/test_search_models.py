@@ -294,3 +294,35 @@ def test_fit_survives_extreme_scores(spark):
     z = np.log(z / (1 - z))
     m = 1 / (1 + np.exp(-(c.b_0 + c.b_2 * z)))
     assert abs(np.sum(y - m)) < 1e-4 and abs(np.sum((y - m) * z)) < 1e-3
+
+
+def test_classifier_grid_equals_single_fits_and_knows_odd_rows(spark):
+    rng = random.Random(3)
+    rows = []
+    for i in range(500):
+        a, b = rng.gauss(0, 1), rng.gauss(0, 1)
+        rows.append((("train", "test")[i % 4 == 3], a if i % 9 else None, float("nan") if i % 11 == 0 else b, int(rng.random() < 1 / (1 + np.exp(-a))), int(b > 0.3) if i % 5 else None))
+    df = spark.createDataFrame(rows, "split string, a double, b double, y int, z int")
+    got = {(r.target, r.feature_set, r.split): r for r in MO.classifier_grid(df, {"y": "y", "z": "z"}, {"a": ["a"], "both": ["a", "b"]}, "split", "train").collect()}
+    assert set(got) == {(t, s, p) for t in "yz" for s in ("a", "both") for p in ("train", "test")}
+
+    def single(y, columns):
+        d = [(p, [np.nan if v is None else v for v in v4], t) for p, *v4, t in [(r[0], *[r[{"a": 1, "b": 2}[c]] for c in columns], r[y]) for r in rows] if t is not None]
+        x, t, train = np.array([v for _, v, _ in d], float), np.array([t for *_, t in d], float), np.array([p == "train" for p, *_ in d])
+        x = np.where(np.isnan(x), np.nanmedian(x[train], axis=0), x)
+        x = (x - x[train].mean(axis=0)) / x[train].std(axis=0)
+        x, b, n = np.column_stack([np.ones(len(x)), x]), np.zeros(x.shape[1] + 1), train.sum()
+        ridge = np.array([0.0] + [1.0 / n] * len(columns))
+        for _ in range(40):
+            mu = 1 / (1 + np.exp(-x[train] @ b))
+            b = b + np.linalg.solve((x[train] * (mu * (1 - mu))[:, None]).T @ x[train] / n + np.diag(ridge), x[train].T @ (t[train] - mu) / n - ridge * b)
+        q = np.clip(1 / (1 + np.exp(-x @ b)), 1e-6, 1 - 1e-6)
+        loss = -(t * np.log(q) + (1 - t) * np.log(1 - q))
+        return {"train": loss[train].mean(), "test": loss[~train].mean()}
+
+    for t, y in (("y", 3), ("z", 4)):
+        for s, columns in (("a", ["a"]), ("both", ["a", "b"])):
+            for part, want in single(y, columns).items():
+                assert got[t, s, part].logloss == pytest.approx(want, abs=1e-6)
+    assert got["z", "a", "train"].rows == sum(1 for r in rows if r[0] == "train" and r[4] is not None)
+    assert MO.classifier_grid(df.filter("false"), {"y": "y"}, {"a": ["a"]}, "split", "train").count() == 0
