@@ -128,14 +128,14 @@ def pr17(spark, sf):
 
 def pr18(spark, sf):
     from pitpanel.plans.q_history import prior
-    h = prior(spark, sf).filter("store = 'rider'").join(panel(spark, sf).select("entry_id", "year"), "entry_id")
+    h = prior(spark, sf, ["rider"], ["year"])
     d = T.smooth_rate(h, "wins_rate", "starts", F.col("year") <= 1998, 20.0, "smoothed")
     return rounded(d, "smoothed").select("entry_id", "smoothed")
 
 
 def pr19(spark, sf):
     from pitpanel.plans.q_history import prior
-    h = prior(spark, sf).filter("store = 'rider'").withColumn("blurred", F.col("wins_rate") * 0.999)
+    h = prior(spark, sf, ["rider"]).withColumn("blurred", F.col("wins_rate") * 0.999)
     return rounded(T.count_reconstruction_error(h, [("wins_rate", "starts"), ("top3_rate", "starts"), ("blurred", "starts")]), "max_error")
 
 

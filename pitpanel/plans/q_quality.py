@@ -197,7 +197,7 @@ def dq24_saturation(spark, sf):
     from pitpanel.functions.ordered import quantiles
     from pitpanel.operators.metrics import join_groups
     from pitpanel.plans.q_history import prior
-    h = prior(spark, sf).filter("store in ('runner','rider','coach')").join(panel(spark, sf).select("entry_id", "year"), "entry_id")
+    h = prior(spark, sf, ["runner", "rider", "coach"], ["year"])
     g = ["year", "store"]
     out = join_groups(h.groupBy(*g).agg(F.stddev_samp("wins_rate").alias("std_win_rate")), quantiles(h, g, "starts", [0.5, 0.9, 0.99]), g)
     return rounded(out.withColumnsRenamed({"q0": "p50_starts", "q1": "p90_starts", "q2": "p99_starts"}), "std_win_rate", "p50_starts", "p90_starts", "p99_starts")
