@@ -214,7 +214,7 @@ def bs4(spark, sf):
 
 
 def bs5(spark, sf):
-    d = bets(spark, sf).select("entry_id", "label", "p_model", "p_alt", "odds")
+    d = scored(spark, sf).select("entry_id", "label", "p_model", "p_alt", "odds")
 
     def score(x):
         return X.sigmoid(0.4 * X.logit(F.col("p_model")) + 0.3 * X.logit(F.col("p_alt")) - 0.2 * F.log("odds"))

@@ -1,5 +1,7 @@
 """Label rules, metric values, complete contests, backtest and ledger invariants on small frames."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from pitpanel.operators import labels as L
 from pitpanel.operators import ledger as G
 from pitpanel.operators import metrics as M
 from pitpanel.operators import resample as B
+from tests.plan_scan import plan_of
 
 
 def test_place_rule_and_ids(spark):
@@ -108,3 +111,14 @@ def test_tiers_nested_and_settlement(spark):
 def test_empty_group_spearman_is_null(spark):
     df = spark.createDataFrame([("g", 1.0, 2.0), ("g", 1.0, 3.0)], "g string, a double, b double")
     assert M.correlations(df, ["g"], "a", "b").first().spearman is None
+
+
+def test_importance_numbers_and_joins_rows_once(spark):
+    df = spark.createDataFrame([(f"u{i:02d}", i % 2, 0.1 + i / 50, 1.0 + i % 7) for i in range(40)], "u string, y int, p double, o double")
+    groups = {"p": ["p"], "o": ["o"], "both": ["p", "o"]}
+    out = B.permutation_importance(df, "u", "y", groups, lambda d: F.col("p") / F.col("o"), 5)
+    assert len(re.findall(r"\w+Join", plan_of(out))) == 1 and len(out.collect()) == 3
+    for r in out.collect():
+        moved, eps = B.permute(df, "u", groups[r.feature_group], 5), 1e-6
+        b = [x.agg(F.avg(F.pow(F.col("p") / F.col("o") - F.col("y"), 2))).first()[0] for x in (moved, df)]
+        assert abs(r.delta_brier - (b[0] - b[1])) < 1e-12
