@@ -60,8 +60,8 @@ def ece_mce(df: DataFrame, group: Sequence[str], y: str, p: str, bins: int = 10)
 
 
 def reliability_cut(df: DataFrame, group: Sequence[str], y: str, p: str, edges: Sequence[float]) -> DataFrame:
-    """Right-closed reliability table with the lowest edge included."""
-    band = X.bucketize(F.col(p), edges, right=True, include_lowest=True)
+    """Right-closed reliability table with the lowest edge included; bands go by twelve digits of ``p``, so the order of a float sum decides no tie."""
+    band = X.bucketize(F.round(F.col(p), 12), edges, right=True, include_lowest=True)
     return df.groupBy(*group, band.alias("band")).agg(
         F.count(F.lit(1)).alias("rows"), F.avg(p).alias("mean_p"), F.avg(y).alias("actual_rate"),
         (F.avg(y) - F.avg(p)).alias("gap"))

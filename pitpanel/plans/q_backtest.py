@@ -81,7 +81,8 @@ def bt11_spearman(spark, sf):
 
 
 def bt12(spark, sf):
-    d = K.ev_crossing(bets(spark, sf), ["year"], F.col("p_market") * F.col("odds") * 1.4, F.col("ev"))
+    """Crossings of 1; the market side is taken to nine digits, so the order in which a contest's float sum was added decides no tie."""
+    d = K.ev_crossing(bets(spark, sf), ["year"], F.round(F.col("p_market") * F.col("odds") * 1.4, 9), F.col("ev"))
     return rounded(d, "model_ge_1_rate")
 
 
@@ -95,7 +96,7 @@ def bt11_odd(spark, sf):
 
 
 def bt12_odd(spark, sf):
-    d = K.ev_crossing(odd_bets(spark, sf), ["year"], F.col("p_market") * F.col("odds") * 1.4, F.col("ev"))
+    d = K.ev_crossing(odd_bets(spark, sf), ["year"], F.round(F.col("p_market") * F.col("odds") * 1.4, 9), F.col("ev"))
     return rounded(d, "model_ge_1_rate")
 
 
@@ -235,7 +236,7 @@ SQL = {
  SELECT odds_band, round(score,6) AS reliability_score, band_class, CASE band_class WHEN 'main' THEN 0.9 WHEN 'support' THEN 0.85 END::double AS ev_threshold FROM sc""",
     "bt11_ev_band_roi": f"WITH {EVBANDS} SELECT split, ev_band, bets, return, round(roi,6) AS roi, coalesce(roi>=lag(roi) OVER (PARTITION BY split ORDER BY ev_band),true) AS monotone FROM evb",
     "bt11_ev_spearman": f"WITH {EVBANDS}, r AS (SELECT split, rank() OVER (PARTITION BY split ORDER BY ev_band) AS a, rank() OVER (PARTITION BY split ORDER BY roi)+(count(*) OVER (PARTITION BY split, roi)-1)/2.0 AS b FROM evb) SELECT split, count(*) AS bands, round(corr(a,b),6) AS spearman FROM r GROUP BY 1",
-    "bt12_ev_crossing": B + ", e AS (SELECT year, p_market*odds*1.4>=1 AS a, ev>=1 AS b FROM bets) SELECT year, count(*) AS rows, count(*) FILTER (a) AS base_ge_1, count(*) FILTER (b) AS model_ge_1, count(*) FILTER (NOT a AND b) AS up_crossings, count(*) FILTER (a AND NOT b) AS down_crossings, round(avg(cast(b AS int)),6) AS model_ge_1_rate FROM e GROUP BY 1",
+    "bt12_ev_crossing": B + ", e AS (SELECT year, round(p_market*odds*1.4,9)>=1 AS a, ev>=1 AS b FROM bets) SELECT year, count(*) AS rows, count(*) FILTER (a) AS base_ge_1, count(*) FILTER (b) AS model_ge_1, count(*) FILTER (NOT a AND b) AS up_crossings, count(*) FILTER (a AND NOT b) AS down_crossings, round(avg(cast(b AS int)),6) AS model_ge_1_rate FROM e GROUP BY 1",
     "bt13_pick_frequency": B + """, t AS (SELECT unnest([0.9,1.0,1.1,1.3,1.6])::double AS threshold) SELECT year, threshold, count(*) AS picks, count(DISTINCT event_date) AS active_days, count(DISTINCT date_trunc('month',event_date)) AS active_months,
  round(count(*)/count(DISTINCT event_date),6) AS picks_per_active_day, round(count(*)/count(DISTINCT date_trunc('month',event_date)),6) AS picks_per_active_month FROM bets JOIN t ON ev>=threshold GROUP BY 1,2""",
     "bt14_stake_methods": P + """, l AS (SELECT split, pay, unnest(['equal_100','three_stage','score_bucketed']) AS stake_method, unnest([100.0, CASE WHEN odds<2 THEN 100.0 WHEN odds<3 THEN 50.0 ELSE 0.0 END, CASE WHEN p_model<=0.33 THEN 50.0 WHEN p_model<=0.66 THEN 100.0 ELSE 150.0 END])::double AS stake FROM picks)
@@ -253,5 +254,5 @@ SQL = {
 
 
 SQL["bt11_odd_numbers"] = odd_sql(SQL["bt11_ev_band_roi"]).replace("FROM bets GROUP BY 1,2)", "FROM bets WHERE ev IS NOT NULL GROUP BY 1,2)")
-SQL["bt12_odd_numbers"] = odd_sql(SQL["bt12_ev_crossing"]).replace("p_market*odds*1.4>=1 AS a, ev>=1 AS b", "coalesce(p_market*odds*1.4>=1,false) AS a, coalesce(ev>=1,false) AS b")
+SQL["bt12_odd_numbers"] = odd_sql(SQL["bt12_ev_crossing"]).replace("round(p_market*odds*1.4,9)>=1 AS a, ev>=1 AS b", "coalesce(round(p_market*odds*1.4,9)>=1,false) AS a, coalesce(ev>=1,false) AS b")
 SQL["bt13_odd_numbers"] = odd_sql(SQL["bt13_pick_frequency"])

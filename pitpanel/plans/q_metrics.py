@@ -220,7 +220,7 @@ SQL = {
     "mt4_ece_mce": f"WITH {REL} SELECT split, round(sum(rows*gap)/sum(rows),6) AS ece, round(max(gap),6) AS mce FROM rel GROUP BY 1",
     "mt5_reliability": f"WITH {REL} SELECT split, bin, rows, round(mp,6) AS mean_p, round(ar,6) AS actual_rate, round(gap,6) AS gap FROM rel",
     "mt5_reliability_cut": B + "SELECT split, CASE " + " ".join(
-        f"WHEN p_market{'>=' if i == 0 else '>'}{CUTS[i]} AND p_market<={CUTS[i+1]} THEN '({CUTS[i]:g},{CUTS[i+1]:g}]'" for i in range(6)) +
+        f"WHEN round(p_market,12){'>=' if i == 0 else '>'}{CUTS[i]} AND round(p_market,12)<={CUTS[i+1]} THEN '({CUTS[i]:g},{CUTS[i+1]:g}]'" for i in range(6)) +
         " ELSE '(none)' END AS band, count(*) AS rows, round(avg(p_market),6) AS mean_p, round(avg(label),6) AS actual_rate, round(avg(label)-avg(p_market),6) AS gap FROM bets GROUP BY 1,2",
     "mt6_calibration_line_ols": B + ", z AS (SELECT split, label, ln(greatest(1e-6,least(1.0-1e-6,p_model))/(1.0-greatest(1e-6,least(1.0-1e-6,p_model)))) AS z FROM bets) SELECT split, round(regr_slope(label,z),6) AS slope, round(regr_intercept(label,z),6) AS intercept FROM z GROUP BY 1",
     "mt7_top1_accuracy": B + "SELECT * FROM " + top1("bets", ["split"], "p_market"),

@@ -137,3 +137,15 @@ def test_poisson_hashes_a_cluster_once(spark):
     assert "Generate inline(_rows" in plan and plan.index("Generate inline(_rows") < plan.index("md5(")
     one = {(r.replicate, k): r.n for k in range(3) for r in B.replicate_sums(c.filter(F.col("bin") == k), "c", ["n"], 8, 9, "poisson").collect()}
     assert {(r.replicate, r.bin): r.n for r in split.collect()} == one
+
+
+def test_bands_do_not_depend_on_the_order_of_a_float_sum(spark):
+    near = [0.3, 0.1 + 0.2, 0.2, 0.7 - 0.5]
+    df = spark.createDataFrame([("a", p, 1) for p in near], "g string, p double, y int")
+    assert {(r.band, r.rows) for r in M.reliability_cut(df, ["g"], "y", "p", [0.0, 0.1, 0.2, 0.3, 0.4]).collect()} == {("(0.2,0.3]", 2), ("(0.1,0.2]", 2)}
+
+
+def test_market_crossing_is_the_same_rule_on_both_sides():
+    from pitpanel import plans
+    for name in ("bt12_ev_crossing", "bt12_odd_numbers"):
+        assert "round(p_market*odds*1.4,9)>=1" in plans.oracle_sql()[name]
