@@ -52,12 +52,17 @@ def surface_dims():
     return [S.Dim("low", "odds", ">=", tuple(LOWS)), S.Dim("high", "odds", "<", tuple(HIGHS)), S.Dim("ev", "ev", ">=", tuple(EVS))]
 
 
+def valued(spark, sf):
+    """Scored entries with their expected value: all that the threshold grids read, so no contest sums are joined."""
+    return scored(spark, sf).withColumn("ev", F.col("p_model") * F.col("odds"))
+
+
 def rg1(spark, sf):
-    return rounded(S.threshold_grid(bets(spark, sf), ["year"], "contest_id", F.col("ev"), THRESHOLDS, "pay"), "roi", "hit_rate")
+    return rounded(S.threshold_grid(valued(spark, sf), ["year"], "contest_id", F.col("ev"), THRESHOLDS, "pay"), "roi", "hit_rate")
 
 
 def rg1_combined(spark, sf):
-    return rounded(S.threshold_grid(bets(spark, sf), [], "contest_id", F.col("ev"), THRESHOLDS, "pay"), "roi", "hit_rate")
+    return rounded(S.threshold_grid(valued(spark, sf), [], "contest_id", F.col("ev"), THRESHOLDS, "pay"), "roi", "hit_rate")
 
 
 def rg2(spark, sf):
@@ -157,7 +162,7 @@ def rg7_pruned(spark, sf):
 
 
 def yearly_grid(spark, sf):
-    return S.threshold_grid(bets(spark, sf), ["year"], "contest_id", F.col("ev"), THRESHOLDS, "pay")
+    return S.threshold_grid(valued(spark, sf), ["year"], "contest_id", F.col("ev"), THRESHOLDS, "pay")
 
 
 def rg8(spark, sf):

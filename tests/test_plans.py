@@ -32,3 +32,12 @@ def test_filter_and_columns_reach_the_scan(spark):
 def test_year_filter_prunes_partitions(spark):
     plan = plan_of(plans.queries()["sc2_partitioned_years"](spark, SF))
     assert "PartitionFilters: [" in plan and "year" in plan.split("PartitionFilters: [")[1].split("]")[0]
+
+
+def test_nested_walk_forward_reads_its_yearly_grid_once(spark):
+    plan = plan_of(plans.queries()["rg9_nested_walk_forward"](spark, SF))
+    assert "lineitem.parquet" not in plan and "yearly" in plan
+
+
+def test_threshold_grid_joins_nothing(spark):
+    assert "Join" not in plan_of(plans.queries()["rg1_threshold_grid"](spark, SF))
