@@ -10,7 +10,7 @@ slices and is broadcast with a proven bound.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +18,7 @@ from pyspark.sql.types import ArrayType, StructField, StructType
 from pyspark.sql.window import Window as W
 
 from pitpanel.functions.sizes import fits_one_task
+from pitpanel.sources.workdir import materialise
 
 SAMPLE_PER_SLICE = 20
 
@@ -161,6 +162,42 @@ def join_stats(df: DataFrame, stats: DataFrame, keys: Sequence[str], columns: Se
     return j.select(*df.columns, *[F.when(F.col("_hot").isNull(), F.col(c)).otherwise(F.col(f"_hot_{c}")).alias(c) for c in columns])
 
 
+HOT_BUCKETS = 1 << 16
+
+
+def hot_groups(df: DataFrame, group: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame | None:
+    """Keys that hold more than ``hot_rows`` rows and 1/HOT_KEYS of all (at most HOT_KEYS of them), or None when there are none.
+
+    Rows are counted by key hash first, which shuffles a bounded number of counts; no key has more rows than its bucket, so
+    keys are counted only in buckets above the limit.
+    """
+    bucket = F.pmod(F.xxhash64(*group), F.lit(HOT_BUCKETS))
+    counts = df.groupBy(bucket.alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
+    one = counts.agg(F.max("_n").alias("top"), F.sum("_n").alias("rows")).first()
+    limit = max(hot_rows, (one["rows"] or 0) / HOT_KEYS)
+    if (one["top"] or 0) <= limit:
+        return None
+    keys = df.join(F.broadcast(counts.filter(F.col("_n") > limit).select("_b")), bucket == F.col("_b"), "left_semi").groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
+    hot = materialise(keys.filter(F.col("_n") > limit).select(*[F.col(g).alias(f"_k{i}") for i, g in enumerate(group)]), "hot-groups")
+    return None if hot.isEmpty() else hot
+
+
+def by_group(df: DataFrame, group: Sequence[str], whole: Callable[[DataFrame], DataFrame], sliced: Callable[[DataFrame], DataFrame],
+             hot_rows: int | None = None) -> DataFrame:
+    """``whole`` on the rows of ordinary groups, ``sliced`` on those of hot ones: the same columns from one shuffle by group, and from slices.
+
+    Without ``hot_rows`` a frame that fits one task goes to ``whole`` as it is.
+    """
+    if hot_rows is None and fits_one_task(df):
+        return whole(df)
+    hot = hot_groups(df, group, HOT_ROWS if hot_rows is None else hot_rows)
+    if hot is None:
+        return whole(df)
+    few = F.broadcast(hot)
+    a, b = whole(df.join(few, null_safe(group), "left_anti")), sliced(df.join(few, null_safe(group), "left_semi"))
+    return a.unionByName(b.select(*a.columns))
+
+
 def with_group(df: DataFrame, group: Sequence[str], split: bool | None = None, hot_rows: int = HOT_ROWS, **aggs: Column) -> DataFrame:
     """Attach group aggregates: partial aggregation plus a balanced join instead of a window."""
     if not group:
@@ -186,8 +223,14 @@ def quantiles(df: DataFrame, group: Sequence[str], value: str, qs: Sequence[floa
     base = df.select(*group, F.col(value).cast("double").alias("_v")).filter("_v is not null")
     keys = [*group]
     hist = base.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n"))
+    if is_sliced(hist, slices):
+        hist = materialise(hist, "histogram")  # read by the edges, the slices, their offsets and the totals
+    totals = hist.groupBy(*keys).agg(F.sum("_n").alias("_total"), F.count(F.lit(1)).alias("_cnt"))
     cum = running(hist, keys, [F.col("_v")], {"_cum": F.col("_n")}, slices)
-    cum = with_group(cum, keys, _total=F.sum("_n"))
+    if keys:
+        cum = join_stats(cum, totals, keys, ["_total"], "_cnt")
+    else:
+        cum = attach_row(cum, totals.select("_total"))
 
     def at(index: Column) -> Column:
         return F.min(F.when(F.col("_cum") > index, F.col("_v")))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from pitpanel.functions.ordered import join_stats, quantiles, row_numbers, running, with_group
+from pitpanel.functions.ordered import by_group, join_stats, quantiles, row_numbers, running, with_group
 
 
 def normalise(df: DataFrame, group: Sequence[str], value: Column, name: str) -> DataFrame:
@@ -37,6 +37,36 @@ def model_rank(df: DataFrame, group: Sequence[str], p: str, tie: str, name: str
     return row_numbers(df, group, [-F.col(p), F.col(tie)], name, slices)
 
 
+def contest_view(df: DataFrame, group: Sequence[str], p: str, value: Column, share: str, tie: str, others: dict[str, str] | None = None,
+                 hot_rows: int | None = None) -> DataFrame:
+    """``share`` = value / sum(value), ``model_rank`` by ``p``, ``market_rank`` by the share, ranks by ``others``, margin and entropy of ``p``.
+
+    All of them are windows after one shuffle by group; hot groups go by slices.  Probabilities descend, nulls last, ties by ``tie``.
+    """
+    ranks = {"model_rank": p, "market_rank": share, **(others or {})}
+
+    def whole(d: DataFrame) -> DataFrame:
+        g = W.partitionBy(*group)
+        d = d.withColumn("_v", value).withColumns({"_sum": F.sum("_v").over(g), "_all": F.sum(p).over(g), "_size": F.count(F.lit(1)).over(g)})
+        d = d.withColumn(share, F.try_divide("_v", "_sum")).withColumn("_q", F.try_divide(p, "_all"))
+        for name, by in reversed(list(ranks.items())):
+            d = d.withColumn(name, F.row_number().over(g.orderBy(F.col(by).desc_nulls_last(), F.col(tie))).cast("long"))
+        best = [F.max(F.when(F.col("model_rank") == k, F.col(p))).over(g) for k in (1, 2)]
+        h = F.sum(F.when(F.col("_q") > 0, -F.col("_q") * F.log("_q")).otherwise(0.0)).over(g)
+        d = d.withColumns({"margin": best[0] - F.coalesce(best[1], F.lit(0.0)), "entropy": h / F.log(F.greatest(F.col("_size"), F.lit(2)).cast("double"))})
+        return d.drop("_v", "_sum", "_all", "_size", "_q")
+
+    def sliced(d: DataFrame) -> DataFrame:
+        out = normalise(d, group, value, share)
+        for name, by in ranks.items():
+            # ascending keys: numbers before nulls, NaN above all numbers
+            out = row_numbers(out, group, [F.col(by).isNull(), ~F.isnan(by), -F.col(by), F.col(tie)], name)
+        conf = confidence_by_group(d, group, p, tie).select(*group, "size", "margin", "entropy")
+        return join_stats(out, conf, group, ["margin", "entropy"], "size")
+
+    return by_group(df, group, whole, sliced, hot_rows)
+
+
 def top_k(df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int) -> DataFrame:
     """First ``k`` rows per group; Spark limits every group before the shuffle."""
     w = W.partitionBy(*group).orderBy(*order)
@@ -61,7 +91,7 @@ def confidence_by_group(df: DataFrame, group: Sequence[str], p: str, tie: str) -
             .filter("_rn <= 3").groupBy(*group).agg(
                 *[F.max(F.when(F.col("_rn") == k, F.col(p))).alias(f"top{k}") for k in (1, 2, 3)],
                 F.max(F.when(F.col("_rn") == 1, F.col(tie))).alias("top_entry")))
-    q = F.col(p) / F.col("_sum")
+    q = F.try_divide(p, "_sum")
     totals = df.groupBy(*group).agg(F.sum(p).alias("_sum"), F.count(F.lit(1)).alias("size"))
     norm = with_group(df.select(*group, p), group, _sum=F.sum(p))
     ent = norm.groupBy(*group).agg(F.sum(F.when(q > 0, -q * F.log(q)).otherwise(0.0)).alias("_h"))

@@ -68,7 +68,8 @@ class Dim:
 
 
 def with_codes(df: DataFrame, dims: Sequence[Dim]) -> DataFrame:
-    return df.withColumns({f"{d.name}_code": d.code() for d in dims})
+    """Codes of all dimensions; those that the frame already has stay."""
+    return df.withColumns({f"{d.name}_code": d.code() for d in dims if f"{d.name}_code" not in df.columns})
 
 
 def codes(dims: Sequence[Dim]) -> list[str]:
@@ -89,11 +90,19 @@ def expand_rules(cells: DataFrame, keys: Sequence[str], dims: Sequence[Dim], sum
     return cells
 
 
-def rule_grid(df: DataFrame, group: Sequence[str], dims: Sequence[Dim], pay: str, min_bets: int = 1) -> DataFrame:
-    """Bets, return, hits and ROI of every rule of the grid from the cell table."""
+def cell_table(df: DataFrame, group: Sequence[str], dims: Sequence[Dim], pay: str) -> DataFrame:
+    """Bets, return and hits of every cell; size bounded by the grid, not by the data."""
     p = F.coalesce(F.col(pay), F.lit(0))
-    cells = with_codes(df, dims).groupBy(*group, *codes(dims)).agg(
+    return with_codes(df, dims).groupBy(*group, *codes(dims)).agg(
         F.count(F.lit(1)).alias("bets"), F.sum(p).alias("return"), F.count_if(p > 0).alias("hits"))
+
+
+def rule_grid(df: DataFrame, group: Sequence[str], dims: Sequence[Dim], pay: str, min_bets: int = 1) -> DataFrame:
+    """Bets, return, hits and ROI of every rule of the grid from the cell table."""
+    return cell_grid(cell_table(df, group, dims, pay), group, dims, min_bets)
+
+
+def cell_grid(cells: DataFrame, group: Sequence[str], dims: Sequence[Dim], min_bets: int = 1) -> DataFrame:
     cells = expand_rules(cells, group, dims, [F.sum(c).alias(c) for c in ("bets", "return", "hits")])
     out = cells.filter(F.col("bets") >= min_bets).withColumn("roi", F.try_divide(100.0 * F.col("return"), F.col("bets") * STAKE))
     return out.withColumn("rule_id", rule_name(dims))
@@ -120,6 +129,11 @@ def rule_bets(df: DataFrame, dims: Sequence[Dim], rules: DataFrame, group: Seque
     return coded.join(pairs, [*codes(dims), *group])
 
 
+def coded_rows(df: DataFrame, dims: Sequence[Dim], keep: Sequence[Column]) -> DataFrame:
+    """Codes and the columns ``keep``, written to the shared folder: all that a search of the grid reads."""
+    return materialise(with_codes(df, dims).select(*codes(dims), *keep), "rule-rows")
+
+
 def base_score(bets: Column, roi: Column, goal: float = 90.0) -> Column:
     """Goal bonus + ROI*1000 + min(bets, 5000); the drawdown penalty is subtracted separately."""
     return F.when(roi >= goal, 1_000_000).otherwise(0) + roi * 1000 + F.least(bets, F.lit(5000))
@@ -187,15 +201,18 @@ def finalists(grid: DataFrame, group: Sequence[str], k: int) -> DataFrame:
 
 
 def best_rules(df: DataFrame, group: Sequence[str], dims: Sequence[Dim], order: Sequence[Column], pay: str, min_bets: int, k: int,
-               slices: int | None = None) -> DataFrame:
+               slices: int | None = None, stored: bool = False) -> DataFrame:
     """Exact top ``k`` rules per group by the full score including maximum drawdown; ties by rule id.
 
     The drawdown of all rules is bounded from the cells of ``slices`` slices of the ordered rows (default: the shuffle partitions);
     more slices, tighter bounds.  Rows meet only the rules that the bounds leave open, each set of equal rules once.
-    The input is read twice (cells, finalist bets), so it is written to the shared folder once.
+    The input is read twice (cells, finalist bets), so its codes, order and payout are written to the shared folder once,
+    unless they are ``stored`` there already.
     """
     n = slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    df = materialise(df, "rule-rows")
+    if not stored:
+        df = coded_rows(df, dims, [*[F.col(g) for g in group], *[c.alias(f"_order{i}") for i, c in enumerate(order)], F.col(pay)])
+        order = [F.col(f"_order{i}") for i in range(len(order))]
     fin = materialise(finalists(bounded_grid(grid_slices(df, group, dims, order, pay, n), group, dims, min_bets), group, k), "finalist-rules")
     tagged = rule_bets(df, dims, fin.filter("rule_id = same_as"), group)
     risk = K.ordered_risk(tagged, [*group, "rule_id"], order, pay).withColumnRenamed("rule_id", "same_as")
@@ -228,8 +245,13 @@ def threshold_grid(df: DataFrame, group: Sequence[str], contest: str, ev: Column
 
 def rule_overlap(df: DataFrame, dims: Sequence[Dim], rules: DataFrame) -> DataFrame:
     """Intersection, union and Jaccard of every pair of rules from cell counts (bounded by the grid)."""
-    counts = with_codes(df, dims).groupBy(*codes(dims)).agg(F.count(F.lit(1)).alias("n"))
-    pairs = cell_rules(df, dims, rules, ["rule_id"]).join(counts, codes(dims))
+    return cell_overlap(materialise(with_codes(df, dims).groupBy(*codes(dims)).agg(F.count(F.lit(1)).alias("bets")), "cells"), dims, rules)
+
+
+def cell_overlap(cells: DataFrame, dims: Sequence[Dim], rules: DataFrame) -> DataFrame:
+    """``rule_overlap`` from a table of cells with their ``bets``."""
+    counts = cells.select(*codes(dims), F.col("bets").alias("n"))
+    pairs = cell_rules(cells, dims, rules, ["rule_id"]).join(counts, codes(dims))
     size = pairs.groupBy("rule_id").agg(F.sum("n").alias("size"))
     other = pairs.select(*codes(dims), F.col("rule_id").alias("other_id"))
     inter = pairs.join(other, codes(dims)).filter("rule_id < other_id").groupBy("rule_id", "other_id").agg(F.sum("n").alias("common"))
@@ -274,6 +296,7 @@ def classify_candidates(df: DataFrame, ev_min: Column, core_odds: float, longsho
     longshot = (c("model_rank") <= 3) & X.at_least(c("odds"), longshot_odds) & X.above(c("edge"), 0.03) & X.at_least(c("ev"), ev_min + 0.15)
     d = df.withColumn("_tags", F.array_compact(F.array(*[
         F.when(F.coalesce(m, F.lit(False)), n) for n, m in (("core", core), ("value", value), ("longshot", longshot))])))
+    d = materialise(d.filter((F.size("_tags") > 0) | (c("model_rank") == 1)), "candidates")  # no other row can get a class
     anything = d.agg(F.coalesce(F.max(F.size("_tags")), F.lit(0)) > 0).scalar()
     tags = F.when(anything, F.col("_tags")).otherwise(F.when(c("model_rank") == 1, F.array(F.lit("core"))).otherwise(F.array().cast("array<string>")))
     return d.withColumn("strategy_type", F.explode(tags)).drop("_tags")

@@ -80,15 +80,19 @@ BETS = SCORED + """, bets AS (SELECT *, (1.0e0/odds) / sum(1.0e0/odds) OVER (PAR
  CASE WHEN year <= 1998 THEN 'train' WHEN year = 1999 THEN 'validation' WHEN year = 2000 THEN 'test' ELSE 'latest_holdout' END AS split FROM scored)"""
 
 
-def bets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scored entries with market probability, expected value and split."""
-    from pitpanel.operators.contest import normalise
-    d = normalise(scored(spark, sf_dir), ["contest_id"], 1.0 / F.col("odds"), "p_market")
+def with_value(d: DataFrame) -> DataFrame:
+    """Expected value and split, which need no other row of the contest."""
     split = (F.when(F.col("year") <= 1998, "train").when(F.col("year") == 1999, "validation")
              .when(F.col("year") == 2000, "test").otherwise("latest_holdout"))
     return d.withColumns({"ev": F.col("p_model") * F.col("odds"), "split": split})
 
 
+def bets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scored entries with market probability, expected value and split."""
+    from pitpanel.operators.contest import normalise
+    return with_value(normalise(scored(spark, sf_dir), ["contest_id"], 1.0 / F.col("odds"), "p_market"))
+
+
 def odd_bets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bets whose EV is NaN, infinite or null on some entries, and whose market probability is NaN on others."""
     ev = F.when(F.col("entry_no") == 2, float("nan")).when(F.col("entry_no") == 3, float("inf")).when(F.col("entry_no") == 4, float("-inf")).when(F.col("entry_no") == 5, None).otherwise(F.col("ev"))

@@ -9,7 +9,7 @@ from pitpanel.operators import features as T
 from pitpanel.operators import ledger as L
 from pitpanel.operators import contest as C
 from pitpanel.operators.metrics import long_scores
-from pitpanel.plans.base import AUDIT, BETS, PANEL, SCORED, audit_rows, bets, panel, r6, rounded, scored, table
+from pitpanel.plans.base import AUDIT, BETS, PANEL, SCORED, audit_rows, bets, panel, r6, rounded, scored, table, with_value
 from pitpanel.sources.readers import classify_source
 
 ODDS_BANDS = [("low", None, 1.5), ("mid", 1.5, 3.0), ("high", 3.0, None), ("special", 2.0, 2.2)]
@@ -154,11 +154,10 @@ def pr22(spark, sf):
     return bets(spark, sf).select("entry_id", r6(X.platt(F.col("p_model"), 0.93, -0.05)).alias("p"))
 
 
-def ranked(spark, sf):
-    d = C.model_rank(bets(spark, sf), ["contest_id"], "p_model", "entry_id")
-    d = C.model_rank(d, ["contest_id"], "p_market", "entry_id", "market_rank")
-    conf = C.confidence_by_group(bets(spark, sf), ["contest_id"], "p_model", "entry_id").select("contest_id", "margin", "entropy")
-    return d.join(conf, "contest_id").withColumns({"rank_gap": F.col("market_rank") - F.col("model_rank"), "edge": F.col("p_model") - F.col("p_market")})
+def ranked(spark, sf, **others):
+    """Bets with ranks, margin and entropy of their contest, from one shuffle by contest; ``others`` names further scores to rank by."""
+    d = C.contest_view(with_value(scored(spark, sf)), ["contest_id"], "p_model", 1.0 / F.col("odds"), "p_market", "entry_id", others)
+    return d.withColumns({"rank_gap": F.col("market_rank") - F.col("model_rank"), "edge": F.col("p_model") - F.col("p_market")})
 
 
 def pr23(spark, sf):

@@ -14,6 +14,7 @@ from pitpanel.operators.metrics import join_groups
 from pitpanel.plans.base import BETS, SCORED, bets, odd_bets, odd_sql, r6, rounded, scored
 from pitpanel.plans.q_backtest import order, picks
 from pitpanel.plans.q_columns import RANKED, ranked
+from pitpanel.sources.workdir import materialise
 
 THRESHOLDS = [round(0.8 + 0.05 * i, 2) for i in range(31)]
 DRAWS = 1000
@@ -39,15 +40,24 @@ def full_dims():
 
 
 def full_ranked(spark, sf):
-    """Ranked entries with how many of three scores put the entry first and whether the contest's entropy is below the training quantile 0.75."""
-    d = C.model_rank(ranked(spark, sf), ["contest_id"], "p_alt", "entry_id", "alt_rank")
+    """Coded entries; they count how many of three scores put the entry first and whether the contest's entropy is below the training quantile 0.75.
+
+    The rows are written once, before the quantile is known.
+    """
+    d = ranked(spark, sf, alt_rank="p_alt")
     votes = [F.when(F.col(c) == 1, 1).otherwise(0) for c in ("model_rank", "alt_rank", "market_rank")]
     d = d.withColumn("agreement", votes[0] + votes[1] + votes[2])
+    d = S.coded_rows(d, [x for x in full_dims() if x.name != "calm"], [*stored_columns(), F.col("entropy")])
     level = quantiles(d.filter("split = 'train'"), ["status"], "entropy", [0.75]).withColumnRenamed("q0", "entropy_max")
     level = join_groups(d.groupBy("status").agg(F.count(F.lit(1)).alias("rows")), level, ["status"])
+    level = materialise(level, "entropy-levels")  # its size is known then, so that few levels are broadcast
     return join_stats(d, level, ["status"], ["entropy_max"], "rows").withColumn("calm", (F.col("entropy") <= F.col("entropy_max")).cast("int")).drop("entropy_max")
 
 
+def stored_columns():
+    return [F.col(c) for c in ("status", "split", "event_date", "contest_id", "entry_id", "pay", "odds")]
+
+
 def surface_dims():
     return [S.Dim("low", "odds", ">=", tuple(LOWS)), S.Dim("high", "odds", "<", tuple(HIGHS)), S.Dim("ev", "ev", ">=", tuple(EVS))]
 
@@ -90,13 +100,16 @@ def rg6_odd(spark, sf):
     return rounded(S.select_alpha(odd_bets(spark, sf), "p_model", "p_market", "odds", "pay", [0.0, 0.25, 0.5, 0.75, 1.0], 1.0), "roi")
 
 
-def best(spark, sf):
-    d = ranked(spark, sf).filter("split = 'train'")
-    return S.best_rules(d, ["status"], dims(), order(), "pay", 200, 3)
+def rule_rows(spark, sf):
+    return S.coded_rows(ranked(spark, sf), dims(), stored_columns())
+
+
+def best(rows):
+    return S.best_rules(rows.filter("split = 'train'"), ["status"], dims(), order(), "pay", 200, 3, stored=True)
 
 
 def rg2_best(spark, sf):
-    return rounded(best(spark, sf), "roi", "score", digits=4).select("status", "rule_id", "bets", "return", "hits", "roi", "max_drawdown", "max_losing_streak", "score", "selected_order")
+    return rounded(best(rule_rows(spark, sf)), "roi", "score", digits=4).select("status", "rule_id", "bets", "return", "hits", "roi", "max_drawdown", "max_losing_streak", "score", "selected_order")
 
 
 def rg2_full(spark, sf):
@@ -105,18 +118,24 @@ def rg2_full(spark, sf):
     return rounded(S.rule_grid(d, ["status"], full_dims(), "pay", 100), "roi").select("status", "rule_id", "bets", "return", "hits", "roi")
 
 
-def full_best(spark, sf):
-    return S.best_rules(full_ranked(spark, sf).filter("split = 'train'"), ["status"], full_dims(), order(), "pay", 200, 3)
+def full_best(rows):
+    return S.best_rules(rows.filter("split = 'train'"), ["status"], full_dims(), order(), "pay", 200, 3, stored=True)
 
 
 def rg2_full_best(spark, sf):
-    return rounded(full_best(spark, sf), "roi", "score", digits=4).select("status", "rule_id", "bets", "return", "hits", "roi", "max_drawdown", "max_losing_streak", "score", "selected_order")
+    return rounded(full_best(full_ranked(spark, sf)), "roi", "score", digits=4).select("status", "rule_id", "bets", "return", "hits", "roi", "max_drawdown", "max_losing_streak", "score", "selected_order")
 
 
 def rg4_full(spark, sf):
     """The three best of 6,912 rules per status, applied unchanged to the later splits."""
-    rules = full_best(spark, sf).select("status", "rule_id", *[f"{d.name}_i" for d in full_dims()])
-    tagged = S.rule_bets(full_ranked(spark, sf).filter("split <> 'train'"), full_dims(), rules, ["status"])
+    rows = full_ranked(spark, sf)
+    return applied(rows, full_dims(), full_best(rows))
+
+
+def applied(rows, dims, best):
+    """Bets of the chosen rules on the later splits."""
+    rules = materialise(best.select("status", "rule_id", *[f"{d.name}_i" for d in dims]), "chosen-rules")
+    tagged = S.rule_bets(rows.filter("split <> 'train'"), dims, rules, ["status"])
     return rounded(K.bet_summary(tagged, ["status", "rule_id", "split"], "contest_id", "pay", "odds", median=False), "roi", "hit_rate", "mean_payout").withColumn("mean_odds", r6("mean_odds", 9))
 
 
@@ -127,20 +146,20 @@ def rg3(spark, sf):
 
 def rg4(spark, sf):
     """Rules selected on the training split, applied unchanged to later splits."""
-    rules = best(spark, sf).select("status", "rule_id", *[f"{d.name}_i" for d in dims()])
-    d = ranked(spark, sf).filter("split <> 'train'")
-    tagged = S.rule_bets(d, dims(), rules, ["status"])
-    return rounded(K.bet_summary(tagged, ["status", "rule_id", "split"], "contest_id", "pay", "odds", median=False), "roi", "hit_rate", "mean_payout").withColumn("mean_odds", r6("mean_odds", 9))
+    rows = rule_rows(spark, sf)
+    return applied(rows, dims(), best(rows))
 
 
 def classified(spark, sf):
     ev_min = X.config_band(F.col("odds"), [("0.9", None, 2.0), ("1.0", 2.0, 3.5), ("1.1", 3.5, None)]).cast("double")
-    return S.classify_candidates(ranked(spark, sf), ev_min, 3.0, 3.5)
+    d = ranked(spark, sf).select("entry_id", "odds", "ev", "model_rank", "market_rank", "rank_gap", "margin", "edge", "pay", "label")
+    return S.classify_candidates(d, ev_min, 3.0, 3.5)
 
 
 def rg5(spark, sf):
+    """The share counts all entries: one ranked row each."""
     d = classified(spark, sf)
-    capped = S.cap_share(d, F.col("strategy_type") == "longshot", ranked(spark, sf), 0.01, [-F.col("ev"), F.col("entry_id")])
+    capped = S.cap_share(d, F.col("strategy_type") == "longshot", scored(spark, sf), 0.01, [-F.col("ev"), F.col("entry_id")])
     return capped.groupBy("strategy_type").agg(F.count(F.lit(1)).alias("bets"), F.sum("pay").alias("return"), F.sum("label").alias("hits"))
 
 
@@ -148,17 +167,21 @@ def rg6(spark, sf):
     return rounded(S.select_alpha(bets(spark, sf), "p_model", "p_market", "odds", "pay", [0.0, 0.25, 0.5, 0.75, 1.0], 1.0), "roi")
 
 
+def big_rules(spark, sf):
+    """All rules with at least 2,000 bets and their pairwise overlap, both from one cell table."""
+    cells = materialise(S.cell_table(ranked(spark, sf), [], dims(), "pay"), "cells")
+    rules = S.cell_grid(cells, [], dims(), 2000)
+    return rules, S.cell_overlap(cells, dims(), rules)
+
+
 def rg7(spark, sf):
     """Pairwise Jaccard of all rules with at least 2,000 bets."""
-    d = ranked(spark, sf)
-    rules = S.rule_grid(d, [], dims(), "pay", 2000)
-    return rounded(S.rule_overlap(d, dims(), rules), "jaccard")
+    return rounded(big_rules(spark, sf)[1], "jaccard")
 
 
 def rg7_pruned(spark, sf):
-    d = ranked(spark, sf)
-    rules = S.rule_grid(d, [], dims(), "pay", 2000)
-    return S.greedy_prune(rules, S.rule_overlap(d, dims(), rules), [-F.col("bets"), F.col("rule_id")], 0.6).select("rule_id", "bets")
+    rules, overlap = big_rules(spark, sf)
+    return S.greedy_prune(rules, overlap, [-F.col("bets"), F.col("rule_id")], 0.6).select("rule_id", "bets")
 
 
 def yearly_grid(spark, sf):
