@@ -130,6 +130,11 @@ def null_safe(group: Sequence[str]) -> Column:
     return cond
 
 
+def stored_if_large(df: DataFrame, name: str) -> DataFrame:
+    """A frame that is read more than once: written to the shared folder unless it fits one task."""
+    return df if fits_one_task(df) else materialise(df, name)
+
+
 HOT_KEYS = 2000  # at most this many keys can hold more than 1/HOT_KEYS of the rows
 HOT_ROWS = 1_000_000
 SALTS = 4096
@@ -149,6 +154,7 @@ def join_stats(df: DataFrame, stats: DataFrame, keys: Sequence[str], columns: Se
     right = stats.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *columns, F.col(rows).alias("_rows"))
     if not split:
         return df.join(right.drop("_rows"), null_safe(keys), "left").select(*df.columns, *columns)
+    right = materialise(right, "statistics")  # read by the limit, the hot keys and the ordinary ones
     limit = stats.agg(F.greatest(F.lit(hot_rows).cast("double"), F.sum(rows) / HOT_KEYS)).scalar()
     hot = right.filter(F.col("_rows") > limit).select(*[F.col(f"_k{i}") for i in range(len(keys))],
                                                       *[F.col(c).alias(f"_hot_{c}") for c in columns], F.lit(True).alias("_hot"))
@@ -209,7 +215,12 @@ def with_group(df: DataFrame, group: Sequence[str], split: bool | None = None, h
 def average_ranks(df: DataFrame, group: Sequence[str], value: str, name: str,
                   slices: int | None = None) -> DataFrame:
     """Average rank (ties share the mean rank) of ``value`` per group, via the value histogram."""
+    large = is_sliced(df, slices)
+    if large:
+        df = materialise(df, "ranked-rows")  # read by the histogram and by the join with it
     hist = df.filter(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("_n"))
+    if large:
+        hist = materialise(hist, "histogram")
     hist = running(hist, group, [F.col(value)], {"_cum": F.col("_n")}, slices)
     hist = hist.select(*group, value, (F.col("_cum") - (F.col("_n") - 1) / 2.0).alias(name), "_n")
     return join_stats(df, hist, [*group, value], [name], "_n", split=None if slices is None else True)

@@ -11,6 +11,7 @@ from pyspark.sql.window import Window as W
 from pitpanel.functions import expr as X
 from pitpanel.functions.ordered import average_ranks, quantiles, running, with_group, with_slices
 from pitpanel.operators.metrics import join_groups, pearson
+from pitpanel.sources.workdir import materialise
 
 STAKE = 100
 
@@ -234,6 +235,8 @@ def ev_band_roi(df: DataFrame, group: Sequence[str], ev: Column, pay: str) -> Da
 
 
 def ev_spearman(bands: DataFrame, group: Sequence[str]) -> DataFrame:
+    # a few bands: once written their size is known, and both rankings stay in one task
+    bands = materialise(bands.select(*group, "ev_band", "roi"), "ev-bands")
     d = average_ranks(average_ranks(bands, group, "ev_band", "_a"), group, "roi", "_b")
     return d.groupBy(*group).agg(F.count(F.lit(1)).alias("bands"), pearson("_a", "_b").alias("spearman"))
 

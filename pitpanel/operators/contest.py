@@ -8,12 +8,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from pitpanel.functions.ordered import by_group, join_stats, quantiles, row_numbers, running, with_group
+from pitpanel.functions.ordered import HOT_ROWS, by_group, join_stats, quantiles, row_numbers, running, with_group
 
 
-def normalise(df: DataFrame, group: Sequence[str], value: Column, name: str) -> DataFrame:
-    """value / sum(value) in the group."""
-    out = with_group(df.withColumn("_v", value), group, _sum=F.sum("_v"))
+def normalise(df: DataFrame, group: Sequence[str], value: Column, name: str, hot_rows: int | None = None) -> DataFrame:
+    """value / sum(value) in the group, as a window after one shuffle by group; hot groups through a balanced join."""
+    d = df.withColumn("_v", value)
+
+    def whole(d: DataFrame) -> DataFrame:
+        return d.withColumn("_sum", F.sum("_v").over(W.partitionBy(*group)))
+
+    def sliced(d: DataFrame) -> DataFrame:
+        return with_group(d, group, hot_rows=hot_rows or HOT_ROWS, _sum=F.sum("_v"))
+
+    out = by_group(d, group, whole, sliced, hot_rows) if group else sliced(d)
     return out.withColumn(name, F.try_divide("_v", "_sum")).drop("_v", "_sum")
 
 

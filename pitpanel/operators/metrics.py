@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from pitpanel.functions import expr as X
-from pitpanel.functions.ordered import attach_row, average_ranks, quantiles, running, with_group
+from pitpanel.functions.ordered import attach_row, average_ranks, quantiles, running, stored_if_large, with_group
 
 
 def log_loss(y: Column, p: Column, eps: float) -> Column:
@@ -146,6 +146,7 @@ def distribution(df: DataFrame, group: Sequence[str], value: str, ddof: int = 1,
                  percentiles: Sequence[float] = PERCENTILES) -> DataFrame:
     """Count, mean, std, min, max and linear-interpolated percentiles."""
     std = F.stddev_samp(value) if ddof else F.stddev_pop(value)
+    df = stored_if_large(df.select(*group, value), "values")
     d = df.groupBy(*group).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), std.alias("std"), F.min(value).alias("min"),
                                F.max(value).alias("max"))
     q = quantiles(df, group, value, percentiles)

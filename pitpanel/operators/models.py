@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pitpanel.functions import expr as X
-from pitpanel.functions.ordered import attach_row
+from pitpanel.functions.ordered import attach_row, stored_if_large
 from pitpanel.operators import grouped as G
 from pitpanel.operators import metrics as M
 from pitpanel.operators.folds import Fold, fold_name
@@ -81,6 +81,7 @@ def ablation(df: DataFrame, groups: dict[str, Sequence[str]], folds: Sequence[Fo
     members = G.members(spark, {f"{v}|{fold_name(f)}": range(f.train_start, f.train_end + 1) for v in without for f in folds})
     use = {c: F.when(F.col("variant").isin(*[v for v, gone in without.items() if c in gone] or ["-"]), 0.0).otherwise(1.0) for c in everything}
     d = df.select(F.col(year).alias("part"), *everything, F.col(y).alias("y"), F.col(offset).alias("offset"))
+    d = stored_if_large(d, "ablation-rows")
     fitted = G.newton(d, members, G.plain_spec(names, everything, use, F.lit(reg)), everything, "y", offset="offset")
     out = d.join(F.broadcast(fitted), F.col("part") == F.col("validation_year"))  # a row for every variant and fold of its year
     out = out.withColumn("final_probability", X.clip(X.sigmoid(G.linear(everything, F.col("offset")))))

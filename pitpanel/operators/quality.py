@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from pitpanel.functions import expr as X
-from pitpanel.functions.ordered import quantiles, running, with_group
+from pitpanel.functions.ordered import quantiles, running, stored_if_large, with_group
 from pitpanel.operators.metrics import join_groups
 
 
@@ -246,6 +246,7 @@ def prediction_diff(old: DataFrame, new: DataFrame, keys: Sequence[str], by: Seq
     a = old.select(*keys, *by, F.col(p).alias("_a"))
     b = new.select(*keys, *by, F.col(p).alias("_b"))
     j = a.join(b, [*keys, *by], "full").withColumn("_d", F.abs(F.col("_a") - F.col("_b")))
+    j = stored_if_large(j.select(*by, "_a", "_b", "_d"), "differences")
     stats = j.groupBy(*by).agg(
         F.count("_d").alias("compared"), F.max("_d").alias("max_diff"), F.avg("_d").alias("mean_diff"), count(F.col("_d") > tolerance, "mismatches"),
         count(F.col("_b").isNull(), "missing_in_new"), count(F.col("_a").isNull(), "missing_in_old"))

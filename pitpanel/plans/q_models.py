@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pitpanel.functions import expr as X
+from pitpanel.functions.ordered import stored_if_large
 from pitpanel.operators import backtest as K
 from pitpanel.operators import features as T
 from pitpanel.operators import folds as FO
@@ -75,9 +76,10 @@ def ts5(spark, sf):
 
 def ts6(kind):
     def run(spark, sf):
-        d = base(spark, sf)
+        # every stage of the fit reads the training rows again
+        d = stored_if_large(base(spark, sf).select("split", "status", "label", "odds_log", "p_model", "p_alt"), "classifier-rows")
         m = MO.fit_classifier(d.filter("split = 'train'"), ["odds_log", "p_model", "p_alt"], ["status"], "label", kind)
-        out = MO.predict(m, d, ["contest_id", "entry_id", "split"], ["odds_log", "p_model", "p_alt"], ["status"], "label")
+        out = MO.predict(m, d, ["split"], ["odds_log", "p_model", "p_alt"], ["status"], "label")
         return rounded(M.probability_metrics(out, ["split"], "actual", "pred_probability"), "positive_rate", "mean_p", "logloss", "brier")
     return run
 
@@ -129,7 +131,7 @@ def ts8_nested_forward(spark, sf):
 
 def ts9(spark, sf):
     """Every feature group dropped in turn, all nine folds refitted in the same rounds."""
-    d = base(spark, sf).withColumn("offset", X.logit(F.col("p_market")))
+    d = base(spark, sf).select("year", "label", "gap", "p_alt", "odds_log", X.logit(F.col("p_market")).alias("offset"))
     out = MO.ablation(d, {"scores": ["gap"], "alt": ["p_alt"], "odds": ["odds_log"]}, folds(), "year", "label", "offset")
     return rounded(out, "positive_rate", "mean_p", "logloss", "brier")
 
