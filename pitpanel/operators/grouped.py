@@ -8,6 +8,10 @@ table whose linear systems are solved by column arithmetic, and the driver only
 Isotonic regression pools the sorted scores of a slice of ``SLICE`` scores, and the pools of neighbouring slices in turn.
 Pools of a slice are the lower convex hull of the running (weight, label sum), hulls merge, and a hull over N unit steps
 has O(N ** (2/3)) corners, so what meets in one row stays small.
+
+Calibrators of many scores go by *cells*, equal parts of the score axis whose number grows with the square root of the
+scores.  Cells only save work.  Newton's method starts from the fit on the means of the cells and ends on the exact scores as
+before.  Isotonic fits take a cell as one point where no score inside it can be a corner of the hull, and score by score elsewhere.
 """
 
 from __future__ import annotations
@@ -30,6 +34,9 @@ RUNS = 3  # passes that merge falling runs before the hull of a slice is taken
 MERGED = 16  # neighbouring slices that are merged at a time
 LISTED = 2000  # members of fits whose state may be in the driver (a few numbers each); more of them have a table
 WRITTEN = 4  # rounds of a fit in one plan
+FEW = 200_000  # scores of a histogram that is read as it is, without cells
+CELLS = 64  # cells for each unit of the square root of the scores
+SLICED = 500_000  # scores of a slice whose positions one task numbers
 METHODS = ("identity", "platt_p", "platt_logit", "isotonic", "temperature")
 #: which of (intercept, p, logit p) a method's line uses; a temperature is a line through the origin of the logits
 LINES = {"platt_p": (1.0, 1.0, 0.0), "platt_logit": (1.0, 0.0, 1.0), "temperature": (0.0, 0.0, 1.0)}
@@ -93,9 +100,11 @@ def solved(state: DataFrame, k: int) -> DataFrame:
 
 
 def newton(rows: DataFrame, members_: DataFrame, spec: DataFrame, features: Sequence[str], y: str, offset: str | None = None, weight: str | None = None,
-           part: str = "part", rounds: int = 60, tol: float = 1e-7) -> DataFrame:
+           part: str = "part", rounds: int = 60, tol: float = 1e-7, start: DataFrame | None = None) -> DataFrame:
     """``spec`` with the coefficients b_0 (intercept), b_1, ... of every fit.
 
+    The first trial is zero, or the b_0, b_1, ... that ``start`` has for the fit.
+
     Each round evaluates the open fits at their trial coefficients, keeps a trial that lowers the penalised loss and
     shortens the step of one that does not.  A fit is closed when its step is below ``tol``, when no shorter step helps, or at
     the last round; one without rows has zeros.
@@ -108,20 +117,24 @@ def newton(rows: DataFrame, members_: DataFrame, spec: DataFrame, features: Sequ
     d = materialise(d, "fit-rows")
     member = members_.select("fit", "part").distinct()
     known = member.join(spec.select("fit"), "fit").limit(LISTED + 1).collect()
-    found = listed(d, known, spec, features, rounds, tol) if len(known) <= LISTED else tabled(d, member, spec, features, rounds, tol)
     b = [f"b_{i}" for i in range(k + 1)]
+    first = spec.select("fit", *[F.lit(0.0).alias(f"t_{i}") for i in range(k + 1)])
+    if start is not None:
+        near = start.select(F.col("fit").alias("_fit"), *b)
+        first = spec.select("fit").join(near, F.col("fit") == F.col("_fit"), "left").select("fit", *[F.coalesce(f"b_{i}", F.lit(0.0)).alias(f"t_{i}") for i in range(k + 1)])
+    found = listed(d, known, spec, features, rounds, tol, first) if len(known) <= LISTED else tabled(d, member, spec, features, rounds, tol, first)
     return spec.join(found.withColumnRenamed("fit", "_fit"), F.col("fit") == F.col("_fit"), "left").select(*keep, *[F.coalesce(c, F.lit(0.0)).alias(c) for c in b])
 
 
-def tabled(d: DataFrame, member: DataFrame, spec: DataFrame, features: Sequence[str], rounds: int, tol: float) -> DataFrame:
+def tabled(d: DataFrame, member: DataFrame, spec: DataFrame, features: Sequence[str], rounds: int, tol: float, first: DataFrame) -> DataFrame:
     """Any number of fits: their state is a table, solved by column arithmetic; WRITTEN rounds follow each other in one plan."""
     k = len(features)
-    zero = {n: F.lit(0.0) for i in range(k + 1) for n in (f"b_{i}", f"t_{i}", f"s_{i}")}
-    open_ = spec.withColumns(zero | {"best": F.lit(float("inf")), "step": F.lit(1.0), "closed": F.lit(False)})
+    zero = {n: F.lit(0.0) for i in range(k + 1) for n in (f"b_{i}", f"s_{i}")}
+    open_ = spec.join(first, "fit").withColumns(zero | {"best": F.lit(float("inf")), "step": F.lit(1.0), "closed": F.lit(False)})
     columns, done = open_.columns, None
     for at in range(0, rounds, WRITTEN):
         for _ in range(WRITTEN):
-            open_ = advanced(evaluated(d, member.join(open_, "fit"), features, columns), k, tol).select(*columns)
+            open_ = advanced(evaluated(d, member.join(open_, "fit"), features, columns, columns), k, tol).select(*columns)
         open_ = materialise(open_, "newton")
         last = at + WRITTEN >= rounds
         closed = open_ if last else open_.filter("closed")
@@ -132,7 +145,7 @@ def tabled(d: DataFrame, member: DataFrame, spec: DataFrame, features: Sequence[
     return done.select("fit", *[f"b_{i}" for i in range(k + 1)])
 
 
-def listed(d: DataFrame, known: Sequence, spec: DataFrame, features: Sequence[str], rounds: int, tol: float) -> DataFrame:
+def listed(d: DataFrame, known: Sequence, spec: DataFrame, features: Sequence[str], rounds: int, tol: float, first: DataFrame) -> DataFrame:
     """Few fits (at most LISTED members, counted): the same rounds with the state in the driver, one small aggregate each."""
     k, spark = len(features), d.sparkSession
     r = range(k + 1)
@@ -141,7 +154,8 @@ def listed(d: DataFrame, known: Sequence, spec: DataFrame, features: Sequence[st
     ridge = {f: np.array([0.0] + [x["ridge"]] * k) for f, x in own.items()}
     use = {f: np.array([x[f"use_{i}"] for i in r]) for f, x in own.items()}
     zeros = np.zeros(k + 1)
-    state = {f: {"b": zeros, "t": zeros, "s": zeros, "best": math.inf, "step": 1.0} for f in own}
+    trials = {x["fit"]: np.array([x[f"t_{i}"] for i in r]) for x in first.collect() if x["fit"] in own}
+    state = {f: {"b": zeros, "t": trials[f], "s": zeros, "best": math.inf, "step": 1.0} for f in own}
     open_ = set(own)
     kind = d.schema["part"].dataType.simpleString()
     for _ in range(rounds):
@@ -150,7 +164,7 @@ def listed(d: DataFrame, known: Sequence, spec: DataFrame, features: Sequence[st
         rows = [(m["part"], m["fit"], *[own[m["fit"]][n] for n in numbers], *map(float, state[m["fit"]]["t"])) for m in known if m["fit"] in open_]
         columns = [*numbers, *[f"t_{i}" for i in r]]
         trial = spark.createDataFrame(rows, f"part {kind}, fit string, " + ", ".join(f"{c} double" for c in columns))
-        for x in evaluated(d, F.broadcast(trial), features, ["fit", *columns]).collect():
+        for x in evaluated(d, F.broadcast(trial), features, ["fit", *columns], ["fit"]).collect():
             f, now = x["fit"], state[x["fit"]]
             t = now["t"]
             new = x["w_l"] / x["w_n"] + 0.5 * float(np.sum(ridge[f] * t * t))
@@ -171,15 +185,15 @@ def listed(d: DataFrame, known: Sequence, spec: DataFrame, features: Sequence[st
     return spark.createDataFrame(found, "fit string, " + ", ".join(f"b_{i} double" for i in r))
 
 
-def evaluated(rows: DataFrame, trial: DataFrame, features: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """State columns of every fit with the sums of weight, loss, gradient and Hessian over its rows at the trial coefficients."""
+def evaluated(rows: DataFrame, trial: DataFrame, features: Sequence[str], columns: Sequence[str], by: Sequence[str]) -> DataFrame:
+    """Sums of weight, loss, gradient and Hessian of every fit over its rows at the trial coefficients in ``columns``, with the columns ``by``."""
     k = range(len(features) + 1)
     z = ["use_0 AS z_0", *[f"use_{i} * {standardised(features, i)} AS z_{i}" for i in k[1:]]]
     e = rows.join(trial, "part").selectExpr(*columns, "_y", "_w", "_o", *z)
     e = e.selectExpr("*", sum_of([f"t_{i} * z_{i}" for i in k], "_o") + " AS _eta").selectExpr("*", "1 / (1 + exp(-_eta)) AS _mu")
     e = e.selectExpr("*", "_w * (_y - _mu) AS _g", "_w * _mu * (1 - _mu) AS _h", "_w * (greatest(_eta, 0D) + log1p(exp(-abs(_eta))) - _y * _eta) AS _l")
     sums = ["sum(_w) AS w_n", "sum(_l) AS w_l", *[f"sum(_g * z_{i}) AS w_g{i}" for i in k], *[f"sum(_h * z_{i} * z_{j}) AS w_h{i}_{j}" for i in k for j in k[i:]]]
-    return e.groupBy(*columns).agg(*[F.expr(x) for x in sums])
+    return e.groupBy(*by).agg(*[F.expr(x) for x in sums])
 
 
 def advanced(j: DataFrame, k: int, tol: float) -> DataFrame:
@@ -233,11 +247,18 @@ def merged_runs(d: DataFrame) -> DataFrame:
 def isotonic(points: DataFrame, slices: int | None = None, size: int = SLICE) -> DataFrame:
     """(fit, lo, hi, value): arrays of the pools of every fit in order of score, from rows (fit, p, n, y) with distinct p.
 
-    The pools equal the max-min formula over the exact scores; one row per fit, O(rows ** (2/3)) pools in it.
+    Rows (fit, lo, hi, n, y) stand for neighbouring scores that are known to share a pool.  The pools equal the max-min
+    formula over the exact scores; one row per fit, O(rows ** (2/3)) pools in it.
     """
-    points = materialise(points.select("fit", *[F.col(c).cast("double").alias(c) for c in ("p", "n", "y")]), "points")
-    rows = row_numbers(points, ["fit"], [F.col("p")], "_at", slices)
-    d = rows.select("fit", F.floor((F.col("_at") - 1) / size).alias("_slice"), "n", "y", F.col("p").alias("lo"), F.col("p").alias("hi"))
+    if "lo" not in points.columns:
+        points = points.withColumns({"lo": F.col("p"), "hi": F.col("p")})
+    points = materialise(points.select("fit", *[F.col(c).cast("double").alias(c) for c in ("lo", "hi", "n", "y")]), "points")
+    if slices is None:
+        many = points.count()
+        if many > SLICED:
+            slices = max(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(many / SLICED))
+    rows = row_numbers(points, ["fit"], [F.col("lo")], "_at", slices)
+    d = rows.select("fit", F.floor((F.col("_at") - 1) / size).alias("_slice"), "n", "y", "lo", "hi")
     for _ in range(RUNS):
         d = merged_runs(d)
     d = d.groupBy("fit", "_slice").agg(F.sort_array(F.collect_list(F.struct("lo", "n", "y", "hi"))).alias("points"))
@@ -274,6 +295,63 @@ def histogram(df: DataFrame, part: Column, y: str, p: str) -> DataFrame:
     return usable.groupBy(part.alias("part"), F.col(p).cast("double").alias("p")).agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum(F.col(y).cast("double")).alias("y"))
 
 
+def with_cells(hist: DataFrame) -> DataFrame | None:
+    """The histogram with the number of the cell of every score, or None where the scores are few or their range is not finite."""
+    one = hist.agg(F.count(F.lit(1)).alias("n"), F.min("p").alias("lo"), F.max("p").alias("hi")).first()
+    if one["n"] <= FEW:
+        return None
+    width = (one["hi"] - one["lo"]) / math.ceil(CELLS * math.sqrt(one["n"]))
+    if not 0.0 < width < math.inf:
+        return None
+    return hist.withColumn("cell", F.floor((F.col("p") - one["lo"]) / F.lit(width)))
+
+
+def cell_sums(celled: DataFrame, eps: float) -> DataFrame:
+    """One row per part and cell: number and range of its scores, rows, positives, range of the scores' rates, means of p and its log-odds."""
+    rate, q = F.col("y") / F.col("n"), X.clip(F.col("p"), eps)
+    sums = celled.groupBy("part", "cell").agg(
+        F.count(F.lit(1)).alias("scores"), F.min("p").alias("lo"), F.max("p").alias("hi"), F.min(rate).alias("low"), F.max(rate).alias("high"),
+        (F.sum(F.col("n") * q) / F.sum("n")).alias("p"), (F.sum(F.col("n") * X.logit(F.col("p"), eps)) / F.sum("n")).alias("z"), F.sum("n").alias("n"), F.sum("y").alias("y"))
+    return materialise(sums, "cells")
+
+
+def open_cells(sums: DataFrame, members_: DataFrame, slices: int | None = None) -> DataFrame:
+    """(fit, cell, lo, hi, n, y, open): the cells of every fit, open where a score inside may be a corner of the hull.
+
+    The hull of the cells' ends lies on or above the hull of the scores, so a corner lies below it.  Inside a cell the
+    running sums stay above the path that takes the lowest rate first and the highest last; where the bend of that path is not
+    below the hull of the ends, neither is any score.
+    """
+    each = members_.select("fit", "part").join(sums, "part").groupBy("fit", "cell").agg(
+        F.sum("scores").alias("scores"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n"), F.sum("y").alias("y"))
+    each = materialise(each, "fit-cells")
+    rough = isotonic(each, slices).select(F.col("fit").alias("_fit"), F.col("lo").alias("_los"), F.col("value").alias("_values"))
+    j = each.join(rough, F.col("fit") == F.col("_fit")).withColumn("_pool", pools_below(F.col("lo"), F.col("_los")))
+    j = j.select(*each.columns, "_pool", F.get("_values", F.col("_pool") - 1).alias("_mean"))
+    w = W.partitionBy("fit", "_pool").orderBy("cell").rowsBetween(W.unboundedPreceding, 0)  # cells of one pool, at most the square root of the scores x CELLS
+    j = j.withColumns({"_n": F.sum("n").over(w), "_y": F.sum("y").over(w)})
+    last = F.try_divide(F.col("y") - F.col("low") * F.col("n"), F.col("high") - F.col("low"))  # rows at the highest rate
+    bend_n, bend_y = F.col("_n") - last, F.col("_y") - F.col("high") * last
+    may = (F.col("scores") > 1) & (F.col("high") > F.col("low")) & (bend_y < F.col("_mean") * bend_n + 1e-9 * (1.0 + F.abs("_n")))
+    return materialise(j.select("fit", "cell", "lo", "hi", "n", "y", F.coalesce(may, F.lit(False)).alias("open")), "open-cells")
+
+
+def isotonic_points(hist: DataFrame, celled: DataFrame | None, sums: DataFrame | None, members_: DataFrame, slices: int | None = None) -> DataFrame:
+    """Points of the isotonic fits: cells without corners as one point each, the scores of all others."""
+    if celled is None:
+        return members_.select("fit", "part").join(hist, "part").groupBy("fit", "p").agg(F.sum("n").alias("n"), F.sum("y").alias("y"))
+    cells = open_cells(sums, members_, slices)
+    wanted = materialise(members_.select("fit", "part").join(cells.filter("open").select("fit", "cell"), "fit"), "wanted-cells")
+    near = celled.join(wanted, ["part", "cell"]).groupBy("fit", "p").agg(F.sum("n").alias("n"), F.sum("y").alias("y"))
+    return cells.filter("not open").select("fit", "lo", "hi", "n", "y").unionByName(near.select("fit", F.col("p").alias("lo"), F.col("p").alias("hi"), "n", "y"))
+
+
+def label_rows(hist: DataFrame, p: Column, z: Column) -> DataFrame:
+    """(part, p, z, label, w): every row counts once with its positives and once with its negatives."""
+    return hist.select("part", p.alias("p"), z.alias("z"), F.inline(F.array(
+        F.struct(F.lit(1.0).alias("label"), F.col("y").alias("w")), F.struct(F.lit(0.0).alias("label"), (F.col("n") - F.col("y")).alias("w"))))).filter("w > 0")
+
+
 def calibrators(hist: DataFrame, members_: DataFrame, methods: Sequence[str] = METHODS, eps: float = EPS, slices: int | None = None) -> DataFrame:
     """(fit, method, coefficients, steps) of every fit and method on the exact-score histogram."""
     unknown = set(methods) - set(METHODS)
@@ -283,20 +361,20 @@ def calibrators(hist: DataFrame, members_: DataFrame, methods: Sequence[str] = M
     out = None
     empty = {"lo": F.array().cast("array<double>"), "hi": F.array().cast("array<double>"), "value": F.array().cast("array<double>")}
     lines = [m for m in methods if m in LINES]
+    celled = with_cells(hist)
+    sums = None if celled is None else cell_sums(celled, eps)
     if lines:
         each = fits.select(F.col("fit").alias("of"), F.explode(F.array(*[F.lit(m) for m in lines])).alias("method"))
         named = each.withColumn("fit", F.concat_ws("|", "of", "method"))
         use = {n: F.element_at(F.create_map(*[F.lit(v) for m in lines for v in (m, LINES[m][i])]), F.col("method")) for i, n in enumerate(("", "p", "z"))}
-        q = X.clip(F.col("p"), eps)
-        # every score counts once with its positives and once with its negatives
-        rows = hist.select("part", q.alias("p"), X.logit(F.col("p"), eps).alias("z"), F.inline(F.array(
-            F.struct(F.lit(1.0).alias("label"), F.col("y").alias("w")), F.struct(F.lit(0.0).alias("label"), (F.col("n") - F.col("y")).alias("w"))))).filter("w > 0")
+        rows = label_rows(hist, X.clip(F.col("p"), eps), X.logit(F.col("p"), eps))
         member = members_.select(F.col("fit").alias("of"), "part").join(named.select("of", "fit"), "of").select("fit", "part")
-        b = newton(rows, member, plain_spec(named.select("fit", "of", "method"), ("p", "z"), use), ("p", "z"), "label", weight="w")
+        spec = plain_spec(named.select("fit", "of", "method"), ("p", "z"), use)
+        start = None if sums is None else newton(label_rows(sums, F.col("p"), F.col("z")), member, spec, ("p", "z"), "label", weight="w")
+        b = newton(rows, member, spec, ("p", "z"), "label", weight="w", start=start)
         out = b.select(F.col("of").alias("fit"), "method", "b_0", "b_1", "b_2", *[c.alias(n) for n, c in empty.items()])
     if "isotonic" in methods:
-        points = members_.select("fit", "part").join(hist, "part").groupBy("fit", "p").agg(F.sum("n").alias("n"), F.sum("y").alias("y"))
-        steps = isotonic(points, slices).select("fit", F.lit("isotonic").alias("method"), *[F.lit(0.0).alias(f"b_{i}") for i in range(3)], "lo", "hi", "value")
+        steps = isotonic(isotonic_points(hist, celled, sums, members_, slices), slices).select("fit", F.lit("isotonic").alias("method"), *[F.lit(0.0).alias(f"b_{i}") for i in range(3)], "lo", "hi", "value")
         out = steps if out is None else out.unionByName(steps)
     if "identity" in methods:
         same = fits.select("fit", F.lit("identity").alias("method"), *[F.lit(0.0).alias(f"b_{i}") for i in range(3)], *[c.alias(n) for n, c in empty.items()])
@@ -315,10 +393,15 @@ def calibrated(p: Column, eps: float = EPS) -> Column:
 
 
 def scored_histogram(hist: DataFrame, own: DataFrame, fitted: DataFrame, eps: float = EPS) -> DataFrame:
-    """(part, method, p, calibrated, n, y): every score under the fit that ``own`` (fit, part) names for its part."""
-    j = own.select("fit", "part").join(fitted, "fit").join(hist, "part")
-    below = F.when(F.col("method") == "isotonic", F.greatest(pools_below(F.col("p"), F.col("lo")), F.lit(1)))
-    return j.withColumn("_at", below).select("part", "method", "p", calibrated(F.col("p"), eps).alias("calibrated"), "n", "y")
+    """(part, method, p, calibrated, n, y): every score under the fit that ``own`` (fit, part) names for its part.
+
+    Only the isotonic rows carry the arrays of the pools.
+    """
+    j, steps, no_array = own.select("fit", "part").join(fitted, "fit"), F.col("method") == "isotonic", F.lit(None).cast("array<double>")
+    lines = j.filter(~steps).drop("lo", "hi", "value").join(hist, "part").withColumns({"_at": F.lit(None).cast("int"), "lo": no_array, "hi": no_array, "value": no_array})
+    pools = j.filter(steps).join(hist, "part").withColumn("_at", F.greatest(pools_below(F.col("p"), F.col("lo")), F.lit(1)))
+    out = [d.select("part", "method", "p", calibrated(F.col("p"), eps).alias("calibrated"), "n", "y") for d in (lines, pools)]
+    return out[0].unionByName(out[1])
 
 
 def weighted_metrics(scored: DataFrame, by: Sequence[str], p: str = "calibrated", bins: int = 10) -> DataFrame:
