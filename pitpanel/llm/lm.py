@@ -201,8 +201,8 @@ def shard_numbers(grams: np.ndarray, shards: int) -> np.ndarray:
 def judged(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", widen: float = WIDEN, shard_entries: int = SHARD_ENTRIES) -> DataFrame:
     """One row per input row: doc_id, lang, n_chars, perplexity (per character), threshold, kept.
 
-    Trusted are the documents whose label says quality 1.  Null and empty texts have no characters, perplexity null, and
-    are not kept.  A null language is "und"; a language with few texts has no threshold and keeps all.
+    Trusted are the documents whose label says quality 1.  Null and empty texts have no characters, perplexity and threshold
+    null, and are not kept.  A null language is "und"; a language with few texts has no threshold and keeps all.
     Without trusted text every perplexity is 1 and nothing is rejected.  Repeated rows get
     the same answer; an empty table gives no rows; other columns are not read.
     """
@@ -216,6 +216,6 @@ def judged(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     limits = done.filter("perplexity is not null").groupBy("lang").agg(F.count(F.lit(1)).alias("n"), quartiles.alias("q")).filter(F.col("n") >= LEAST_TEXTS)
     limits = limits.select("lang", (F.col("q")[1] + widen * (F.col("q")[1] - F.col("q")[0])).alias("level"))
     out = done.join(F.broadcast(limits), "lang", "left")  # one row for each language
-    out = out.withColumn("threshold", F.exp(F.col("level") + F.lit(SHORT) / F.sqrt("n_chars")))
+    out = out.withColumn("threshold", F.exp(F.col("level") + F.try_divide(F.lit(SHORT), F.sqrt("n_chars"))))
     kept = F.col("perplexity").isNotNull() & (F.col("threshold").isNull() | (F.col("perplexity") <= F.col("threshold")))
     return out.select("doc_id", "lang", "n_chars", "perplexity", "threshold", kept.alias("kept"))
