@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from pitpanel.functions.ordered import HOT_ROWS, by_group, join_stats, quantiles, row_numbers, running, with_group
+from pitpanel.functions.ordered import HOT_ROWS, by_group, is_sliced, join_stats, quantiles, row_numbers, running, with_group
+from pitpanel.sources.workdir import materialise
 
 
 def normalise(df: DataFrame, group: Sequence[str], value: Column, name: str, hot_rows: int | None = None) -> DataFrame:
@@ -40,9 +41,23 @@ def fill_rank(df: DataFrame, group: Sequence[str], rank: str, value: str, tie: s
 
 
 def model_rank(df: DataFrame, group: Sequence[str], p: str, tie: str, name: str = "model_rank",
-               slices: int | None = None) -> DataFrame:
-    """Position by probability descending, tie-breaker ascending."""
-    return row_numbers(df, group, [-F.col(p), F.col(tie)], name, slices)
+               slices: int | None = None, hot_rows: int | None = None) -> DataFrame:
+    """Position by probability descending, tie-breaker ascending: a window after one shuffle by group; hot groups go by slices."""
+    order = [-F.col(p), F.col(tie)]
+
+    def whole(d: DataFrame) -> DataFrame:
+        return d.withColumn(name, F.row_number().over(W.partitionBy(*group).orderBy(*order)).cast("long"))
+
+    def sliced(d: DataFrame) -> DataFrame:
+        return row_numbers(fixed(d, slices), group, order, name, slices)
+
+    return sliced(df) if slices is not None or not group else by_group(df, group, whole, sliced, hot_rows)
+
+
+def fixed(df: DataFrame, slices: int | None = None) -> DataFrame:
+    """Rows that are ranked by slices, written first: a probability that comes from a float sum can differ in its last digit from one
+    evaluation to the next, and the edges, the slices and their offsets must all read the same one."""
+    return materialise(df, "ranked-rows") if is_sliced(df, slices) else df
 
 
 def contest_view(df: DataFrame, group: Sequence[str], p: str, value: Column, share: str, tie: str, others: dict[str, str] | None = None,
@@ -65,7 +80,7 @@ def contest_view(df: DataFrame, group: Sequence[str], p: str, value: Column, sha
         return d.drop("_v", "_sum", "_all", "_size", "_q")
 
     def sliced(d: DataFrame) -> DataFrame:
-        out = normalise(d, group, value, share)
+        out = fixed(normalise(d, group, value, share))
         for name, by in ranks.items():
             # ascending keys: numbers before nulls, NaN above all numbers
             out = row_numbers(out, group, [F.col(by).isNull(), ~F.isnan(by), -F.col(by), F.col(tie)], name)

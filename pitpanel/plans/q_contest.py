@@ -31,8 +31,7 @@ def wn4(spark, sf):
 
 
 def wn4_gap(spark, sf):
-    d = C.model_rank(bets(spark, sf), G, "p_model", "entry_id")
-    d = C.model_rank(d, G, "p_market", "entry_id", "market_rank")
+    d = C.contest_view(scored(spark, sf), G, "p_model", 1.0 / F.col("odds"), "p_market", "entry_id")
     return d.withColumn("rank_gap", F.col("market_rank") - F.col("model_rank")).groupBy("rank_gap").agg(
         F.count(F.lit(1)).alias("entries"), F.sum("label").alias("hits"))
 
